@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewell.llm import mixing, sharding
+from tidewell.llm import mixing, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_dominance_best_fit": packing.op1_dominance_best_fit,
         "op3_consistent_hash_shards": sharding.op3_consistent_hash_shards,
         "op8_hierarchical_mix": mixing.op8_hierarchical_mix,
     }
