@@ -14,12 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import settle, shuffle_partitions
+
 #: Production parameters. Sources fall into domains by their number modulo 3; weights are relative integers.
 DOMAINS = {"web": 5, "books": 3, "forums": 2}
 LANGUAGES = {"en": 4, "de": 2, "fr": 2, "es": 2}
 OTHER_WEIGHT = 1
 SEED = "mix-1"
 MAX_EPOCHS = 2
+BROADCAST_LEAVES = 50_000
 #: The budget: this share of all tokens, in thousandths.
 BUDGET_PER_MILLE = 600
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,11 +93,16 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
         F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("budget").alias("leaf_budget"),
         F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("_epochs"), (F.col("budget") % F.col("tokens")).alias("_rest"),
     )
-    # One row for each leaf: distinct (language, source) pairs. Spark measures it before it broadcasts.
-    read = base.join(paid, (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
+    # One row for each leaf. It is written and counted: up to BROADCAST_LEAVES it is broadcast, beyond
+    # that both sides are shuffled and Spark splits hot leaves.
+    paid = settle(paid)
+    few = paid.count() <= BROADCAST_LEAVES
+    read = base.join(F.broadcast(paid) if few else paid, (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
     # The order of the epoch that is read in part. Its first three digits deal a leaf, hot or not, into 4096 cells.
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     read = read.withColumns({"_key": key, "_cell": F.substring(key, 1, 3)})
+    if not few:
+        read = read.repartition(shuffle_partitions(docs.sparkSession), "_d", "_l", "_s", "_cell")
     slim = read.select("_d", "_l", "_s", "_cell", "tokens")
     cells = slim.groupBy("_d", "_l", "_s", "_cell").agg(F.sum("tokens").alias("_sum"))
     start = F.sum("_sum").over(Window.partitionBy("_d", "_l", "_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
