@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import mixing, packing, secrets, sharding
+from tidewell.llm import mixing, ngram_join, packing, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_dominance_best_fit": packing.op1_dominance_best_fit,
         "op3_consistent_hash_shards": sharding.op3_consistent_hash_shards,
+        "op6_t_occurrence_join": ngram_join.op6_t_occurrence_join,
         "op7_trigram_secret_scan": secrets.op7_trigram_secret_scan,
         "op8_hierarchical_mix": mixing.op8_hierarchical_mix,
     }
