@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import mixing, ngram_join, packing, secrets, sharding
+from tidewell.llm import cap_filters, mixing, ngram_join, packing, secrets, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_t_occurrence_join": ngram_join.op6_t_occurrence_join,
         "op7_trigram_secret_scan": secrets.op7_trigram_secret_scan,
         "op8_hierarchical_mix": mixing.op8_hierarchical_mix,
+        "op9_spherical_caps": cap_filters.op9_spherical_caps,
     }
 
 
