@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import cap_filters, langid, mixing, ngram_join, packing, secrets, sharding, toxicity
+from tidewell.llm import cap_filters, langid, media, mixing, ngram_join, packing, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_weak_supervision": toxicity.op2_weak_supervision,
         "op3_consistent_hash_shards": sharding.op3_consistent_hash_shards,
         "op4_byte_gru": langid.op4_byte_gru,
+        "op5_flac_media": media.op5_flac_media,
         "op6_t_occurrence_join": ngram_join.op6_t_occurrence_join,
         "op7_trigram_secret_scan": secrets.op7_trigram_secret_scan,
         "op8_hierarchical_mix": mixing.op8_hierarchical_mix,
