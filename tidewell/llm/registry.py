@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import cap_filters, langid, media, mixing, ngram_join, packing, secrets, sharding, toxicity
+from tidewell.llm import cap_filters, langid, lm_scoring, media, mixing, ngram_join, packing, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_trigram_secret_scan": secrets.op7_trigram_secret_scan,
         "op8_hierarchical_mix": mixing.op8_hierarchical_mix,
         "op9_spherical_caps": cap_filters.op9_spherical_caps,
+        "op10_masked_pseudo_likelihood": lm_scoring.op10_masked_pseudo_likelihood,
     }
 
 
