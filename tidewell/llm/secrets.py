@@ -15,6 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import settle
+
 try:
     from re import _parser as sre
 except ImportError:  # before Python 3.11
@@ -23,8 +25,9 @@ except ImportError:  # before Python 3.11
 #: kind: (pattern, least characters, group they are counted in). The first three are the base kinds.
 RULES: dict[str, tuple[str, int, int]] = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
-    "access": (r"AKIA[A-Z0-9]+", 20, 0),
-    "hex": (r"[0-9a-f]+", 24, 0),
+    # a run matches whole, so asking for its least length in the pattern drops the same matches
+    "access": (r"AKIA[A-Z0-9]{16,}", 20, 0),
+    "hex": (r"[0-9a-f]{24,}", 24, 0),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30, 0),
@@ -33,6 +36,7 @@ RULES: dict[str, tuple[str, int, int]] = {
 BASE = ("assign", "access", "hex")
 #: Beyond this many alternatives a prefix is given up and the text known so far stands for the rule.
 MOST_STRINGS = 64
+BROADCAST_CANDIDATES = 500_000
 
 
 def mandatory(pattern: str) -> list[frozenset[str]] | None:
@@ -113,9 +117,8 @@ def _literal(kind: str, spans: Column, order: int) -> Column:
 
 def trigram_postings(rows: DataFrame, grams: list[str]) -> DataFrame:
     """(gram, key): the inverted index of the wanted trigrams over rows (key, text)."""
-    low = F.lower("text")
-    held = F.filter(F.array(*[F.when(low.contains(g), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    return rows.select("key", F.explode(held).alias("gram"))
+    held = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams]))
+    return rows.select("key", F.lower("text").alias("low")).select("key", F.explode(held).alias("gram"))
 
 
 def candidates(rows: DataFrame, rules: dict[str, tuple[str, int, int]]) -> DataFrame:
@@ -140,13 +143,18 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*names, F.xxhash64("doc_id", text).alias("_key"))
     hits = candidates(keyed.select(F.col("_key").alias("key"), text.alias("text")), rules)
-    joined = keyed.join(hits.withColumnRenamed("key", "_key").withColumnRenamed("kinds", "_kinds"), "_key", "left")
+    # The candidates are written and counted. Few are broadcast, so no text is shuffled; many are the
+    # hashed side of a shuffled join, which leaves the texts unsorted.
+    hits = settle(hits.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")))
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_CANDIDATES else hits.hint("shuffle_hash")
+    joined = keyed.join(hits, "_key", "left")
     nothing = F.array().cast("array<struct<at:int,to:int>>")
     parts = []
     for order, (kind, (pattern, least, group)) in enumerate(rules.items()):
         spans = _spans(text, pattern, least, group)
-        if mandatory(pattern) is not None:
-            spans = F.when(F.array_contains("_kinds", kind), spans).otherwise(nothing)
+        # only texts with a match are cut up
+        may = text.rlike(pattern) if mandatory(pattern) is None else F.array_contains("_kinds", kind)
+        spans = F.when(may, spans).otherwise(nothing)
         parts.append(_literal(kind, spans, order))
     return joined.withColumn("found", F.array_sort(F.concat(*parts))).select(*names, "found")
 
