@@ -181,7 +181,7 @@ def training_sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[np
     size = WINDOW * TRAIN_WINDOWS
     start = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
     picked = seen.filter(draw < share[F.col("lang")]).limit(2 * per_language * len(langs)).select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(size)).alias("text")).collect()
-    picked = sorted(picked, key=lambda r: (r["doc_id"], r["text"]))
+    picked = sorted(picked, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     xs, ys = [], []
     for r in picked:
         w = windows(r["text"].encode("utf-8").replace(b"\0", b" "))[:TRAIN_WINDOWS]

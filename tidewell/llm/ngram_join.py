@@ -6,10 +6,13 @@ least T = ceil(t * size) shingles of either, so
 * equal sets form one class and go on as one representative;
 * a representative posts only its rarest ``size - T + 1`` shingles: the short lists. Every linked pair
   meets in one. Common shingles, counted over all documents, are posted last or not at all;
+* of two linked sets the shortest-hashed shingles of their union are a random sample, at least q of
+  which both hold; so they meet in ``least_hits`` short lists or more, except with a chance of e^-30.
+  Representatives with fewer occurrences are dropped;
 * each representative is first compared with its home, the leader it meets in most short lists;
   most links are found here, one comparison for each document, and give first components;
 * a pair inside one component needs no link of its own. Lists that still hold several components
-  send their members to the homes met there, and in these blocks (dealt into chunks of bounded size)
+  send their members to their leader's block, and in these blocks (dealt into chunks of bounded size)
   DivideSkip finds every link between components: short lists of a query are heap-merged, candidates
   that reach T - L occurrences are probed in the L long lists by binary search, and those with the
   required overlap are kept.
@@ -39,9 +42,11 @@ WORDS = 5
 PERCENT = 75
 #: A shingle is common if it occurs LOCAL times in a block of BLOCK shingles and COMMON times in all.
 #: The MOST_COMMON most frequent are sent to every task; they only order the shingles.
-BLOCK, LOCAL, COMMON, MOST_COMMON = 4_000_000, 4, 16, 1 << 17
+BLOCK, LOCAL, COMMON, MOST_COMMON = 1_000_000, 4, 16, 1 << 17
 #: Shingles a chunk of a block holds.
-CHUNK = 200_000
+CHUNK = 100_000
+#: Rows of two numbers that may be broadcast.
+HANDY = 1_000_000
 #: DivideSkip's weight of the merge against the probes.
 MU = 0.0085
 
@@ -91,10 +96,31 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return token[order], n[order]
 
 
+def least_hits(n: int, rare: int, short: int) -> int:
+    """Short lists in which a set of n shingles, ``rare`` of them not common, meets any linked set.
+
+    A linked set may be a quarter smaller, so the first three quarters of the ``short`` posted shingles
+    count: m draws without replacement from the rare shingles of the union, of which at most n / 4 for
+    every ``rare`` are not shared. Chernoff's bound gives the number that is met except with a chance
+    of e^-30. At least one is always met: the prefix bound.
+    """
+    if rare < short:
+        return 1
+    m, q = int(0.75 * (short - 1)), 1 - n / (4 * rare)
+    least = 1
+    while least < m * q:
+        x = least / m
+        far = x * math.log(x / q) + ((1 - x) * math.log((1 - x) / (1 - q)) if x < 1 else 0)
+        if m * far < 30:
+            break
+        least += 1
+    return least
+
+
 def _signatures(batches: Iterable[pa.RecordBatch], words: int, percent: int, common) -> Iterator[pa.RecordBatch]:
     token, count = common.value
     for batch in batches:
-        sizes, ids, rare, frequent = [], [], [], []
+        sizes, ids, least, rare, frequent = [], [], [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), words)
             sizes.append(len(s))
@@ -106,11 +132,12 @@ def _signatures(batches: Iterable[pa.RecordBatch], words: int, percent: int, com
                 known = token[np.minimum(at, len(token) - 1)] == s
             first, last = s[~known][:short], s[known]
             last = last[np.lexsort((last, count[at[known]]))][: short - len(first)] if short > len(first) else last[:0]
+            least.append(least_hits(len(s), int((~known).sum()), short) if len(s) else 0)
             rare.append(first.view(np.int64))
             frequent.append(last.view(np.int64))
         kind = pa.list_(pa.int64())
-        cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, kind), pa.array(frequent, kind)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "rare", "frequent"])
+        cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.int64()), pa.array(rare, kind), pa.array(frequent, kind)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "least", "rare", "frequent"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -179,6 +206,18 @@ def _block_links(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _shared(posts: DataFrame) -> DataFrame:
+    """(token, lead, lead_n): the lists with two members or more, and their first member."""
+    heads = posts.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep != last")
+    return heads.select("token", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+
+
+def _handy(keys: DataFrame) -> DataFrame:
+    """Written, counted, and broadcast if it has HANDY rows at most; else it is joined by a shuffle."""
+    keys = settle(keys)
+    return F.broadcast(keys) if keys.count() <= HANDY else keys
+
+
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -189,21 +228,23 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
-    signed = settle(docs.mapInArrow(lambda b: _signatures(b, words, percent, common), "doc_id long, n_shingles long, set_id binary, rare array<long>, frequent array<long>"))
+    signed = settle(docs.mapInArrow(lambda b: _signatures(b, words, percent, common), "doc_id long, n_shingles long, set_id binary, least long, rare array<long>, frequent array<long>"))
     classes = signed.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    whole = signed.join(classes, "set_id").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "rare", "frequent")
+    whole = signed.join(classes, "set_id").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "least", "rare", "frequent")
     # rare shingles stand in few lists: their members can be counted in place. The others are counted
     # with partial sums and joined, which Spark can split where a list is long.
     by = Window.partitionBy("token")
-    lead = F.struct("rep", "n")
-    rare = whole.select("rep", "n", F.explode("rare").alias("token"))
-    rare = rare.withColumns({"lead": F.min(lead).over(by), "last": F.max("rep").over(by)}).filter("lead.rep != last").drop("last")
-    often = whole.select("rep", "n", F.explode("frequent").alias("token"))
-    heads = often.groupBy("token").agg(F.min(lead).alias("lead"), F.max("rep").alias("last")).filter("lead.rep != last").drop("last")
-    often = often.join(heads, "token").select("rep", "n", "token", "lead")
-    lists = settle(rare.select("rep", "n", "token", "lead").union(often).select("token", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")).distinct())
+    rare = whole.select("rep", "n", "least", F.explode("rare").alias("token"))
+    rare = rare.withColumns({"first": F.min("rep").over(by), "last": F.max("rep").over(by)}).filter("first != last")
+    often = whole.select("rep", "n", "least", F.explode("frequent").alias("token"))
+    columns = ["token", "rep", "n", "least"]
+    met = settle(rare.select(*columns).union(often.join(_shared(often), "token").select(*columns)).distinct())
+    enough = met.groupBy("rep").agg(F.count("*").alias("hits"), F.max("least").alias("least")).filter("hits >= least").select("rep")
+    alive = met.join(_handy(enough), "rep", "left_semi")
+    lists = settle(alive.join(_shared(alive), "token").select(*columns, "lead", "lead_n"))
     fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) | (F.col("rep") == F.col("lead"))
-    votes = lists.filter(fits).groupBy("rep", "lead").agg(F.count("*").alias("votes"))
+    votes = lists.filter(fits).groupBy("rep", "lead").agg(F.count("*").alias("votes"), F.max("least").alias("least"))
+    votes = votes.filter((F.col("votes") >= F.col("least")) | (F.col("rep") == F.col("lead")))
     homes = settle(votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("home")))
     texts = docs
     pairs = homes.filter("rep != home")
@@ -212,12 +253,13 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = settle(mine.join(theirs, "b").select("a", "text", "b", "b_text").mapInArrow(lambda b: _compare(b, words, percent), "a long, b long"))
     group = settle(components(first))
     # lists that hold several components
-    placed = lists.select("token", "rep", "n").join(homes, "rep").join(group, F.col("rep") == F.col("node"), "left")
-    placed = settle(placed.select("token", "rep", "n", "home", F.coalesce("component", "rep").alias("component")))
+    placed = lists.join(_handy(group), F.col("rep") == F.col("node"), "left")
+    placed = settle(placed.select(*columns, "lead", F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
     open_ = placed.join(mixed, "token")
-    met = open_.select("token", F.col("home").alias("block")).distinct()
-    visits = settle(open_.join(met, "token").select("block", "rep", "n", "component").distinct())
+    asked = open_.groupBy("rep").agg(F.count("*").alias("hits"), F.max("least").alias("least")).filter("hits >= least").select("rep")
+    visits = open_.join(_handy(asked), "rep", "left_semi").groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"), F.max("component").alias("component"))
+    visits = settle(visits)
     owner = group.select(F.col("node").alias("block"), F.col("component").alias("major"))
     visits = visits.join(owner, "block", "left").withColumn("minor", F.col("component") != F.coalesce("major", "block")).drop("major")
     parts = lambda c: F.ceil(F.sum(c) / CHUNK).cast("int")
