@@ -227,15 +227,15 @@ class Lengths:
 
 def best_two(free: Lengths, room: int, but: int) -> int:
     """The largest sum of two remaining pieces within room."""
-    keys, best = free.keys, 0
-    i, j = 0, bisect_right(keys, room) - 1
+    left = {k: free.n[k] - (k == but) for k in free.keys if k < room}
+    keys = [k for k, n in left.items() if n]
+    best, i, j = 0, 0, len(keys) - 1
     while i <= j:
         s = keys[i] + keys[j]
         if s > room:
             j -= 1
             continue
-        enough = free.n[keys[i]] - (keys[i] == but) >= (2 if i == j else 1) and free.n[keys[j]] - (keys[j] == but) >= 1
-        if enough:
+        if i < j or left[keys[i]] > 1:
             best = max(best, s)
         i += 1
     return best
