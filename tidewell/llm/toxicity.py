@@ -140,11 +140,11 @@ def label_model(votes: np.ndarray, accuracy: np.ndarray, rounds: int = ROUNDS) -
 
     ``accuracy`` is a first guess of P(toxic | vote) for each voter; no label is seen from here on. An
     abstention says nothing: voters of one language keep silent on texts of another. Voters that agree
-    more than the classes explain share their weight, yet never say less than one of them alone.
+    more than the classes explain share their weight, yet those for toxic never say less than one of them.
     """
     n = len(votes)
     count = votes.sum(0)
-    accuracy = np.clip(accuracy, 0.02, 0.98)
+    guess = accuracy = np.clip(accuracy, 0.02, 0.98)
     post = np.where(votes.any(1), (votes @ accuracy) / np.maximum(votes.sum(1), 1), 0.01)
     for _ in range(rounds):
         prior = float(np.clip(post.mean(), 0.005, 0.5))
@@ -157,10 +157,13 @@ def label_model(votes: np.ndarray, accuracy: np.ndarray, rounds: int = ROUNDS) -
         weight = 1 / (1 + np.maximum(rho - 2 / np.sqrt(n), 0).sum(1))
         base = np.log(prior / (1 - prior))
         says = np.log(accuracy / (1 - accuracy)) - base
-        shared, alone = votes @ (weight * says), np.where(votes > 0, says, -np.inf).max(1)
-        logit = base + np.where(alone > 0, np.maximum(shared, alone), shared)
+        for_, against = np.maximum(says, 0), np.minimum(says, 0)
+        strongest = np.maximum(votes @ (weight * for_), (votes * for_).max(1))
+        logit = base + strongest + votes @ (weight * against)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        accuracy = np.clip((new @ votes + prior) / (count + 1), 0.02, 0.98)
+        # where a voter speaks alone its first guess stands: it cannot confirm itself
+        alone = votes.sum(1) == 1
+        accuracy = np.clip(((new * ~alone) @ votes + (alone @ votes) * guess + guess) / (count + 1), 0.02, 0.98)
         done = np.abs(new - post).max() < 1e-6
         post = new
         if done:
