@@ -45,7 +45,7 @@ PERCENT = 75
 BLOCK, LOCAL, COMMON, MOST_COMMON = 1_000_000, 4, 16, 1 << 17
 #: Shingles a chunk of a block holds.
 CHUNK = 100_000
-#: Rows of two numbers that may be broadcast.
+#: Rows of a few numbers that may be broadcast.
 HANDY = 1_000_000
 #: DivideSkip's weight of the merge against the probes.
 MU = 0.0085
@@ -213,7 +213,8 @@ def _shared(posts: DataFrame) -> DataFrame:
 
 
 def _handy(keys: DataFrame) -> DataFrame:
-    """Written, counted, and broadcast if it has HANDY rows at most; else it is joined by a shuffle."""
+    """Written, counted, and broadcast if it has HANDY rows at most; else it is joined by a shuffle.
+    Rows hold a few numbers, so what is broadcast has a fixed bound and the texts stay where they are."""
     keys = settle(keys)
     return F.broadcast(keys) if keys.count() <= HANDY else keys
 
@@ -228,9 +229,12 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
-    signed = settle(docs.mapInArrow(lambda b: _signatures(b, words, percent, common), "doc_id long, n_shingles long, set_id binary, least long, rare array<long>, frequent array<long>"))
-    classes = signed.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    whole = signed.join(classes, "set_id").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "least", "rare", "frequent")
+    signed = docs.mapInArrow(lambda b: _signatures(b, words, percent, common), "doc_id long, n_shingles long, set_id binary, least long, rare array<long>, frequent array<long>")
+    signed = settle(signed.withColumn("row", F.monotonically_increasing_id()))
+    # one row stands for each set; its number is joined, so the signatures move only where there are many
+    first_row = F.min_by("row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("row")
+    classes = settle(signed.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), first_row))
+    whole = signed.join(_handy(classes.select("row")), "row", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "least", "rare", "frequent")
     # rare shingles stand in few lists: their members can be counted in place. The others are counted
     # with partial sums and joined, which Spark can split where a list is long.
     by = Window.partitionBy("token")
@@ -238,7 +242,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rare = rare.withColumns({"first": F.min("rep").over(by), "last": F.max("rep").over(by)}).filter("first != last")
     often = whole.select("rep", "n", "least", F.explode("frequent").alias("token"))
     columns = ["token", "rep", "n", "least"]
-    met = settle(rare.select(*columns).union(often.join(_shared(often), "token").select(*columns)).distinct())
+    met = settle(rare.select(*columns).union(often.join(_shared(often), "token").select(*columns)))
     enough = met.groupBy("rep").agg(F.count("*").alias("hits"), F.max("least").alias("least")).filter("hits >= least").select("rep")
     alive = met.join(_handy(enough), "rep", "left_semi")
     lists = settle(alive.join(_shared(alive), "token").select(*columns, "lead", "lead_n"))
@@ -248,8 +252,8 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     homes = settle(votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("home")))
     texts = docs
     pairs = homes.filter("rep != home")
-    mine = pairs.join(texts, pairs["rep"] == texts["doc_id"]).select(F.col("rep").alias("a"), "text", F.col("home").alias("b"))
-    theirs = texts.join(pairs.select(F.col("home").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    mine = texts.join(_handy(pairs), F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("a"), "text", F.col("home").alias("b"))
+    theirs = texts.join(_handy(pairs.select(F.col("home").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     first = settle(mine.join(theirs, "b").select("a", "text", "b", "b_text").mapInArrow(lambda b: _compare(b, words, percent), "a long, b long"))
     group = settle(components(first))
     # lists that hold several components
@@ -267,7 +271,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     dealt = visits.join(sizes, "block").withColumns({"j": F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), "i": F.pmod(F.xxhash64("rep"), F.col("query_chunks")).cast("int")})
     indexed = dealt.select("block", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)).alias("i"), "j", F.lit(False).alias("query"))
     asked = dealt.filter("minor").select("block", "rep", "component", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("query"))
-    chunks = indexed.union(asked).join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    chunks = texts.join(_handy(indexed.union(asked)), F.col("rep") == F.col("doc_id")).drop("doc_id")
     second = chunks.groupBy("block", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, words, percent), "a long, b long")
     final = settle(components(first.union(second)))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
