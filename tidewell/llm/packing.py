@@ -32,7 +32,7 @@ from tidewell.llm.common import settle
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory is emptied when full.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 150_000
 CHUNK = 512
 CELLS = 1024
 
