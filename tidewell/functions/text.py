@@ -99,3 +99,43 @@ def glob_pattern(glob: str) -> str:
 def wildcard_pattern(pattern: str) -> str:
     """An anchored, case-insensitive expression where ``*`` is any text and ``?`` one sign."""
     return "(?is)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
+def stable_id(namespace: Column, key: Column) -> Column:
+    """An unsigned 64-bit number as text: the first eight bytes of a digest, the last one leading."""
+    digest = F.sha2(F.concat(namespace, F.lit("\0"), key).cast("binary"), 256)
+    turned = F.concat(*[F.substring(digest, i, 2) for i in range(15, 0, -2)])
+    return F.conv(turned, 16, 10)
+
+
+def object_key(kind: str, corpus: Column, name: Column) -> Column:
+    """kind/corpus/name, signs that file names don't take as underscores."""
+    clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9._-]", "_")
+    return F.concat_ws("/", F.lit(kind), clean(corpus), clean(name))
+
+
+def host_of(url: Column) -> Column:
+    """Host of an address in lower case, without a leading www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z]+://([^/?#:]+)", 1)), r"^www\.", "")
+
+
+def normal_url(url: Column) -> Column:
+    """The address with https; null for other schemes, empty hosts and local targets."""
+    local = url.rlike(r"^https?://(localhost|127\.|10\.|192\.168\.|\[::1\])")
+    return F.when(url.rlike("^https?://[^/]") & ~local, F.regexp_replace(url, "^http://", "https://"))
+
+
+def snip(text: Column, most: int) -> Column:
+    """Longer texts by their first and last halves of ``most`` characters."""
+    half = most // 2
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, half), F.lit(" [...] "), F.right(text, F.lit(half)))).otherwise(text)
+
+
+def fold_quotes(text: Column) -> Column:
+    """Line feeds alone as line ends, straight quotes."""
+    return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "‘’“”", "''\"\"")
+
+
+def identifiers(text: Column) -> Column:
+    """Distinct identifiers in order of their names."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
