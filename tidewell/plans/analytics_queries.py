@@ -171,7 +171,7 @@ def m12(spark, d):
     return table(spark, d, "part").select("p_partkey", *[F.round(nm.convert(v, *x), 6).alias(n) for n, x in (("feet", ("length", "mi", "ft")), ("grams", ("weight", "lb", "g")), ("litres", ("volume", "gal", "l")))])
 
 
-@register("m13_temperature", "SELECT p_partkey, round((p_size - 32) * 5 / 9.0, 6) AS c, CASE WHEN (p_size - 300) + 273.15 >= 0 THEN round((p_size - 300) + 273.15, 6) END AS k FROM part")
+@register("m13_temperature", "SELECT p_partkey, round((p_size - 32) * 5 / 9.0, 6) AS c, CASE WHEN (p_size - 300) + 273.15::DOUBLE >= 0 THEN round((p_size - 300) + 273.15::DOUBLE, 6) END AS k FROM part")
 def m13(spark, d):
     v = F.col("p_size").cast("double")
     return table(spark, d, "part").select("p_partkey", F.round(nm.convert_temperature(v, "F", "C"), 6).alias("c"), F.round(nm.convert_temperature(v - 300, "C", "K"), 6).alias("k"))

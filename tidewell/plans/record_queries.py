@@ -124,7 +124,7 @@ def a23(spark, d):
 
 
 @register("a24_usage_cost", """
-SELECT role, sum(length(coalesce(text, '')) // 4) AS tokens, round(sum(length(coalesce(text, '')) // 4) * (CASE role WHEN 'assistant' THEN 15 ELSE 3 END) / 1e6, 8) AS cost FROM conversations GROUP BY role""")
+SELECT role, sum(length(coalesce(text, '')) // 4)::BIGINT AS tokens, round(sum(length(coalesce(text, '')) // 4) * (CASE role WHEN 'assistant' THEN 15 ELSE 3 END) / 1e6, 8) AS cost FROM conversations GROUP BY role""")
 def a24(spark, d):
     tokens = F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 4))
     used = _talk(spark, d).groupBy("role").agg(tokens.alias("tokens"))
@@ -204,7 +204,7 @@ def t2(spark, d):
 
 
 @register("t3_importance", """
-SELECT doc_id AS id, round(greatest(0.1, least(1.0, 0.2 + CASE WHEN length(text) > 100 THEN 0.4 WHEN length(text) > 50 THEN 0.2 ELSE 0 END + CASE WHEN doc_id % 6 > 3 THEN 0.3 WHEN doc_id % 6 > 1 THEN 0.2 ELSE 0 END)), 6) AS importance FROM documents""")
+SELECT doc_id AS id, round(greatest(0.1, least(1.0, 0.2::DOUBLE + CASE WHEN length(text) > 100 THEN 0.4 WHEN length(text) > 50 THEN 0.2 ELSE 0 END + CASE WHEN doc_id % 6 > 3 THEN 0.3 WHEN doc_id % 6 > 1 THEN 0.2 ELSE 0 END)), 6) AS importance FROM documents""")
 def t3(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.round(rc.importance(F.length("text"), F.col("doc_id") % 6), 6).alias("importance"))
 
