@@ -144,3 +144,34 @@ def test_decoding_lists_exactly_the_exceeding_directions():
                     if s[0][i, a] + s[1][i, b] + s[2][i, c] >= 1.2:
                         want.add((i, (a * 6 + b) * 6 + c))
     assert set(zip(rows.tolist(), code.tolist())) == want
+
+
+def _pairs(n, dim):
+    """n random pairs of unit vectors at a cosine of just over 0.9."""
+    x, z = np.random.default_rng(21).standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    return x, 0.9001 * x + np.sqrt(1 - 0.9001**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def test_caps_find_the_links_at_any_size():
+    sides = _pairs(500, 64)
+    for n in (20_000, 1_000_000, 10_000_000):
+        plan = cap_filters.design(n, 64)
+        found = np.zeros(500, dtype=bool)
+        for table in range(plan.tables):
+            rotation, books = cap_filters.codebooks(64, plan.blocks, plan.size, cap_filters.SEED + table)
+            met = [set(zip(*(v.tolist() for v in cap_filters.decode(x @ rotation, books, plan.threshold)))) for x in sides]
+            found[[row for row, _ in met[0] & met[1]]] = True
+        assert found.mean() >= 0.93
+
+
+def test_several_tables_count_a_link_once(spark, monkeypatch):
+    monkeypatch.setattr(cap_filters, "EXACT", 0)
+    monkeypatch.setattr(cap_filters, "LOAD", 0.5)  # at 2,400 vectors as narrow as at 300,000
+    x, y = _pairs(200, 64)
+    other = np.random.default_rng(3).standard_normal((2000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y, other]))]
+    got = {r.vec_id: r for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[i].n_links == got[i + 200].n_links == 1 and got[i + 200].component_id == i for i in range(200)) >= 0.9 * 200
+    assert all(r.n_links <= 1 for r in got.values())
