@@ -176,3 +176,15 @@ def test_stream_breaker_equals_batch(spark, tmp_path):
     batch = mt.circuit_breaker(df.withColumn("failed", F.col("event_type") == "error"), "user_id", "failed", "ts", ["ts", "event_id"])
     assert got == {r.event_id: r.state for r in batch.collect()} and "open" in got.values()
     assert not math.isnan(len(got))
+
+
+def test_stream_once_over_many_files_without_order(spark, tmp_path):
+    from tidewell.streaming import events as ev
+
+    # 20 files, later files with earlier times; ids of the first file come again days apart in the last
+    for k in range(20):
+        rows = [(i if k < 19 else i - 19 * 10, (20 - k) * 86_400 + i) for i in range(k * 10, k * 10 + 10)]
+        df = spark.createDataFrame(rows, "event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+        df.selectExpr("event_id", "ts", "1L AS user_id", "'view' AS event_type", "1D AS value", "'' AS props").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    got = sorted(r.event_id for r in ev.drain(ev.once(ev.event_stream(spark, str(tmp_path / "e"))).select("event_id")).collect())
+    assert got == list(range(190))

@@ -39,9 +39,9 @@ def idle_sessions(events: DataFrame, gap: str = "300 seconds", late: str = "1 da
     return events.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def once(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Every event id once while the watermark remembers it."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def once(events: DataFrame) -> DataFrame:
+    """Every event id once, however late or far apart its rows come. The ids that were seen are kept as state."""
+    return events.dropDuplicates(["event_id"])
 
 
 def breaker_states(events: DataFrame, most: int = 5, reset: int = 60) -> DataFrame:
