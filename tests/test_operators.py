@@ -188,3 +188,28 @@ def test_stream_once_over_many_files_without_order(spark, tmp_path):
         df.selectExpr("event_id", "ts", "1L AS user_id", "'view' AS event_type", "1D AS value", "'' AS props").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
     got = sorted(r.event_id for r in ev.drain(ev.once(ev.event_stream(spark, str(tmp_path / "e"))).select("event_id")).collect())
     assert got == list(range(190))
+
+
+def test_stream_breaker_with_a_hot_user_in_files_without_order(spark, tmp_path):
+    from tidewell.streaming import events as ev
+
+    # 12,000 events of one user, dealt over 24 files against the order of time
+    df = spark.range(12_000).selectExpr("id AS event_id", "timestamp_seconds(id * 7) AS ts", "if(id % 40 = 39, 2L, 1L) AS user_id", "if(pmod(hash(id), 100) < 70, 'error', 'view') AS event_type", "1D AS value", "'' AS props")
+    for k in range(24):
+        df.filter(f"pmod(event_id * 7 + event_id div 500, 24) = {23 - k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    got = {r.event_id: r.state for r in ev.drain(ev.breaker_states(ev.event_stream(spark, str(tmp_path / "e")))).collect()}
+    want, held = {}, {}
+    for r in df.orderBy("ts", "event_id").collect():
+        state, row, since = held.get(r.user_id, ("closed", 0, None))
+        now, bad = r.ts.timestamp(), r.event_type == "error"
+        if state == "open" and now - since >= 60:
+            state = "half_open"
+        if state == "half_open":
+            state, row, since = ("open", 5, now) if bad else ("closed", 0, since)
+        elif state == "closed":
+            row = row + 1 if bad else 0
+            if row >= 5:
+                state, since = "open", now
+        held[r.user_id] = state, row, since
+        want[r.event_id] = state
+    assert len(got) == 12_000 and got == want

@@ -60,23 +60,32 @@ def circuit_breaker(df: DataFrame, by: str, failed: str, ts: str, order: list[st
     """df's keys with ``state`` after each row: closed, open or half_open. ``most`` failures in a row
     open it; the first row after ``reset`` seconds is a trial that closes or opens it again; rows in
     between are refused. A machine with feedback, so each key is walked in order."""
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, row, since, out = "closed", 0, None, []
-        for bad, t in zip(pdf[failed], pdf[ts], strict=True):
-            if state == "open" and (t - since).total_seconds() >= reset:
-                state = "half_open"
-            if state == "half_open":
-                state, row = ("open", most) if bad else ("closed", 0)
-                since = t if bad else since
-            elif state == "closed":
-                row = row + 1 if bad else 0
-                if row >= most:
-                    state, since = "open", t
-            out.append(state)
-        return pd.DataFrame({by: pdf[by], order[-1]: pdf[order[-1]], "state": out})
+    import pyarrow as pa
 
     kinds = dict(df.dtypes)
-    return df.groupBy(by).applyInPandas(walk, f"{by} {kinds[by]}, {order[-1]} {kinds[order[-1]]}, state string")
+    micros = reset * 1_000_000
+
+    def walk(batches):
+        # a key's rows follow each other in order: four values are carried from batch to batch
+        key, state, row, since, first = None, "closed", 0, None, True
+        for batch in batches:
+            out = []
+            at = batch.column(3).cast(pa.int64())  # microseconds
+            for k, bad, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), at.to_pylist(), strict=True):
+                if first or k != key:
+                    key, state, row, since, first = k, "closed", 0, None, False
+                if state == "open" and t is not None and since is not None and t - since >= micros:
+                    state = "half_open"
+                if state == "half_open":
+                    state, row = ("open", most) if bad else ("closed", 0)
+                    since = t if bad else since
+                elif state == "closed":
+                    row = row + 1 if bad else 0
+                    if row >= most:
+                        state, since = "open", t
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [by, order[-1], "state"])
+
+    ordered = df.repartition(by).sortWithinPartitions(by, *[F.asc_nulls_last(c) for c in order])
+    slim = ordered.select(by, order[-1], F.col(failed).alias("_bad"), F.col(ts).alias("_at"))
+    return slim.mapInArrow(walk, f"{by} {kinds[by]}, {order[-1]} {kinds[order[-1]]}, state string")

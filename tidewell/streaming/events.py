@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.metrics import circuit_breaker
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -44,34 +46,28 @@ def once(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def breaker_states(events: DataFrame, most: int = 5, reset: int = 60) -> DataFrame:
+class Ordered(NamedTuple):
+    """A stream of rows whose result depends on the order of all of them: ``fold`` makes it from the
+    drained table, as neither files nor triggers come in that order."""
+
+    rows: DataFrame
+    fold: Callable[[DataFrame], DataFrame]
+
+
+def breaker_states(events: DataFrame, most: int = 5, reset: int = 60) -> Ordered:
     """(user_id, event_id, state): a circuit breaker for each user over a stream (event_type 'error' is a
-    failure). Each user's state is four numbers, so it is bounded however long the stream runs."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        name, row, since = state.get if state.exists else ("closed", 0, 0.0)
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                now, bad = r.ts.timestamp(), r.event_type == "error"
-                if name == "open" and now - since >= reset:
-                    name = "half_open"
-                if name == "half_open":
-                    name, row, since = ("open", most, now) if bad else ("closed", 0, since)
-                elif name == "closed":
-                    row = row + 1 if bad else 0
-                    if row >= most:
-                        name, since = "open", now
-                out.append((key[0], r.event_id, name))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "state"])
-        state.update((name, row, since))
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string", "name string, row int, since double", "append", "NoTimeout")
-
-
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    failure), in the order of (ts, event_id) whatever the order of arrival. A user's rows are sorted by
+    Spark and folded with four values of state."""
+    rows = events.select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    return Ordered(rows, lambda table: circuit_breaker(table, "user_id", "failed", "ts", ["ts", "event_id"], most, reset))
+
+
+def drain(stream: DataFrame | Ordered, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there now, and read back what it wrote to the shared folder. In
-    complete mode the last result counts. ``each`` gets every batch besides, as a fan-out."""
+    complete mode the last result counts. ``each`` gets every batch besides, as a fan-out. What depends
+    on the order of all rows is folded after the last batch."""
+    if isinstance(stream, Ordered):
+        return stream.fold(drain(stream.rows, mode, each))
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
