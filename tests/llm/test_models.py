@@ -142,3 +142,24 @@ def test_checksums():
     data = np.frombuffer(b"123456789xx", np.uint8)
     assert media.crc16(data, np.array([0]), np.array([9]))[0] == 0xFEE8
     assert hashlib.sha256(b"").hexdigest() and zlib.crc32(b"") == 0
+
+
+def test_every_word_is_a_training_target_once(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    names = [b"w%d" % i for i in range(60)]
+    book = lm_scoring.Words(names, np.ones(60), np.zeros(257))
+    texts = [b" ".join(names[:n]).decode() for n in (1, 2, 7, 8, 40, 60)] + [None, ""]
+    got = []
+    monkeypatch.setattr(lm_scoring, "learn", lambda p, around, group: got.extend(map(tuple, np.column_stack([around, group]).tolist())))
+    share = lambda **x: list(lm_scoring._train([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], types.SimpleNamespace(value=book), types.SimpleNamespace(value=lm_scoring.initial()), **x))
+    ids = [book.ids(lm_scoring.split_words(t)) for t in texts if t]
+    want = sorted(tuple(r) for i in ids for r in np.column_stack([lm_scoring.contexts(i), book.group[i]]).tolist())
+    share()
+    assert sorted(got) == want
+    got.clear()
+    for turn in range(3):
+        share(turn=turn, turns=3)
+    assert sorted(got) == want

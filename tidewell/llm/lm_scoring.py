@@ -5,9 +5,9 @@ softmax on a hidden layer over the neighbours' embeddings, then the word by its
 Words outside the vocabulary are one class more, spelt out by the bytes of the rare words. The sum of
 the conditional log-probabilities of all words of a document is its pseudo-log-likelihood.
 
-Word counts cover all documents. The network is trained in numpy on every partition at once, on every
-STRIDE-th word of every document, and the partitions' weights are averaged in proportion to the words
-that they saw; this is repeated ROUNDS times.
+Word counts cover all documents. The network is trained in numpy on every partition at once, and the
+partitions' weights are averaged in proportion to the words that they saw; this is repeated ROUNDS times.
+Each round takes its share of the words of every document, and all rounds together each word once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tidewell.llm.common import settle
 
 VOCABULARY, CLASSES = 8192, 48
 WINDOW, EMBED, HIDDEN = 2, 12, 24
-STRIDE, ROUNDS, BATCH, RATE, SEED = 8, 2, 512, 0.3, 3
+ROUNDS, BATCH, RATE, SEED = 2, 512, 0.3, 3
 #: Distinct words a task counts before it hands the counts on; words that are scored together.
 HELD_WORDS, CHUNK = 400_000, 1 << 15
 
@@ -125,7 +125,8 @@ def learn(p: dict[str, np.ndarray], around: np.ndarray, group: np.ndarray, rate:
     p["embed"][names] -= rate * np.sqrt(len(flat) / np.diff(np.append(first, len(flat))))[:, None].astype(np.float32) * grads
 
 
-def _train(batches: Iterable[pa.RecordBatch], words, start) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
+    """Weights after the words of this turn: every turns-th one of each text, from a start that moves on."""
     book, p = words.value, {k: v.copy() for k, v in start.value.items()}
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = seen = 0
@@ -144,7 +145,7 @@ def _train(batches: Iterable[pa.RecordBatch], words, start) -> Iterator[pa.Recor
         for text in batch.column(0):
             ids = book.ids(split_words(text.as_py()))
             if len(ids):
-                at = np.arange((len(ids) * 5) % STRIDE % len(ids), len(ids), STRIDE)
+                at = np.arange((len(ids) + turn) % turns, len(ids), turns)
                 held.append((contexts(ids)[at], book.group[ids[at]]))
                 size += len(at)
                 if size >= 16 * BATCH:
@@ -177,9 +178,9 @@ def train(docs: DataFrame, book: Words, rounds: int = ROUNDS) -> dict[str, np.nd
     spark = docs.sparkSession
     p, schema = initial(), "name string, seen long, weights array<float>"
     words = spark.sparkContext.broadcast(book)
-    for _ in range(rounds):
+    for turn in range(rounds):
         start = spark.sparkContext.broadcast(p)
-        local = settle(docs.select("text").mapInArrow(lambda b, s=start: _train(b, words, s), schema))
+        local = settle(docs.select("text").mapInArrow(lambda b, s=start, t=turn: _train(b, words, s, t, rounds), schema))
         # two levels of partial averages, then a handful of rows
         few = local.repartition(16).mapInPandas(_average, schema).coalesce(1).mapInPandas(_average, schema).collect()
         p = {r["name"]: np.array(r["weights"], dtype=np.float32).reshape(p[r["name"]].shape) for r in few} or p
