@@ -1,33 +1,47 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A network sees the WINDOW words on both sides of a masked word and predicts it: a class first, by a
-softmax on a hidden layer over the neighbours' embeddings, then the word by its share of the class.
-Words outside the vocabulary are one class more, spelt out by the bytes of the rare words. The sum of
-the conditional log-probabilities of all words of a document is its pseudo-log-likelihood.
-
-Word counts cover all documents. The network is trained in numpy on every partition at once, and the
-partitions' weights are averaged in proportion to the words that they saw; this is repeated ROUNDS times.
-Each round takes its share of the words of every document, and all rounds together each word once.
+A network sees the WINDOW words on both sides of a masked word and predicts the word itself: a hidden
+layer over the neighbours' embeddings gives the weights of PARTS distributions over the vocabulary, and
+the probability of a word is their mixture, ``p(w | around) = sum_k gate_k(around) * part_k(w)``. The parts
+sum to one over all words, so no class stands for a word and nothing is sampled. Gates are trained by
+gradient descent, parts by expectation maximisation on the same batches.
+
+The vocabulary grows with the corpus. Words beyond it are one entry of every part, and each has its share
+of that entry by its count in the corpus: these counts stay in a Spark table that is joined to the
+documents' words. As neighbours such words stand for their first and last letters. The sum of the
+conditional log-probabilities of all words of a document is its pseudo-log-likelihood.
+
+The network is trained in numpy on every partition at once, and the partitions' weights are averaged by
+Spark in proportion to the words that they saw; this is repeated ROUNDS times. Each round takes its
+share of the words of every document, and all rounds together each word once.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import isqrt, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle
+from tidewell.llm.common import settle, shuffle_partitions
 
-VOCABULARY, CLASSES = 8192, 48
-WINDOW, EMBED, HIDDEN = 2, 12, 24
-ROUNDS, BATCH, RATE, SEED = 2, 512, 0.3, 3
-#: Distinct words a task counts before it hands the counts on; words that are scored together.
-HELD_WORDS, CHUNK = 400_000, 1 << 15
+#: The vocabulary has the root of the number of all words, within these bounds; rows for rarer neighbours.
+LEAST_VOCABULARY, MOST_VOCABULARY, SHAPES = 8192, 64_000, 1024
+WINDOW, EMBED, HIDDEN, PARTS = 2, 12, 24, 48
+ROUNDS, BATCH, RATE, SEED = 2, 4096, 6.0, 3
+#: Words of a part's start that the words seen in a round are added to; smoothing of the parts at its end.
+START, SMOOTH = 50_000, 1e-3
+#: Distinct words a task counts before it hands the counts on; numbers in a row of weights.
+HELD_WORDS, ROW = 400_000, 1 << 14
+#: The key of a word in the table of counts: Spark's xxhash64 of its bytes.
+KEY_SEED = 42
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -51,94 +65,111 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """The vocabulary: class and log share of every known word, and the spelling of the others.
+    """The vocabulary: places of the known words, ``size`` for the others; as neighbours the others have
+    places beyond that by their letters, and the last place is the edge of a text."""
 
-    Classes are runs of words in order of frequency, of equal weight. The last class is the unknown.
-    """
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, spelling: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, rare: float):
+        self.size, self.edge = len(words), len(words) + 1 + SHAPES
         self.place = {w: i for i, w in enumerate(words)}
-        self.size = len(words)
-        share = np.cumsum(counts) / max(1, counts.sum())
-        self.group = np.append(np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1) if len(words) else np.zeros(0, np.int64), CLASSES)
-        weight = np.bincount(self.group[:-1], weights=counts, minlength=CLASSES) if len(words) else np.zeros(CLASSES)
-        self.inside = np.append(np.log(counts / weight[self.group[:-1]]) if len(words) else np.zeros(0), 0.0)
-        self.letters = np.log((spelling + 1) / (spelling.sum() + len(spelling)))
+        all_ = np.append(counts, rare).astype(float)
+        self.share = (all_ / max(1.0, all_.sum())).astype(np.float32)
+        self.rare = max(1.0, float(rare))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, none = self.place.get, self.size
-        return np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
-
-    def spelt(self, word: bytes) -> float:
-        """Log-probability of a word by its bytes and an end."""
-        return float(self.letters[np.frombuffer(word, np.uint8)].sum() + self.letters[256])
+        get, base = self.place.get, self.size + 1
+        out = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            w = words[i]
+            out[i] = base + zlib.crc32(w[:2] + b"|" + w[-3:]) % SHAPES
+        return out
 
 
-def initial() -> dict[str, np.ndarray]:
-    """Embeddings of the words, the unknown and the edge of a text; a hidden layer; class scores."""
+def initial(book: Words) -> dict[str, np.ndarray]:
+    """Embeddings of all places, a hidden layer, gates; parts near the words' shares, moved at random."""
     rng = np.random.default_rng(SEED)
     p = {
-        "embed": rng.normal(0, 0.1, (VOCABULARY + 2, EMBED)),
+        "embed": rng.normal(0, 0.1, (book.edge + 1, EMBED)),
         "mix": rng.normal(0, 0.2, (2 * WINDOW * EMBED, HIDDEN)),
         "tilt": np.zeros(HIDDEN),
-        "out": rng.normal(0, 0.1, (HIDDEN, CLASSES + 1)),
-        "bias": np.zeros(CLASSES + 1),
+        "gate": rng.normal(0, 0.1, (HIDDEN, PARTS)),
+        "bias": np.zeros(PARTS),
+        "part": book.share[:, None] * np.exp(rng.normal(0, 0.5, (book.size + 1, PARTS))),
     }
+    p["part"] /= np.maximum(p["part"].sum(0), 1e-30)
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """(n, 2 * WINDOW): the neighbours of each word of one text; VOCABULARY + 1 beyond its edges."""
-    edge = np.full(WINDOW, VOCABULARY + 1, dtype=np.int64)
-    padded = np.concatenate([edge, ids, edge])
+def contexts(ids: np.ndarray, edge: int) -> np.ndarray:
+    """(n, 2 * WINDOW): the neighbours of each word of one text; ``edge`` beyond its ends."""
+    ends = np.full(WINDOW, edge, dtype=np.int64)
+    padded = np.concatenate([ends, ids, ends])
     n = len(ids)
     return np.stack([padded[WINDOW + d : WINDOW + d + n] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))], axis=1)
 
 
-def log_classes(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probabilities of the classes, the hidden layer and its input."""
-    x = p["embed"][around].reshape(len(around), -1)
+def gates(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the parts for each context, the hidden layer and its input."""
+    x = np.take(p["embed"], around.ravel(), axis=0).reshape(len(around), -1)
     hidden = np.tanh(x @ p["mix"] + p["tilt"])
-    z = hidden @ p["out"] + p["bias"]
+    z = hidden @ p["gate"] + p["bias"]
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
     return z, hidden, x
 
 
-def learn(p: dict[str, np.ndarray], around: np.ndarray, group: np.ndarray, rate: float = RATE) -> None:
-    """One step of gradient descent on a batch, in place."""
-    z, hidden, x = log_classes(p, around)
-    d = np.exp(z)
-    d[np.arange(len(group)), group] -= 1
-    d /= len(group)
-    dh = d @ p["out"].T * (1 - hidden * hidden)
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their rows, how many)."""
+    order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
+    in_order = keys[order]
+    first = np.flatnonzero(np.diff(in_order, prepend=in_order[0] - 1))
+    return in_order[first], np.add.reduceat(rows[order], first), np.diff(np.append(first, len(keys)))
+
+
+def learn(p: dict[str, np.ndarray], counts: np.ndarray, around: np.ndarray, word: np.ndarray, rate: float = RATE) -> None:
+    """One step on a batch, in place: down the gradient of the gates, and the parts' share in every word
+    added to ``counts``."""
+    g, hidden, x = gates(p, around)
+    r = g * np.take(p["part"], word, axis=0)
+    r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
+    g -= r
+    g /= len(word)
+    dh = g @ p["gate"].T * (1 - hidden * hidden)
     dx = (dh @ p["mix"].T).reshape(-1, EMBED)
-    p["out"] -= rate * hidden.T @ d
-    p["bias"] -= rate * d.sum(0)
+    p["gate"] -= rate * hidden.T @ g
+    p["bias"] -= rate * g.sum(0)
     p["mix"] -= rate * x.T @ dh
     p["tilt"] -= rate * dh.sum(0)
     # rare words stand in few rows: their steps are longer by the usual square root
-    flat = around.ravel()
-    order = np.argsort(flat, kind="stable")
-    names, first = np.unique(flat[order], return_index=True)
-    grads = np.add.reduceat(dx[order], first)
-    p["embed"][names] -= rate * np.sqrt(len(flat) / np.diff(np.append(first, len(flat))))[:, None].astype(np.float32) * grads
+    names, grads, n = _sums(around.ravel(), dx)
+    p["embed"][names] -= rate * np.sqrt(around.size / n)[:, None].astype(np.float32) * grads
+    names, shares, _ = _sums(word, r)
+    counts[names] += shares
+
+
+def mixed(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Parts from counts: smoothed by the words' shares, each summing to one."""
+    part = counts + share[:, None] * np.float32(SMOOTH * max(1e-6, counts.sum()) / PARTS)
+    return (part / np.maximum(part.sum(0), 1e-30)).astype(np.float32)
 
 
 def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
     """Weights after the words of this turn: every turns-th one of each text, from a start that moves on."""
     book, p = words.value, {k: v.copy() for k, v in start.value.items()}
+    before = p["part"] * np.float32(START / PARTS)
+    counts = np.zeros_like(before)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = seen = 0
 
     def flush(least: int) -> None:
         nonlocal held, size, seen
-        around, group = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        for lo in range(0, len(group) - least + 1, BATCH):
-            learn(p, around[lo : lo + BATCH], group[lo : lo + BATCH])
-        done = (len(group) - least + BATCH) // BATCH * BATCH if len(group) >= least else 0
-        seen += min(done, len(group))
-        held = [(around[done:], group[done:])]
+        around, word = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        done = len(word) // BATCH * BATCH if least == BATCH else len(word)
+        for lo in range(0, done, BATCH):
+            learn(p, counts, around[lo : min(done, lo + BATCH)], word[lo : min(done, lo + BATCH)], RATE * min(1.0, (done - lo) / BATCH))
+        p["part"] = mixed(before + counts, book.share)
+        seen += done
+        held = [(around[done:], word[done:])]
         size = len(held[0][1])
 
     for batch in batches:
@@ -146,115 +177,120 @@ def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns
             ids = book.ids(split_words(text.as_py()))
             if len(ids):
                 at = np.arange((len(ids) + turn) % turns, len(ids), turns)
-                held.append((contexts(ids)[at], book.group[ids[at]]))
+                held.append((contexts(ids, book.edge)[at], np.minimum(ids[at], book.size)))
                 size += len(at)
-                if size >= 16 * BATCH:
+                if size >= 8 * BATCH:
                     flush(BATCH)
     if size:
         flush(1)
     if seen:
-        # one row for each weight matrix: the average is taken by Spark
-        rows = [(k, seen, v.ravel().astype(np.float32)) for k, v in p.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float32()))], ["name", "seen", "weights"])
+        p["part"] = counts / np.float32(seen)
+        # rows of bounded length: Spark adds up each stretch of the weights on its own
+        rows = [(k, lo // ROW, seen, v[lo : lo + ROW]) for k, v in ((k, v.ravel().astype(np.float32)) for k, v in p.items()) for lo in range(0, len(v), ROW)]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "block", "seen", "weights"])
 
 
 def _average(group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of the weights of some partitions: at most one row a name is held at a time."""
-    total: dict[str, list] = {}
+    """Weighted means of the stretches of weights that fell to this task, added up one row at a time."""
+    total: dict[tuple[str, int], list] = {}
     for pdf in group:
-        for name, seen, weights in pdf.itertuples(index=False):
+        for name, block, seen, weights in pdf.itertuples(index=False):
             w = np.asarray(weights, dtype=np.float64) * seen
-            if name in total:
-                total[name][0] += seen
-                total[name][1] += w
-            else:
-                total[name] = [seen, w]
+            held = total.setdefault((name, block), [0, np.zeros(len(w))])
+            held[0] += seen
+            held[1] += w
     if total:
-        yield pd.DataFrame([(k, s, w / s) for k, (s, w) in total.items()], columns=["name", "seen", "weights"])
+        yield pd.DataFrame([(k, b, s, w / s) for (k, b), (s, w) in total.items()], columns=["name", "block", "seen", "weights"])
 
 
 def train(docs: DataFrame, book: Words, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Local training on all partitions and averaging, ``rounds`` times."""
     spark = docs.sparkSession
-    p, schema = initial(), "name string, seen long, weights array<float>"
+    p, schema = initial(book), "name string, block int, seen long, weights array<float>"
     words = spark.sparkContext.broadcast(book)
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(p)
-        local = settle(docs.select("text").mapInArrow(lambda b, s=start, t=turn: _train(b, words, s, t, rounds), schema))
-        # two levels of partial averages, then a handful of rows
-        few = local.repartition(16).mapInPandas(_average, schema).coalesce(1).mapInPandas(_average, schema).collect()
-        p = {r["name"]: np.array(r["weights"], dtype=np.float32).reshape(p[r["name"]].shape) for r in few} or p
+        local = docs.select("text").mapInArrow(lambda b, s=start, t=turn: _train(b, words, s, t, rounds), schema)
+        # each stretch of the weights is averaged by one task; what is collected is one set of weights
+        stretches = sum(-(-v.size // ROW) for v in p.values())
+        parts = local.repartition(min(stretches, shuffle_partitions(spark)), "name", "block").mapInPandas(_average, schema).collect()
+        found: dict[str, list] = {}
+        for r in sorted(parts, key=lambda r: (r["name"], r["block"])):
+            found.setdefault(r["name"], []).append(np.array(r["weights"], dtype=np.float32))
+        p = {k: np.concatenate(found[k]).reshape(v.shape) if k in found else v for k, v in p.items()}
+        if found:
+            p["part"] = mixed(p["part"], book.share)
         start.unpersist()
     return p
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Words:
-    """The most frequent words of all documents, and how the rarer ones are spelt."""
-    counts = settle(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    # at most ``size`` rows
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of all documents."""
+    return settle(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counts: DataFrame) -> Words:
+    """The most frequent words. Their number follows the corpus and is bounded, so they can be collected."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = min(MOST_VOCABULARY, max(LEAST_VOCABULARY, isqrt(total)))
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    least = (top[-1]["n"], bytes(top[-1]["word"])) if len(top) == size else (0, b"")
-
-    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257)
-        for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (-n, w) > (-least[0], least[1]):
-                    total[:256] += np.bincount(np.frombuffer(w, np.uint8), minlength=256)
-                    total[256] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], ["byte", "n"])
-
-    spelling = np.zeros(257)
-    for r in counts.mapInArrow(spell, "byte long, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        spelling[r["byte"]] = r["n"]
-    return Words([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=float), spelling)
-
-
-def pseudo_log_likelihood(book: Words, p: dict[str, np.ndarray], texts: list[list[bytes]]) -> np.ndarray:
-    """Sum of the conditional log-probabilities of the words of each text."""
-    ids = [book.ids(t) for t in texts]
-    sizes = np.array([len(i) for i in ids])
-    out = np.zeros(len(texts))
+    n = np.array([r["n"] for r in top], dtype=float)
+    return Words([bytes(r["word"]) for r in top], n, total - n.sum())
+
+
+def log_likelihood(book: Words, p: dict[str, np.ndarray], ids: list[np.ndarray]) -> np.ndarray:
+    """Sum of the conditional log-probabilities of the words of each text (places as ``Words.ids`` gives
+    them), a word beyond the vocabulary as one that stands once in the corpus."""
+    sizes = np.array([len(i) for i in ids], dtype=np.int64)
     if not sizes.sum():
-        return out
-    around, flat = np.concatenate([contexts(i) for i in ids if len(i)]), np.concatenate(ids)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    score = np.empty(len(flat))
-    for lo in range(0, len(flat), CHUNK):
-        s = slice(lo, lo + CHUNK)
-        z, _, _ = log_classes(p, around[s])
-        score[s] = z[np.arange(len(z)), book.group[flat[s]]]
-    score += book.inside[flat]
-    out += np.bincount(owner, weights=score, minlength=len(texts))
-    unknown = np.bincount(owner, weights=flat == book.size, minlength=len(texts))
-    for i in np.flatnonzero(unknown):
-        out[i] += sum(book.spelt(texts[i][j]) for j in np.flatnonzero(ids[i] == book.size))
-    return out
+        return np.zeros(len(ids))
+    around, word = np.concatenate([contexts(i, book.edge) for i in ids if len(i)]), np.minimum(np.concatenate(ids), book.size)
+    score = np.empty(len(word))
+    for lo in range(0, len(word), BATCH):
+        s = slice(lo, lo + BATCH)
+        g, _, _ = gates(p, around[s])
+        g *= np.take(p["part"], word[s], axis=0)
+        score[s] = np.log(np.maximum(g.sum(1), 1e-30))
+    score[word == book.size] -= log(book.rare)
+    return np.bincount(np.repeat(np.arange(len(ids)), sizes), weights=score, minlength=len(ids))
 
 
 def _score(batches: Iterable[pa.RecordBatch], words, model) -> Iterator[pa.RecordBatch]:
+    book, key = words.value, xxhash.xxh64_intdigest
     for batch in batches:
         for lo in range(0, batch.num_rows, 128):
             some = batch.slice(lo, 128)
             texts = [split_words(t) for t in some.column(1).to_pylist()]
-            total = pseudo_log_likelihood(words.value, model.value, texts)
-            n = np.array([len(t) for t in texts])
-            mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_words", "pll", "mean_pll"])
+            ids = [book.ids(t) for t in texts]
+            total = log_likelihood(book, model.value, ids)
+            rare = [np.array([key(t[j], KEY_SEED) for j in np.flatnonzero(i > book.size).tolist()], dtype=np.uint64).view(np.int64) for t, i in zip(texts, ids, strict=True)]
+            n = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column(0), n, pa.array(total), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "n_words", "known", "rare"])
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, pll, mean_pll of every row of docs.
 
-    Null and wordless texts have no words, a pll of 0 and a null mean. Texts of any length are read whole;
-    equal texts get equal scores. No rows in, no rows out; other columns are not read.
+    Null and wordless texts have no words, a pll of 0 and a null mean. Texts of any length are read whole.
+    Equal texts get equal scores but for rounding. Rows that repeat an id, or have none, are scored each.
+    No rows in, no rows out; other columns are not read.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    book = vocabulary(slim)
+    counts = count_words(slim)
+    book = vocabulary(counts)
     model = spark.sparkContext.broadcast(train(slim, book, rounds))
     words = spark.sparkContext.broadcast(book)
-    return slim.mapInArrow(lambda b: _score(b, words, model), "doc_id long, n_words long, pll double, mean_pll double")
+    scored = slim.mapInArrow(lambda b: _score(b, words, model), "doc_id long, n_words long, known double, rare array<long>")
+    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()))
+    # A word that stands once adds log 1 = 0, so only the counts from 2 on are joined. Words of the
+    # vocabulary are in no document's list of rare ones.
+    twice = counts.filter("n > 1").select(F.xxhash64("word").alias("key"), F.log("n").alias("more"))
+    more = scored.select("row", F.explode("rare").alias("key")).join(twice, "key").groupBy("row").agg(F.sum("more").alias("more"))
+    whole = scored.select("row", "doc_id", "n_words", "known").join(more, "row", "left")
+    pll = F.col("known") + F.coalesce("more", F.lit(0.0))
+    return whole.select("doc_id", "n_words", pll.alias("pll"), F.when(F.col("n_words") > 0, pll / F.col("n_words")).alias("mean_pll"))
 
 
 def op10_masked_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
