@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +32,11 @@ from tidewell.llm.common import settle
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; the memory is emptied when full.
-MEMORY_WORDS = 150_000
+#: Pieces whose ids a worker remembers; the memory is emptied when full.
+MEMORY_WORDS = 300_000
 CHUNK = 512
-CELLS = 1024
+#: Pieces of one length that a cell is meant to hold; cells at least.
+CELL_PIECES, LEAST_CELLS = 100_000, 64
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -45,125 +47,87 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class PairMerges:
-    """The merges of a byte-level vocabulary with word ends, applied to many short pieces at a time."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.size = max(vocab.values()) + 1
-        key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
-        order = np.argsort(key)
-        self.key, self.rank = key[order], order.astype(np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
-        # bytes that are printable in Latin-1 stand for themselves, the others for code points from 256
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
-        self.inner = np.array([vocab[sign[b]] for b in range(256)], dtype=np.int64)
-        self.last = np.array([vocab[sign[b] + end] for b in range(256)], dtype=np.int64)
-
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of merging left with right; a rank past the last where they don't merge."""
-        pair = left * self.size + right
-        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-        return np.where(self.key[at] == pair, self.rank[at], len(self.key)), self.made[at]
-
-    def encode(self, pieces: list[bytes], length: int) -> list[bytes]:
-        """Ids of pieces that all have this many bytes, as unsigned 32-bit."""
-        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(-1, length)
-        ids = self.inner[raw]
-        ids[:, -1] = self.last[raw[:, -1]]
-        never, cols = len(self.key), np.arange(length)
-        out, size = ids.astype("<u4"), np.full(len(raw), length)
-        rank = np.full(ids.shape, never)
-        made = np.zeros_like(ids)
-        rank[:, :-1], made[:, :-1] = self.look_up(ids[:, :-1], ids[:, 1:])
-        who, left = np.arange(len(raw)), length
-        while len(who):
-            best = rank.argmin(1)
-            rows = np.arange(len(who))
-            some = rank[rows, best] < never
-            done = who[~some]
-            out[done], size[done] = ids[~some], left
-            who, ids, rank, made, best = who[some], ids[some], rank[some], made[some], best[some]
-            rows, left = np.arange(len(who)), left - 1
-            ids[rows, best] = made[rows, best]
-            # what stands right of the merged pair moves one place to the left
-            from_ = cols + (cols > best[:, None])
-            from_[:, -1] = length - 1
-            ids, rank, made = (np.take_along_axis(x, from_, 1) for x in (ids, np.where(cols == best[:, None], np.roll(rank, -1, 1), rank), made))
-            for at, ok in ((best - 1, best > 0), (best, best < left - 1)):
-                r, c = rows[ok], at[ok]
-                rank[r, c], made[r, c] = self.look_up(ids[r, c], ids[r, c + 1])
-            rank[:, left - 1 :] = never
-        return [row[:n].tobytes() for row, n in zip(out, size.tolist(), strict=True)]
-
-
 class Encoder:
     """Ids of texts, as the tokenizer gives them.
 
-    The tokenizer never joins what ASCII white space parts, so each word is encoded once and
-    remembered. Words of ASCII and Latin-1 signs are cut into letters, digits and other signs as its
-    pattern says and merged many at a time; any other word, and long ones, the tokenizer itself encodes.
+    Texts of ASCII and Latin-1 signs are cut into letters, digits and other signs as the tokenizer's
+    pattern says, and each piece is encoded once and remembered. tiktoken merges all new pieces in one
+    call: a piece ends in a zero byte, which joins the byte before it first and so stands for the
+    vocabulary's word ends. Both libraries merge the pair of the lowest rank first; tiktoken knows a
+    pair by its joined bytes, which gives the same merges since every token of the vocabulary is
+    reached from its own bytes by the pair that is listed for it (tested). All other texts go to the
+    tokenizer itself, word by word, as it never joins what ASCII white space parts.
     """
 
-    SIMPLE = regex.compile("[!-~\u00a1-\u00ff]{1,64}")
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    SIMPLE = re.compile("[\t\n\x0b\x0c\r !-~\u00a1-\u00ff]*")
+    LONG = 4096
+    #: The vocabulary's pattern for lower-cased texts of these signs.
+    PIECE = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t\n\x0b\x0c\r a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tok, self.merges = Tokenizer.from_file(path), PairMerges(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, new: list[bytes]) -> None:
-        late: list[bytes] = []
-        unknown: set[str] = set()
-        words, pieces = self.words, self.pieces
-        for w in new:
-            text = w.decode("utf-8")
-            if not self.SIMPLE.fullmatch(text) or "<|" in text:
-                words[w] = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                continue
-            parts = self.parts(text)
-            if all(p in pieces for p in parts):
-                words[w] = b"".join([pieces[p] for p in parts])
-            else:
-                unknown.update(parts)
-                late.append(w)
-        by_length: dict[int, list[bytes]] = {}
-        for p in unknown.difference(pieces):
-            raw = p.encode("utf-8")
-            by_length.setdefault(len(raw), []).append(raw)
-        for length, some in by_length.items():
-            for raw, ids in zip(some, self.merges.encode(some, length), strict=True):
-                pieces[raw.decode("utf-8")] = ids
-        for w in late:
-            words[w] = b"".join([pieces[p] for p in self.parts(w.decode("utf-8"))])
-
-    def parts(self, text: str) -> tuple[str, ...]:
-        text = text.lower()
-        if text.isalpha():
-            return (text,)
-        if text[:-1].isalpha() and not text[-1].isnumeric():
-            return text[:-1], text[-1]
-        return tuple(self.PIECE.findall(text))
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ranks, self.id_of = byte_ranks(model)
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
+        self.line = ranks[b"\n"]
+        self.known: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space, as little-endian unsigned 32-bit."""
+        found = np.array(self.merger.encode_ordinary("\0\n".join(pieces) + "\0"), dtype=np.int64)
+        ends = np.append(np.flatnonzero(found == self.line), len(found))
+        raw = self.id_of[found].astype("<u4").tobytes()
+        starts = np.append(0, ends[:-1] + 1)
+        return [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def parts(self, text: str) -> list[str]:
+        """Keys of the text's pieces: pieces of a simple text, else its words behind a blank."""
+        if "<|" not in text and self.SIMPLE.fullmatch(text):
+            return self.PIECE.findall(text.lower())
+        return [" " + w.decode("utf-8") for w in text.encode("utf-8").split()]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > MEMORY_WORDS:
-            self.words.clear()
-        if len(self.pieces) > MEMORY_WORDS:
-            self.pieces.clear()
-        split = [t.encode("utf-8").split() for t in texts]
-        new = {w for words in split for w in words}.difference(self.words)
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        """Ids of each text, as little-endian unsigned 32-bit."""
+        known = self.known
+        if len(known) > MEMORY_WORDS:
+            known.clear()
+        split = [self.parts(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(known)
+        # what tiktoken is not made for, pieces of many bytes, the tokenizer itself encodes as well
+        alone = [w for w in new if w[0] == " " or len(w) > self.LONG]
+        for w in alone:
+            known[w] = np.array(self.tok.encode(w.lstrip(" "), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        some = list(new.difference(alone)) if alone else list(new)
+        if some:
+            known.update(zip(some, self.merge(some), strict=True))
+        return [b"".join(map(known.__getitem__, p)) for p in split]
+
+
+def byte_ranks(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
+    """Ranks of byte strings for a vocabulary with word ends, an end being a zero byte; and the id of
+    each rank, -1 where there is none."""
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    # bytes that are printable in Latin-1 stand for themselves, the others for code points from 256
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+    byte = {c: b for b, c in sign.items()}
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix(end)
+        return bytes(byte[c] for c in body) + (b"\0" if body != token else b"")
+
+    ranks = {bytes([b]): b for b in range(256)}
+    ids = [vocab.get(sign[b], -1) for b in range(256)]
+    # the last byte of a piece takes its end before anything else is merged
+    for left, right in [(sign[b], end) for b in range(1, 256)] + [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]:
+        ranks[raw(left + right)] = len(ids)
+        ids.append(vocab.get(left + right, -1))
+    return ranks, np.array(ids, dtype=np.int64)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -334,12 +298,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = pieces.drop("sequence_id", "offset")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(plan(hist, capacity), "_length long, _from long, _to long, _m long, _seq long, _offset long")
-    cell = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS))
+    cells = max(LEAST_CELLS, sum(hist.values()) // CELL_PIECES)
+    named = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
+    cell = F.pmod(F.xxhash64(*named), F.lit(cells))
     dealt = pieces.withColumn("_cell", cell)
     sums = dealt.groupBy("length", "_cell").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("length").alias("_l"), F.col("_cell").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece"))
+    inside = F.row_number().over(Window.partitionBy("length", "_cell").orderBy(*named))
     ranked = dealt.withColumn("_inside", inside).join(sums, (F.col("length") == F.col("_l")) & (F.col("_cell") == F.col("_c")))
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside") - 1)
     # the plan has rows for lengths and bin shapes, not for pieces: its size follows the capacity alone
