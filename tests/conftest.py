@@ -9,10 +9,11 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tidewell.session import local_session
 
     s = local_session(cores=4, shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
