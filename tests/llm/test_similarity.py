@@ -56,9 +56,9 @@ def test_join_equals_brute_force(spark, odd_docs, no_docs, monkeypatch):
     rows = _copies() + [(1000 + r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = _brute(rows)
-    for handy in (ngram_join.HANDY, 0):
-        monkeypatch.setattr(ngram_join, "HANDY", handy)
-        got = ngram_join.link_components(df).collect()
+    for exact, postings in ((False, ngram_join.POSTINGS), (True, 500)):
+        monkeypatch.setattr(ngram_join, "POSTINGS", postings)
+        got = ngram_join.link_components(df, exact=exact).collect()
         assert len(got) == len(rows)
         assert all(want[r.doc_id] == (r.n_shingles, r.component_id) for r in got)
     assert ngram_join.link_components(no_docs).count() == 0

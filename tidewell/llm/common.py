@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,25 +9,42 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of its own only where none is set (local tests)."""
+    """The folder named by spark.checkpoint.dir, which all executors see. Without one nothing is
+    written: a folder of one machine would break on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def _new_place(spark: SparkSession) -> str:
+    """A path in the shared folder that is removed when the application ends."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, a lost executor
     costs nothing that was written, and the table is removed when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = _new_place(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As settle, dealt into buckets by ``key``: joins on it move the other side alone."""
+    spark = df.sparkSession
+    name = f"tidewell_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", _new_place(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,12 +3,13 @@
 A document is the set of its word shingles, as 64-bit hashes. Two sets of similarity t overlap in at
 least T = ceil(t * size) shingles of either, so
 
-* equal sets form one class and go on as one representative;
+* equal word sequences form one class and go on as one representative;
 * a representative posts only its rarest ``size - T + 1`` shingles: the short lists. Every linked pair
   meets in one. Common shingles, counted over all documents, are posted last or not at all;
 * of two linked sets the shortest-hashed shingles of their union are a random sample, at least q of
   which both hold; so they meet in ``least_hits`` short lists or more, except with a chance of e^-30.
-  Representatives with fewer occurrences are dropped;
+  Representatives with fewer occurrences are dropped. With ``exact`` one meeting is enough, and no
+  pair is left to chance;
 * each representative is first compared with its home, the leader it meets in most short lists;
   most links are found here, one comparison for each document, and give first components;
 * a pair inside one component needs no link of its own. Lists that still hold several components
@@ -18,6 +19,9 @@ least T = ceil(t * size) shingles of either, so
   required overlap are kept.
 
 The order of the shingles decides how much work there is, never the result.
+
+The texts are moved once, compressed, into buckets by document; after that only ids, counts and tokens
+are shuffled, and the texts that are compared. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -32,10 +36,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle
+from tidewell.llm.common import settle, settle_buckets
 from tidewell.llm.graph import components
 
 WORDS = 5
@@ -45,8 +50,12 @@ PERCENT = 75
 BLOCK, LOCAL, COMMON, MOST_COMMON = 1_000_000, 4, 16, 1 << 17
 #: Shingles a chunk of a block holds.
 CHUNK = 100_000
-#: Rows of a few numbers that may be broadcast.
-HANDY = 1_000_000
+#: Bytes of text a bucket holds; postings that a task brings together before it hands them on.
+BUCKET_BYTES, POSTINGS = 128 << 20, 1 << 20
+#: Parts in which a key that many rows may share is joined.
+SALTS = 16
+#: Kinds of posting rows: alone in its task, head of a list in its task, member of such a list, size of a set.
+ALONE, HEAD, MEMBER, SIZE = range(4)
 #: DivideSkip's weight of the merge against the probes.
 MU = 0.0085
 
@@ -117,27 +126,79 @@ def least_hits(n: int, rare: int, short: int) -> int:
     return least
 
 
-def _signatures(batches: Iterable[pa.RecordBatch], words: int, percent: int, common) -> Iterator[pa.RecordBatch]:
+def pack_text(text: str | None) -> bytes | None:
+    return zstandard.ZstdCompressor(level=1).compress(text.encode("utf-8")) if text else None
+
+
+def unpack_text(packed: bytes | None) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8") if packed else ""
+
+
+def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with a name of its word sequence (null without words) and its text, compressed."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            some = batch.slice(lo, 512)
+            names, packed = [], []
+            for text in some.column(1).to_pylist():
+                found = (text or "").encode("utf-8").lower().split()
+                names.append(xxhash.xxh3_128_digest(b" ".join(found)) if found else None)
+                packed.append(pack_text(text) if found else None)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "class", "packed"])
+
+
+def short_lists(s: np.ndarray, token: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set that are posted, and the number of lists in which any linked set is met."""
+    short = len(s) - -(-percent * len(s) // 100) + 1
+    at = np.searchsorted(token, s)
+    known = token[np.minimum(at, len(token) - 1)] == s if len(token) else np.zeros(len(s), dtype=bool)
+    first, last = s[~known][:short], s[known]
+    last = last[np.lexsort((last, count[at[known]]))][: short - len(first)] if short > len(first) else last[:0]
+    return np.concatenate([first, last]), least_hits(len(s), int((~known).sum()), short)
+
+
+def _posts(batches: Iterable[pa.RecordBatch], words: int, percent: int, exact: bool, common) -> Iterator[pa.RecordBatch]:
+    """Posting rows (token, rep, kind, n, least). What occurs often in the task is brought together: a
+    list of two members or more sends its head to the other tasks' and keeps its members apart, so as
+    many rows as there are tasks meet under a token, however frequent it is."""
     token, count = common.value
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    names = ["token", "rep", "kind", "n", "least"]
+
+    def out() -> pa.RecordBatch:
+        t = np.concatenate([h[1] for h in held])
+        r = np.repeat(np.array([h[0] for h in held], dtype=np.int64), [len(h[1]) for h in held])
+        order = np.lexsort((r, t))
+        t, r = t[order], r[order]
+        fresh = np.append(True, t[1:] != t[:-1])
+        # rows that share an id may post a token twice
+        keep = fresh | np.append(True, r[1:] != r[:-1])
+        t, r, fresh = t[keep], r[keep], fresh[keep]
+        group = np.cumsum(fresh) - 1
+        many = np.bincount(group)[group] > 1
+        heads = fresh & many
+        t2, r2 = np.concatenate([t, t[heads]]), np.concatenate([r, r[heads]])
+        kind = np.concatenate([np.where(many, MEMBER, ALONE), np.full(int(heads.sum()), HEAD)]).astype(np.int8)
+        none = pa.nulls(len(t2), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(t2.view(np.int64)), pa.array(r2), pa.array(kind), none, none], names)
+
     for batch in batches:
-        sizes, ids, least, rare, frequent = [], [], [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py(), words)
-            sizes.append(len(s))
-            ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-            short = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-            at = np.searchsorted(token, s)
-            known = np.zeros(len(s), dtype=bool)
-            if len(token):
-                known = token[np.minimum(at, len(token) - 1)] == s
-            first, last = s[~known][:short], s[known]
-            last = last[np.lexsort((last, count[at[known]]))][: short - len(first)] if short > len(first) else last[:0]
-            least.append(least_hits(len(s), int((~known).sum()), short) if len(s) else 0)
-            rare.append(first.view(np.int64))
-            frequent.append(last.view(np.int64))
-        kind = pa.list_(pa.int64())
-        cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.int64()), pa.array(rare, kind), pa.array(frequent, kind)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "least", "rare", "frequent"])
+        sizes: list[tuple[int, int, int]] = []
+        for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s = shingle_set(unpack_text(packed), words)
+            posted, least = short_lists(s, token, count, percent)
+            held.append((rep, posted))
+            size += len(posted)
+            sizes.append((rep, len(s), 1 if exact else least))
+            if size >= POSTINGS:
+                yield out()
+                held, size = [], 0
+        rep, n, least = (np.array(c, dtype=np.int64) for c in zip(*sizes, strict=True)) if sizes else (np.zeros(0, np.int64),) * 3
+        # a set's size goes where its number sends it
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep), pa.array(np.full(len(rep), SIZE, np.int8)), pa.array(n.astype(np.int32)), pa.array(least.astype(np.int32))], names)
+    if held:
+        yield out()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -146,13 +207,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _compare(batches: Iterable[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, text, b, b_text): the pairs whose texts are similar."""
+    """Of rows (a, packed, b, b_packed): the pairs whose texts are similar."""
     for batch in batches:
         keep, last, other = [], None, np.zeros(0, dtype=np.uint64)
         for i in range(batch.num_rows):
             if (name := batch.column(2)[i].as_py()) != last:
-                last, other = name, shingle_set(batch.column(3)[i].as_py(), words)
-            if similar(shingle_set(batch.column(1)[i].as_py(), words), other, percent):
+                last, other = name, shingle_set(unpack_text(batch.column(3)[i].as_py()), words)
+            if similar(shingle_set(unpack_text(batch.column(1)[i].as_py()), words), other, percent):
                 keep.append(i)
         some = batch.take(pa.array(keep, pa.int64()))
         yield pa.RecordBatch.from_arrays([some.column(0), some.column(2)], ["a", "b"])
@@ -194,90 +255,106 @@ class Lists:
 def _block_links(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Links of one chunk pair: from its queries to indexed documents of other components, one for each."""
     index = rows[~rows["query"]]
-    lists = Lists([shingle_set(t, words) for t in index["text"]])
+    lists = Lists([shingle_set(unpack_text(t), words) for t in index["packed"]])
     names, groups = index["rep"].tolist(), index["component"].tolist()
     out = []
-    for rep, group, text in rows.loc[rows["query"], ["rep", "component", "text"]].itertuples(index=False):
+    for rep, group, text in rows.loc[rows["query"], ["rep", "component", "packed"]].itertuples(index=False):
         met = {group}
-        for i in lists.search(shingle_set(text, words), percent):
+        for i in lists.search(shingle_set(unpack_text(text), words), percent):
             if groups[i] not in met:
                 met.add(groups[i])
                 out.append((rep, names[i]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _shared(posts: DataFrame) -> DataFrame:
-    """(token, lead, lead_n): the lists with two members or more, and their first member."""
-    heads = posts.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep != last")
-    return heads.select("token", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+def _salted(big: DataFrame, small: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """big joined with small, of which each key is one row, in SALTS parts of every key."""
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(parts, [key, "_salt"], how).drop("_salt")
 
 
-def _handy(keys: DataFrame) -> DataFrame:
-    """Written, counted, and broadcast if it has HANDY rows at most; else it is joined by a shuffle.
-    Rows hold a few numbers, so what is broadcast has a fixed bound and the texts stay where they are."""
-    keys = settle(keys)
-    return F.broadcast(keys) if keys.count() <= HANDY else keys
+def _met(posts: DataFrame) -> DataFrame:
+    """Posting rows without those that stand alone under their token: (token, rep, kind, n, least)."""
+    # members meet nobody here, so each has a place of its own; one row of each task meets the others
+    posts = posts.withColumn("slot", F.when(F.col("kind") >= MEMBER, F.col("rep")).otherwise(F.lit(0).cast("long")))
+    by = Window.partitionBy("token", "slot")
+    seen = posts.withColumns({"first": F.min("rep").over(by), "last": F.max("rep").over(by), "most": F.max("kind").over(by)})
+    return seen.filter(f"kind <> {HEAD} and (most > {ALONE} or first <> last)").select("token", "rep", "kind", "n", "least")
 
 
-def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     Null and wordless texts have empty sets, link with nothing and are their own component. Rows that
     share an id are one document to the links. Rows with a null id get the component of their equals,
-    or null. No rows in, no rows out; other columns are not read.
+    or null. No rows in, no rows out; other columns are not read. ``exact`` finds candidates by one
+    shared short list in place of ``least_hits``: no pair is left to chance, for more comparisons.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
-    signed = docs.mapInArrow(lambda b: _signatures(b, words, percent, common), "doc_id long, n_shingles long, set_id binary, least long, rare array<long>, frequent array<long>")
-    signed = settle(signed.withColumn("row", F.monotonically_increasing_id()))
-    # one row stands for each set; its number is joined, so the signatures move only where there are many
-    first_row = F.min_by("row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("row")
-    classes = settle(signed.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), first_row))
-    whole = signed.join(_handy(classes.select("row")), "row", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "least", "rare", "frequent")
-    # rare shingles stand in few lists: their members can be counted in place. The others are counted
-    # with partial sums and joined, which Spark can split where a list is long.
-    by = Window.partitionBy("token")
-    rare = whole.select("rep", "n", "least", F.explode("rare").alias("token"))
-    rare = rare.withColumns({"first": F.min("rep").over(by), "last": F.max("rep").over(by)}).filter("first != last")
-    often = whole.select("rep", "n", "least", F.explode("frequent").alias("token"))
+    kinds = "doc_id long, class binary, packed binary"
+    texts = settle_buckets(docs.filter("doc_id is not null").mapInArrow(_named, kinds), "doc_id", buckets)
+    texts_of = texts.filter("class is not null").select("doc_id", "packed")
+    classes = settle(texts.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
+    whole = texts_of.join(classes.select("rep").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
+    posted = whole.mapInArrow(lambda b: _posts(b, words, percent, exact, common), "token long, rep long, kind byte, n int, least int")
+    met = settle(_met(posted))
+    sizes = met.filter(f"kind = {SIZE}").groupBy("rep").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    met = met.filter(f"kind <> {SIZE}").select("token", "rep")
+    hits = met.groupBy("rep").agg(F.count("*").alias("hits"))
+    alive = settle(met.join(hits.join(sizes, "rep").filter("hits >= least").select("rep", "n", "least"), "rep"))
+    shared = alive.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep <> last")
+    shared = settle(shared.select("token", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")))
     columns = ["token", "rep", "n", "least"]
-    met = settle(rare.select(*columns).union(often.join(_shared(often), "token").select(*columns)))
-    enough = met.groupBy("rep").agg(F.count("*").alias("hits"), F.max("least").alias("least")).filter("hits >= least").select("rep")
-    alive = met.join(_handy(enough), "rep", "left_semi")
-    lists = settle(alive.join(_shared(alive), "token").select(*columns, "lead", "lead_n"))
+    lists = settle(alive.join(shared, "token").select(*columns, "lead", "lead_n"))
     fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) | (F.col("rep") == F.col("lead"))
     votes = lists.filter(fits).groupBy("rep", "lead").agg(F.count("*").alias("votes"), F.max("least").alias("least"))
     votes = votes.filter((F.col("votes") >= F.col("least")) | (F.col("rep") == F.col("lead")))
-    homes = settle(votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("home")))
-    texts = docs
-    pairs = homes.filter("rep != home")
-    mine = texts.join(_handy(pairs), F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("a"), "text", F.col("home").alias("b"))
-    theirs = texts.join(_handy(pairs.select(F.col("home").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    first = settle(mine.join(theirs, "b").select("a", "text", "b", "b_text").mapInArrow(lambda b: _compare(b, words, percent), "a long, b long"))
+    homes = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("home"))
+    pairs = settle(homes.filter("rep <> home"))
+    mine = texts_of.join(pairs.hint("shuffle_hash"), F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("a"), "packed", F.col("home").alias("b"))
+    led = pairs.select(F.col("home").alias("b")).distinct()
+    theirs = texts_of.join(led.hint("shuffle_hash"), F.col("doc_id") == F.col("b"), "left_semi").select(F.col("doc_id").alias("b"), F.col("packed").alias("b_packed"))
+    first = settle(mine.join(theirs.hint("merge"), "b").select("a", "packed", "b", "b_packed").mapInArrow(lambda b: _compare(b, words, percent), "a long, b long"))
     group = settle(components(first))
     # lists that hold several components
-    placed = lists.join(_handy(group), F.col("rep") == F.col("node"), "left")
+    placed = lists.join(group, F.col("rep") == F.col("node"), "left")
     placed = settle(placed.select(*columns, "lead", F.coalesce("component", "rep").alias("component")))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
-    open_ = placed.join(mixed, "token")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    open_ = placed.join(settle(mixed), "token")
     asked = open_.groupBy("rep").agg(F.count("*").alias("hits"), F.max("least").alias("least")).filter("hits >= least").select("rep")
-    visits = open_.join(_handy(asked), "rep", "left_semi").groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"), F.max("component").alias("component"))
-    visits = settle(visits)
-    owner = group.select(F.col("node").alias("block"), F.col("component").alias("major"))
-    visits = visits.join(owner, "block", "left").withColumn("minor", F.col("component") != F.coalesce("major", "block")).drop("major")
+    visits = settle(open_.join(asked, "rep", "left_semi").groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"), F.max("component").alias("component")))
+    owner = visits.select("block").distinct().join(group, F.col("node") == F.col("block")).select("block", F.col("component").alias("major"))
+    visits = settle(_salted(visits, owner, "block", "rep", "left").withColumn("minor", F.col("component") != F.coalesce("major", "block")).drop("major"))
     parts = lambda c: F.ceil(F.sum(c) / CHUNK).cast("int")
-    sizes = visits.groupBy("block").agg(parts("n").alias("chunks"), parts(F.when(F.col("minor"), F.col("n"))).alias("query_chunks")).filter("query_chunks > 0")
-    dealt = visits.join(sizes, "block").withColumns({"j": F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), "i": F.pmod(F.xxhash64("rep"), F.col("query_chunks")).cast("int")})
+    shape = visits.groupBy("block").agg(parts("n").alias("chunks"), parts(F.when(F.col("minor"), F.col("n"))).alias("query_chunks")).filter("query_chunks > 0")
+    dealt = _salted(visits, shape, "block", "rep").withColumns({"j": F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), "i": F.pmod(F.xxhash64("rep"), F.col("query_chunks")).cast("int")})
     indexed = dealt.select("block", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)).alias("i"), "j", F.lit(False).alias("query"))
     asked = dealt.filter("minor").select("block", "rep", "component", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("query"))
-    chunks = texts.join(_handy(indexed.union(asked)), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    chunks = texts_of.join(indexed.union(asked).hint("shuffle_hash"), F.col("rep") == F.col("doc_id")).drop("doc_id")
     second = chunks.groupBy("block", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, words, percent), "a long, b long")
-    final = settle(components(first.union(second)))
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    slim = signed.select("doc_id", "n_shingles", "set_id")
-    linked = slim.filter("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    return linked.union(slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    final = components(first.union(second))
+    named = classes.join(sizes, "rep").join(final, F.col("rep") == F.col("node"), "left")
+    named = settle(named.select("class", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
+    loose = docs.filter("doc_id is null").mapInArrow(_named, kinds).select("doc_id", "class")
+    if (alone := settle(loose)).isEmpty():
+        slim = texts.select("doc_id", "class")
+    else:
+        slim = texts.select("doc_id", "class").union(alone)
+        fresh = docs.filter("doc_id is null and text is not null").mapInArrow(_named, kinds).join(classes, "class", "left_anti")
+        sets = fresh.mapInArrow(lambda b: _set_sizes(b, words), "class binary, n_shingles long").distinct()
+        named = named.union(sets.select("class", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    linked = slim.filter("class is not null").join(named, "class").select("doc_id", "n_shingles", "component_id")
+    return linked.union(slim.filter("class is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _set_sizes(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(shingle_set(unpack_text(p), words)) for p in batch.column("packed").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(n, pa.int64())], ["class", "n_shingles"])
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
