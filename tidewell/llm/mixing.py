@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, shuffle_partitions
+from tidewell.llm.common import settle
 
 #: Production parameters. Sources fall into domains by their number modulo 3; weights are relative integers.
 DOMAINS = {"web": 5, "books": 3, "forums": 2}
@@ -22,7 +22,6 @@ LANGUAGES = {"en": 4, "de": 2, "fr": 2, "es": 2}
 OTHER_WEIGHT = 1
 SEED = "mix-1"
 MAX_EPOCHS = 2
-BROADCAST_LEAVES = 50_000
 #: The budget: this share of all tokens, in thousandths.
 BUDGET_PER_MILLE = 600
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,14 +73,14 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
 
     Null languages and sources are the leaves ``und`` and ``none``; null and wordless texts have no
     tokens, cost nothing and come along in every epoch that reaches them. Repeated rows are separate
-    documents; two rows with the same id are taken in one order among all their repeats. A leaf
+    documents; two rows with the same id are taken in the order of their texts' hashes. A leaf
     without tokens gets no budget and nothing is taken from it. No rows in, no rows out.
     """
     names = [c for c in docs.columns if c not in ("domain", "tokens", "leaf_budget", "copies")]
     lang, source = F.coalesce("lang", F.lit("und")), F.coalesce("source", F.lit("none"))
     base = docs.select(*names).withColumns({
         "tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "_lang": lang, "_source": source, "domain": domain_of(source),
+        "_lang": lang, "_source": source, "domain": domain_of(source), "_tie": F.xxhash64("text"),
     })
     leaves = base.groupBy("domain", F.col("_lang").alias("lang"), F.col("_source").alias("source")).agg(F.sum("tokens").alias("tokens"))
     leaves = leaves.withColumns({
@@ -93,21 +92,18 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
         F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("budget").alias("leaf_budget"),
         F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("_epochs"), (F.col("budget") % F.col("tokens")).alias("_rest"),
     )
-    # One row for each leaf. It is written and counted: up to BROADCAST_LEAVES it is broadcast, beyond
-    # that both sides are shuffled and Spark splits hot leaves.
+    # One row for each leaf. Spark broadcasts it below its own threshold; where there are more leaves, it
+    # shuffles both sides and splits hot leaves.
     paid = settle(paid)
-    few = paid.count() <= BROADCAST_LEAVES
-    read = base.join(F.broadcast(paid) if few else paid, (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
+    read = base.join(paid, (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
     # The order of the epoch that is read in part. Its first three digits deal a leaf, hot or not, into 4096 cells.
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     read = read.withColumns({"_key": key, "_cell": F.substring(key, 1, 3)})
-    if not few:
-        read = read.repartition(shuffle_partitions(docs.sparkSession), "_d", "_l", "_s", "_cell")
     slim = read.select("_d", "_l", "_s", "_cell", "tokens")
     cells = slim.groupBy("_d", "_l", "_s", "_cell").agg(F.sum("tokens").alias("_sum"))
     start = F.sum("_sum").over(Window.partitionBy("_d", "_l", "_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select(F.col("_d").alias("_cd"), F.col("_l").alias("_cl"), F.col("_s").alias("_cs"), F.col("_cell").alias("_cc"), F.coalesce(start, F.lit(0)).alias("_start"))
-    inside = F.sum("tokens").over(Window.partitionBy("_d", "_l", "_s", "_cell").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("tokens").over(Window.partitionBy("_d", "_l", "_s", "_cell").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, 0))
     ranked = read.withColumn("_inside", inside)
     ranked = ranked.join(cells, (F.col("_d") == F.col("_cd")) & (F.col("_l") == F.col("_cl")) & (F.col("_s") == F.col("_cs")) & (F.col("_cell") == F.col("_cc")))
     copies = F.col("_epochs") + (F.col("_start") + F.col("_inside") <= F.col("_rest")).cast("long")

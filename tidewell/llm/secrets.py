@@ -15,8 +15,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle
-
 try:
     from re import _parser as sre
 except ImportError:  # before Python 3.11
@@ -36,7 +34,6 @@ RULES: dict[str, tuple[str, int, int]] = {
 BASE = ("assign", "access", "hex")
 #: Beyond this many alternatives a prefix is given up and the text known so far stands for the rule.
 MOST_STRINGS = 64
-BROADCAST_CANDIDATES = 500_000
 
 
 def mandatory(pattern: str) -> list[frozenset[str]] | None:
@@ -143,10 +140,8 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*names, F.xxhash64("doc_id", text).alias("_key"))
     hits = candidates(keyed.select(F.col("_key").alias("key"), text.alias("text")), rules)
-    # The candidates are written and counted. Few are broadcast, so no text is shuffled; many are the
-    # hashed side of a shuffled join, which leaves the texts unsorted.
-    hits = settle(hits.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")))
-    hits = F.broadcast(hits) if hits.count() <= BROADCAST_CANDIDATES else hits.hint("shuffle_hash")
+    # the candidates, a few bytes each, are the hashed side: the texts are dealt by their key and stay unsorted
+    hits = hits.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")).hint("shuffle_hash")
     joined = keyed.join(hits, "_key", "left")
     nothing = F.array().cast("array<struct<at:int,to:int>>")
     parts = []
