@@ -34,7 +34,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = _new_place(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = (out, path)
+    return out
+
+
+_places: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove settled tables that no later plan reads: what was made of them is written."""
+    for table in tables:
+        _, path = _places.pop(id(table))
+        spark = table.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settle_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, settle_buckets
+from tidewell.llm.common import release, settle, settle_buckets
 from tidewell.llm.graph import components
 
 WORDS = 5
@@ -301,15 +301,19 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = settle(texts.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
     whole = texts_of.join(classes.select("rep").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
     posted = whole.mapInArrow(lambda b: _posts(b, words, percent, exact, common), "token long, rep long, kind byte, n int, least int")
-    met = settle(_met(posted))
-    sizes = met.filter(f"kind = {SIZE}").groupBy("rep").agg(F.max("n").alias("n"), F.min("least").alias("least"))
-    met = met.filter(f"kind <> {SIZE}").select("token", "rep")
+    # joins ask for a merge, so that small inputs show the plan of large ones
+    every = settle(_met(posted))
+    sizes = settle(every.filter(f"kind = {SIZE}").groupBy("rep").agg(F.max("n").alias("n"), F.min("least").alias("least")))
+    met = every.filter(f"kind <> {SIZE}").select("token", "rep").repartition("rep")
     hits = met.groupBy("rep").agg(F.count("*").alias("hits"))
-    alive = settle(met.join(hits.join(sizes, "rep").filter("hits >= least").select("rep", "n", "least"), "rep"))
+    enough = hits.join(sizes.hint("merge"), "rep").filter("hits >= least").select("rep", "n", "least")
+    alive = settle(met.join(enough.hint("merge"), "rep"))
+    release(every)
     shared = alive.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).filter("lead.rep <> last")
     shared = settle(shared.select("token", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")))
     columns = ["token", "rep", "n", "least"]
-    lists = settle(alive.join(shared, "token").select(*columns, "lead", "lead_n"))
+    lists = settle(alive.join(shared.hint("merge"), "token").select(*columns, "lead", "lead_n"))
+    release(alive, shared)
     fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) | (F.col("rep") == F.col("lead"))
     votes = lists.filter(fits).groupBy("rep", "lead").agg(F.count("*").alias("votes"), F.max("least").alias("least"))
     votes = votes.filter((F.col("votes") >= F.col("least")) | (F.col("rep") == F.col("lead")))
@@ -321,17 +325,22 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     first = settle(mine.join(theirs.hint("merge"), "b").select("a", "packed", "b", "b_packed").mapInArrow(lambda b: _compare(b, words, percent), "a long, b long"))
     group = settle(components(first))
     # lists that hold several components
-    placed = lists.join(group, F.col("rep") == F.col("node"), "left")
-    placed = settle(placed.select(*columns, "lead", F.coalesce("component", "rep").alias("component")))
+    placed = lists.select("token", "rep", "lead").join(group.hint("merge"), F.col("rep") == F.col("node"), "left")
+    placed = settle(placed.select("token", "rep", "lead", F.coalesce("component", "rep").alias("component")))
+    release(lists)
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_ = placed.join(settle(mixed), "token")
-    asked = open_.groupBy("rep").agg(F.count("*").alias("hits"), F.max("least").alias("least")).filter("hits >= least").select("rep")
-    visits = settle(open_.join(asked, "rep", "left_semi").groupBy(F.col("lead").alias("block"), "rep").agg(F.max("n").alias("n"), F.max("component").alias("component")))
+    mixed = settle(mixed)
+    open_ = settle(placed.join(mixed.hint("merge"), "token").select("rep", "lead", "component"))
+    release(placed, mixed)
+    asked = open_.groupBy("rep").agg(F.count("*").alias("hits")).join(sizes.hint("merge"), "rep").filter("hits >= least").select("rep", "n")
+    visits = open_.groupBy(F.col("lead").alias("block"), "rep").agg(F.max("component").alias("component"))
+    visits = settle(visits.join(asked.hint("merge"), "rep"))
+    release(open_)
     owner = visits.select("block").distinct().join(group, F.col("node") == F.col("block")).select("block", F.col("component").alias("major"))
-    visits = settle(_salted(visits, owner, "block", "rep", "left").withColumn("minor", F.col("component") != F.coalesce("major", "block")).drop("major"))
+    owned = settle(_salted(visits, owner, "block", "rep", "left").withColumn("minor", F.col("component") != F.coalesce("major", "block")).drop("major"))
     parts = lambda c: F.ceil(F.sum(c) / CHUNK).cast("int")
-    shape = visits.groupBy("block").agg(parts("n").alias("chunks"), parts(F.when(F.col("minor"), F.col("n"))).alias("query_chunks")).filter("query_chunks > 0")
-    dealt = _salted(visits, shape, "block", "rep").withColumns({"j": F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), "i": F.pmod(F.xxhash64("rep"), F.col("query_chunks")).cast("int")})
+    shape = owned.groupBy("block").agg(parts("n").alias("chunks"), parts(F.when(F.col("minor"), F.col("n"))).alias("query_chunks")).filter("query_chunks > 0")
+    dealt = _salted(owned, shape, "block", "rep").withColumns({"j": F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), "i": F.pmod(F.xxhash64("rep"), F.col("query_chunks")).cast("int")})
     indexed = dealt.select("block", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)).alias("i"), "j", F.lit(False).alias("query"))
     asked = dealt.filter("minor").select("block", "rep", "component", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("query"))
     chunks = texts_of.join(indexed.union(asked).hint("shuffle_hash"), F.col("rep") == F.col("doc_id")).drop("doc_id")
