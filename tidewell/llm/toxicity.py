@@ -1,11 +1,15 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words and word beginnings that the labelled training rows tie to toxic
-texts) and patterns (address, shouting, stretched letters, masked words). Each votes toxic or
-abstains. A generative model with a hidden class estimates, by expectation maximisation and without
-labels, how often each voter speaks in either class; correlations between voters inside a class
-lower the weight of those that repeat each other. A linear classifier is then trained on the
-posterior labels, and scores every document.
+texts) and patterns (address, shouting, stretched letters, masked words). Each votes toxic or abstains.
+A generative label model explains the votes v of a text by a hidden class y:
+
+    P(v, y) = P(y) * prod_j P(v_j | v_parent(j), y)
+
+with a rate for each voter and class, and, where voters repeat each other more than the classes explain, a
+rate for each vote of the parent: the correlated pairs form a forest. Expectation maximisation raises the
+likelihood of the votes (with Beta priors on the rates) in every round; no label enters it. A linear
+classifier is then trained on the posterior labels, and scores every document.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from math import lgamma, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,15 @@ from tidewell.llm.common import held_out
 from tidewell.llm.ngram_join import shingle_set
 
 THRESHOLD = 0.7
-#: Bounds of the training sample: labelled documents of either class, and characters of each that are read.
-TRAIN_DOCS, TRAIN_CHARS = 1200, 1 << 14
-#: Expected number of chance entries in the lexicon; most entries of it.
-CHANCE, MOST_ENTRIES = 0.05, 400
+#: Bound of the training sample: labelled documents of either class. Their texts are read whole.
+TRAIN_DOCS = 1200
+#: Expected number of chance entries in the lexicon.
+CHANCE = 0.05
 PREFIXES = (4, 5, 6)
-SEED, ROUNDS, STEPS = 5, 40, 3000
+SEED, ROUNDS, STEPS = 5, 60, 3000
+#: Beta priors of a rate in the clean and the toxic class: a lexicon entry hardly ever stands in a clean
+#: text (it was chosen so), of a pattern nothing is known; the toxic share at the start.
+LEXICON_PRIOR, PATTERN_PRIOR, SPOKEN, SILENT = ((0.2, 10_000.0), (0.1, 4.0)), ((0.1, 4.0), (0.1, 4.0)), 0.9, 0.02
 #: Words a worker remembers the entries of.
 MEMORY_WORDS = 500_000
 EDGE = "\"'.,;:!?()[]{}<>*_-#$%&/\\"
@@ -54,31 +62,54 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
 
-def distinct(texts: list[str]) -> list[int]:
-    """Places of texts that share no minimum hash of their word shingles with an earlier one: copies
-    would make the words of one text look like those of many."""
+def marks_of(text: str) -> list[int]:
+    """Twelve minimum hashes of a text's word shingles; none without words."""
+    shingles = shingle_set(text)
+    return [int((shingles * np.uint64(2 * k + 0x9E3779B97F4A7C15) ^ (shingles >> np.uint64(31 - k))).min() >> np.uint64(1)) for k in range(12)] if len(shingles) else []
+
+
+class Sample(NamedTuple):
+    """What is kept of a labelled text: its distinct words, the patterns it shows, its marks and label."""
+
+    words: list[set[str]]
+    patterns: np.ndarray
+    marks: list[list[int]]
+    toxic: np.ndarray
+
+
+def read_sample(texts: list[str], toxic: np.ndarray) -> Sample:
+    return Sample([words_of(t) for t in texts], np.array([shown(t) for t in texts], dtype=float).reshape(len(texts), len(PATTERNS)), [marks_of(t) for t in texts], toxic)
+
+
+def shown(text: str) -> list[bool]:
+    low = text.lower()
+    return [p(text, low) for p in PATTERNS.values()]
+
+
+def distinct(marks: list[list[int]]) -> list[int]:
+    """Places of texts that share no mark with an earlier one: copies would make the words of one text
+    look like those of many."""
     seen: set[tuple[int, int]] = set()
     keep = []
-    for i, t in enumerate(texts):
-        shingles = shingle_set(t)
-        marks = {(k, int((shingles * np.uint64(2 * k + 0x9E3779B97F4A7C15) ^ (shingles >> np.uint64(31 - k))).min())) for k in range(12)} if len(shingles) else set()
-        if not marks & seen:
+    for i, own in enumerate(marks):
+        named = set(enumerate(own))
+        if not named & seen:
             keep.append(i)
-        seen |= marks
+        seen |= named
     return keep
 
 
-def mine(texts: list[str], toxic: np.ndarray) -> list[str]:
+def mine(words: list[set[str]], toxic: np.ndarray) -> list[str]:
     """Lexicon entries: terms that chance would hardly put into so many toxic texts and so few others."""
     has: dict[str, set[int]] = {}
     not_: Counter = Counter()
-    for i, (text, t) in enumerate(zip(texts, toxic, strict=True)):
-        for x in {x for w in words_of(text) for x in terms_of(w)}:
+    for i, (own, t) in enumerate(zip(words, toxic, strict=True)):
+        for x in {x for w in own for x in terms_of(w)}:
             if t:
                 has.setdefault(x, set()).add(i)
             else:
                 not_[x] += 1
-    n, k = len(texts), int(toxic.sum())
+    n, k = len(words), int(toxic.sum())
     if not k or k == n:
         return []
 
@@ -95,19 +126,19 @@ def mine(texts: list[str], toxic: np.ndarray) -> list[str]:
         # a term must find texts that related entries, its beginnings and its extensions, don't find
         stem = x.rstrip("*")
         related = [has[y] for y in kept if stem.startswith(y[:-1]) and y.endswith("*") or y.startswith(stem)]
-        if len(kept) < MOST_ENTRIES and len(has[x].difference(*related)) >= 3:
+        if len(has[x].difference(*related)) >= 3:
             kept.append(x)
     return sorted(kept)
 
 
 class Voters:
-    """Votes of the lexicon, of the patterns, and of the lexicon's silence on texts."""
+    """Votes of the lexicon and of the patterns on texts."""
 
     def __init__(self, lexicon: list[str]):
         self.lexicon = lexicon
         self.place = {x: i for i, x in enumerate(lexicon)}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.size = len(lexicon) + len(PATTERNS) + 1
+        self.size = len(lexicon) + len(PATTERNS)
 
     def vote(self, text: str) -> set[int]:
         known, low = self.known, text.lower()
@@ -121,54 +152,120 @@ class Voters:
                 hits = known[w] = tuple(self.place[x] for x in terms_of(bare) if x in self.place) if bare else ()
             if hits:
                 out.update(hits)
-        if not out:
-            out.add(self.size - 1)
         for i, p in enumerate(PATTERNS.values()):
             if p(text, low):
                 out.add(len(self.lexicon) + i)
         return out
 
-    def matrix(self, texts: list[str]) -> np.ndarray:
-        m = np.zeros((len(texts), self.size))
-        for i, t in enumerate(texts):
-            m[i, list(self.vote(t))] = 1
+    def matrix(self, words: list[set[str]], patterns: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(words), self.size))
+        for i, own in enumerate(words):
+            m[i, [self.place[x] for w in own for x in terms_of(w) if x in self.place]] = 1
+        m[:, len(self.lexicon) :] = patterns
         return m
 
 
-def label_model(votes: np.ndarray, accuracy: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of the hidden class for each row of votes, and the estimated parameters.
+class LabelModel:
+    """The joint model of votes and hidden class: ``prior`` of the toxic class, and for voter j, class y
+    and vote u of its parent the rate ``rates[j, y, u]`` (voters without a parent have one rate)."""
 
-    ``accuracy`` is a first guess of P(toxic | vote) for each voter; no label is seen from here on. An
-    abstention says nothing: voters of one language keep silent on texts of another. Voters that agree
-    more than the classes explain share their weight, yet those for toxic never say less than one of them.
-    """
-    n = len(votes)
-    count = votes.sum(0)
-    guess = accuracy = np.clip(accuracy, 0.02, 0.98)
-    post = np.where(votes.any(1), (votes @ accuracy) / np.maximum(votes.sum(1), 1), 0.01)
-    for _ in range(rounds):
-        prior = float(np.clip(post.mean(), 0.005, 0.5))
-        one, zero = (post @ votes) / max(post.sum(), 1), ((1 - post) @ votes) / max((1 - post).sum(), 1)
-        left = votes - (post[:, None] * one + (1 - post[:, None]) * zero)
-        cov = left.T @ left / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = cov / np.outer(sd, sd)
-        np.fill_diagonal(rho, 0)
-        weight = 1 / (1 + np.maximum(rho - 2 / np.sqrt(n), 0).sum(1))
-        base = np.log(prior / (1 - prior))
-        says = np.log(accuracy / (1 - accuracy)) - base
-        for_, against = np.maximum(says, 0), np.minimum(says, 0)
-        strongest = np.maximum(votes @ (weight * for_), (votes * for_).max(1))
-        logit = base + strongest + votes @ (weight * against)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        # where a voter speaks alone its first guess stands: it cannot confirm itself
-        alone = votes.sum(1) == 1
-        accuracy = np.clip(((new * ~alone) @ votes + (alone @ votes) * guess + guess) / (count + 1), 0.02, 0.98)
-        done = np.abs(new - post).max() < 1e-6
-        post = new
-        if done:
-            break
-    return post, {"accuracy": accuracy, "weight": weight, "correlation": rho}
+    def __init__(self, n_voters: int, lexicon: int):
+        self.prior = 0.1
+        named = (np.arange(n_voters) < lexicon)[:, None]
+        #: (voters, class, a or b): the Beta priors.
+        self.beta = np.where(named[:, :, None], np.array(LEXICON_PRIOR), np.array(PATTERN_PRIOR))
+        self.parent = np.full(n_voters, -1)
+        self.rates = np.full((n_voters, 2, 2), 0.05)
+
+    def _parents(self, votes: np.ndarray) -> np.ndarray:
+        return np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0.0)
+
+    def log_joint(self, votes: np.ndarray) -> np.ndarray:
+        """(rows, 2): log P(votes, class)."""
+        u, out = self._parents(votes), np.empty((len(votes), 2))
+        for y in (0, 1):
+            rate = self.rates[:, y, 0] + u * (self.rates[:, y, 1] - self.rates[:, y, 0])
+            out[:, y] = log(self.prior if y else 1 - self.prior) + np.where(votes > 0, np.log(rate), np.log1p(-rate)).sum(1)
+        return out
+
+    def expect(self, votes: np.ndarray) -> tuple[np.ndarray, float]:
+        """Posterior of the toxic class, and what the rounds raise: the log-likelihood of the votes and
+        the priors of the rates."""
+        joint = self.log_joint(votes)
+        top = joint.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(joint - top).sum(1))
+        score = float(total.sum()) + log(self.prior) + log(1 - self.prior)
+        for y in (0, 1):
+            r = self.rates[:, y]
+            own = self.beta[:, y, :1] * np.log(r) + self.beta[:, y, 1:] * np.log1p(-r)
+            score += float(own[:, 0].sum() + own[self.parent >= 0, 1].sum())
+        return np.exp(joint[:, 1] - total), score
+
+    def maximise(self, votes: np.ndarray, post: np.ndarray) -> None:
+        """Rates and prior for given posteriors."""
+        u = self._parents(votes)
+        self.prior = float((post.sum() + 1) / (len(post) + 2))
+        for y, weight in ((0, 1 - post), (1, post)):
+            a, b = self.beta[:, y].T
+            for k, side in ((0, 1 - u), (1, u)):
+                self.rates[:, y, k] = (weight @ (votes * side) + a) / (weight @ side + a + b)
+
+    def correlations(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """What two voters tell of each other inside the classes, in nats: conditional mutual information."""
+        n, out = len(votes), 0.0
+        for weight in (1 - post, post):
+            share = weight.sum() / n
+            one = weight @ votes / max(weight.sum(), 1e-9)
+            both = (votes * weight[:, None]).T @ votes / max(weight.sum(), 1e-9)
+            for a, b, p in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one - both), (1 - one, 1 - one, 1 - one[:, None] - one + both)):
+                p = np.maximum(p, 1e-12)
+                out = out + share * p * np.log(p / np.maximum(np.outer(a, b), 1e-12))
+        np.fill_diagonal(out, 0)
+        return out
+
+    def connect(self, votes: np.ndarray, post: np.ndarray) -> None:
+        """The forest of the strongest correlations that pay for their two further rates."""
+        pays = self.correlations(votes, post) * len(votes)
+        root = np.arange(len(pays))
+        edges: dict[int, list[int]] = {}
+        for i, j in sorted(zip(*np.nonzero(np.triu(pays > log(len(votes)))), strict=True), key=lambda e: (-pays[e], e)):
+            if root[i] != root[j]:
+                edges.setdefault(int(i), []).append(int(j))
+                edges.setdefault(int(j), []).append(int(i))
+                root[root == root[j]] = root[i]
+        self.parent[:] = -1
+        seen: set[int] = set()
+        for start in sorted(edges):
+            todo = [start] if start not in seen else []
+            while todo:
+                at = todo.pop()
+                seen.add(at)
+                for other in edges[at]:
+                    if other not in seen:
+                        self.parent[other] = at
+                        todo.append(other)
+
+
+def label_model(votes: np.ndarray, lexicon: int | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, LabelModel, list[list[float]]]:
+    """(posterior of the toxic class, model, what each round reached), from votes alone. Rounds of
+    independent voters come first, then the forest of correlations is drawn and the rounds go on. The
+    start takes texts on which one of the first ``lexicon`` voters speaks as likely toxic."""
+    lexicon = votes.shape[1] if lexicon is None else lexicon
+    model, history = LabelModel(votes.shape[1], lexicon), []
+    post = np.where(votes[:, :lexicon].any(1), SPOKEN, SILENT)
+    for step in range(2):
+        if step:
+            model.connect(votes, post)
+        model.maximise(votes, post)
+        reached: list[float] = []
+        for _ in range(rounds):
+            post, score = model.expect(votes)
+            reached.append(score)
+            model.maximise(votes, post)
+            if len(reached) > 1 and reached[-1] - reached[-2] < 1e-7 * abs(score):
+                break
+        history.append(reached)
+    return model.expect(votes)[0], model, history
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -182,38 +279,53 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.nda
     return w, b
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray, float]:
-    """(lexicon, weights, bias) from labelled texts."""
-    own = distinct(texts)
-    texts, toxic = [texts[i] for i in own], toxic[own]
-    lexicon = mine(texts, toxic)
-    voters = Voters(lexicon)
-    votes = voters.matrix(texts)
-    # polarity of a pattern or entry: how far labelled rows with its vote are toxic
-    polarity = (toxic @ votes + toxic.mean()) / (votes.sum(0) + 1)
-    post, _ = label_model(votes, polarity)
-    weights, bias = fit_linear(votes, post)
+def features(votes: np.ndarray, lexicon: int) -> np.ndarray:
+    """What the classifier reads: the votes, and whether the whole lexicon is silent."""
+    return np.column_stack([votes, ~votes[:, :lexicon].any(1)])
+
+
+def fit(sample: Sample) -> tuple[list[str], np.ndarray, float]:
+    """(lexicon, weights, bias) from labelled texts. Labels choose the lexicon; the classifier learns
+    from the label model's posteriors."""
+    own = distinct(sample.marks)
+    words, toxic = [sample.words[i] for i in own], sample.toxic[own]
+    lexicon = mine(words, toxic)
+    votes = Voters(lexicon).matrix(words, sample.patterns[own])
+    post, _, _ = label_model(votes, len(lexicon))
+    weights, bias = fit_linear(features(votes, len(lexicon)), post)
     return lexicon, weights, bias
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """About ``per_class`` labelled training documents of either class."""
+def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts (doc_id, toxic, text) as what a sample keeps of them."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(2).to_pylist()]
+        cols = [pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())), pa.array([shown(t) for t in texts], pa.list_(pa.bool_())), pa.array([marks_of(t) for t in texts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "toxic", "words", "patterns", "marks"])
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> Sample:
+    """About ``per_class`` labelled training documents of either class; their texts are read whole, in
+    Spark's tasks, and only their distinct words, patterns and marks are collected."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, per_class / max(1, counts.get(1, 1))).otherwise(per_class / max(1, counts.get(0, 1)))
-    picked = known.filter(draw < share).limit(4 * per_class)
-    # at most 4 * per_class rows: a bound that does not depend on the input
-    rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").limit(4 * per_class).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], dtype=float)
+    # about 2 * per_class ids: a bound that does not depend on the input; of repeated rows the least text
+    picked = known.filter(draw < share).orderBy("doc_id").limit(4 * per_class)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(_digest, "doc_id long, toxic int, words array<string>, patterns array<boolean>, marks array<long>").collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    patterns = np.array([r["patterns"] for r in rows], dtype=float).reshape(len(rows), len(PATTERNS))
+    return Sample([set(r["words"]) for r in rows], patterns, [list(r["marks"]) for r in rows], np.array([r["toxic"] for r in rows], dtype=float))
 
 
 def _score(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     lexicon, weights, bias = model.value
     voters = Voters(lexicon)
     for batch in batches:
-        logit = np.array([bias + sum(weights[i] for i in sorted(voters.vote(t or ""))) for t in batch.column(1).to_pylist()], dtype=float)
+        said = [sorted(voters.vote(t or "")) for t in batch.column(1).to_pylist()]
+        logit = np.array([bias + sum(weights[i] for i in v) + (weights[-1] if not v or v[0] >= len(lexicon) else 0) for v in said], dtype=float)
         score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
@@ -222,12 +334,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
     Null and empty texts get the score of a text on which nobody votes. Texts of any length are read
-    whole, equal texts get equal scores. Without labels nothing is learnt and every score is the
-    patterns' alone. A document with two labels counts as toxic if one says so. No rows in, no rows out.
+    whole, equal texts get equal scores. Without labels nothing is learnt and every score is the same
+    low one. A document with two labels counts as toxic if one says so; of repeated rows of a labelled
+    id one text is learnt from, and each row is scored. No rows in, no rows out; other columns are not read.
     """
     spark = docs.sparkSession
-    texts, toxic = training_sample(docs, labels)
-    learnt = fit(texts, toxic) if len(texts) else ([], np.zeros(len(PATTERNS) + 1), -4.0)
+    sample = training_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+    learnt = fit(sample) if len(sample.words) else ([], np.zeros(len(PATTERNS) + 1), -4.0)
     model = spark.sparkContext.broadcast(learnt)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = slim.mapInArrow(lambda b: _score(b, model), "doc_id long, score double")
