@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import release, settle, settle_buckets
+from tidewell.llm.common import release, settle, settle_buckets, shuffle_partitions
 from tidewell.llm.graph import components
 
 WORDS = 5
@@ -293,7 +293,8 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+    # with fewer buckets than shuffle partitions, Spark would deal the texts anew for each join
+    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
     kinds = "doc_id long, class binary, packed binary"
     texts = settle_buckets(docs.filter("doc_id is not null").mapInArrow(_named, kinds), "doc_id", buckets)
