@@ -18,9 +18,9 @@ share of the words of every document, and all rounds together each word once.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 from math import isqrt, log
 
 import numpy as np
@@ -76,14 +76,24 @@ class Words:
         self.rare = max(1.0, float(rare))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, base = self.place.get, self.size + 1
-        out = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            w = words[i]
-            out[i] = base + zlib.crc32(w[:2] + b"|" + w[-3:]) % SHAPES
+        out = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        rare = np.flatnonzero(out < 0)
+        if len(rare):
+            out[rare] = self.size + 1 + shapes([words[i] for i in rare.tolist()])
         return out
 
 
+def shapes(words: list[bytes]) -> np.ndarray:
+    """A number below SHAPES for the first two and the last three bytes of each word."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    raw, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(sizes)
+    first = ends - sizes
+    out = raw[first] * 131 + raw[np.minimum(first + 1, ends - 1)]
+    for back in (1, 2, 3):
+        out = (out * 131 + raw[np.maximum(ends - back, first)]) & 0xFFFFFF
+    return (out * 2654435761 >> 16) % SHAPES
+
+
 def initial(book: Words) -> dict[str, np.ndarray]:
     """Embeddings of all places, a hidden layer, gates; parts near the words' shares, moved at random."""
     rng = np.random.default_rng(SEED)
