@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Factors to the base unit of each kind (metre, kilogram, litre, square metre).
+# Factors to the base unit of each kind (metre, gram, litre, square metre).
 UNITS = {
-    "length": {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "mi": 1609.344, "yd": 0.9144, "ft": 0.3048, "in": 0.0254},
-    "weight": {"kg": 1.0, "g": 0.001, "mg": 0.000001, "lb": 0.45359237, "oz": 0.028349523125, "t": 1000.0},
-    "volume": {"l": 1.0, "ml": 0.001, "m3": 1000.0, "gal": 3.785411784, "qt": 0.946352946, "pt": 0.473176473, "cup": 0.2365882365},
-    "area": {"m2": 1.0, "km2": 1000000.0, "ha": 10000.0, "acre": 4046.8564224, "ft2": 0.09290304},
-}
+    "length": {"nm": 1e-9, "μm": 1e-6, "mm": 0.001, "cm": 0.01, "m": 1.0, "km": 1000.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "mi": 1609.344, "mil": 2.54e-5},
+    "weight": {"mg": 0.001, "g": 1.0, "kg": 1000.0, "t": 1e6, "oz": 28.3495, "lb": 453.592, "st": 6350.29, "ton": 907185.0},
+    "volume": {
+        "ml": 0.001, "cl": 0.01, "dl": 0.1, "l": 1.0, "kl": 1000.0, "fl_oz": 0.0295735, "cup": 0.236588, "pt": 0.473176, "qt": 0.946353, "gal": 3.78541,
+        "tsp": 0.00492892, "tbsp": 0.0147868, "bbl": 158.987,
+    },
+    "area": {"mm2": 1e-6, "cm2": 1e-4, "m2": 1.0, "km2": 1e6, "in2": 6.4516e-4, "ft2": 0.092903, "yd2": 0.836127, "mi2": 2589988.11, "acre": 4046.86, "ha": 10000.0},
+}
 
 
 def compound(principal: Column, rate: Column, years: Column, per_year: int = 12) -> Column:
@@ -56,22 +61,30 @@ def npv(flows: Column, rate: Column) -> Column:
 
 
 def irr(flows: Column, steps: int = 100, tolerance: float = 1e-6) -> Column:
-    """Internal rate of return by Newton steps from 0.1; null where it does not converge."""
-
-    def value(r: Column) -> Column:
-        return F.aggregate(F.transform(flows, lambda x, i: x / F.pow(1 + r, i)), F.lit(0.0), lambda a, x: a + x)
-
-    def slope(r: Column) -> Column:
-        return F.aggregate(F.transform(flows, lambda x, i: -i * x / F.pow(1 + r, i + 1)), F.lit(0.0), lambda a, x: a + x)
-
-    def step(acc: Column, _: Column) -> Column:
-        r = acc["rate"]
-        new = r - value(r) / slope(r)
-        met = acc["met"] | (F.abs(new - r) < tolerance)
-        return F.struct(F.when(acc["met"], r).otherwise(new).alias("rate"), met.alias("met"))
-
-    start = F.struct(F.lit(0.1).alias("rate"), F.lit(False).alias("met"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: F.when(a["met"], a["rate"]))
+    """Internal rate of return by Newton steps from 0.1; null where it does not converge. All rows of a
+    batch step together until each has converged or left the domain."""
+    @F.pandas_udf("double")
+    def solve(rows: pd.Series) -> pd.Series:
+        size = max((len(r) for r in rows if r is not None), default=0)
+        out = np.full(len(rows), np.nan)
+        for i0 in range(0, len(rows), 8192):
+            some = rows.iloc[i0 : i0 + 8192]
+            x = np.array([[*r, *[0.0] * (size - len(r))] if r is not None else [0.0] * size for r in some], dtype=float).reshape(len(some), size)
+            t, rate, open_ = np.arange(size), np.full(len(some), 0.1), np.arange(len(some))
+            with np.errstate(all="ignore"):
+                for _ in range(steps):
+                    if not len(open_):
+                        break
+                    r = rate[open_][:, None]
+                    now = x[open_] / (1 + r) ** t
+                    new = rate[open_] - now.sum(1) / (-(t * now) / (1 + r)).sum(1)
+                    met = np.abs(new - rate[open_]) < tolerance
+                    rate[open_] = new
+                    out[i0 + open_[met]] = new[met]
+                    open_ = open_[~met & np.isfinite(new)]
+        return pd.Series(out).replace({np.nan: None}).astype("float64")
+
+    return solve(flows.cast("array<double>"))
 
 
 def convert(value: Column, kind: str, source: str, target: str) -> Column:
@@ -85,15 +98,41 @@ def convert_temperature(value: Column, source: str, target: str) -> Column:
     return F.when(out >= 0, out) if target in ("K", "R") else out
 
 
+#: Cells that the range of a group's values is cut into when ranks are counted.
+CELLS = 4096
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each name): values of the data at which the shares are reached. Values are
+    counted in cells of their group's range first; only the cells that hold a wanted rank are counted by
+    value, so a group of any size is never gathered."""
+    v = F.col(value)
+    rows = df.select(*by, value).filter(v.isNotNull())
+    ends = rows.groupBy(*by).agg(F.min(v).alias("_low"), F.max(v).alias("_high"), F.count("*").alias("_n"))
+    wide = F.when(F.col("_high") > F.col("_low"), (v - F.col("_low")) / (F.col("_high") - F.col("_low")) * (CELLS - 1)).otherwise(0)
+    celled = rows.join(ends, by).select(*by, value, "_n", F.floor(wide).alias("_cell"))
+    counts = celled.groupBy(*by, "_cell").agg(F.count("*").alias("_count"), F.first("_n").alias("_n"))
+    # a group has CELLS rows here at most
+    w = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.array(*[F.struct(F.lit(k).alias("name"), F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * F.lit(p), 6))).alias("rank")) for k, p in shares.items()])
+    run = counts.withColumn("_to", F.sum("_count").over(w)).withColumn("_want", F.explode(ranks))
+    wanted = run.filter("_want.rank <= _to and _want.rank > _to - _count").select(*by, "_cell", F.col("_want.name").alias("_name"), (F.col("_want.rank") - F.col("_to") + F.col("_count")).alias("_rank"))
+    inside = celled.join(wanted.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi").groupBy(*by, "_cell", value).agg(F.count("*").alias("_count"))
+    near = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("_to", F.sum("_count").over(near)).join(wanted, [*by, "_cell"]).filter("_to >= _rank and _to - _count < _rank")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, v)).alias(k) for k in shares])
+
+
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, median, sample deviation and variance, range and quartiles of each group; quantiles
     are values of the data."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
     v = F.col(value)
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), q(0.5).alias("median"), F.stddev_samp(v).alias("std_dev"), F.var_samp(v).alias("variance"),
-        (F.max(v) - F.min(v)).alias("value_range"), F.min(v).alias("low"), F.max(v).alias("high"), q(0.25).alias("p25"), q(0.75).alias("p75"),
+    sums = df.groupBy(*by).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std_dev"), F.var_samp(v).alias("variance"),
+        (F.max(v) - F.min(v)).alias("value_range"), F.min(v).alias("low"), F.max(v).alias("high"),
     )
+    ranks = quantiles(df, by, value, {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return sums.join(ranks, by, "left").select(*by, "n", "mean", "median", "std_dev", "variance", "value_range", "low", "high", "p25", "p75")
 
 
 def modes(df: DataFrame, by: list[str], value: str) -> DataFrame:

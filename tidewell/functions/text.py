@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # The stop words that lexical ranking leaves out.
 STOP_WORDS = [
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it",
-    "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with", "this", "but", "not",
+    "a", "an", "and", "are", "as", "at", "be", "by", "do", "for", "from", "has", "have", "he", "in",
+    "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with",
 ]
 
 
@@ -136,6 +136,11 @@ def fold_quotes(text: Column) -> Column:
     return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "‘’“”", "''\"\"")
 
 
-def identifiers(text: Column) -> Column:
-    """Distinct identifiers in order of their names."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
+# Names that an expression gives a meaning to.
+BUILT_IN = ["pi", "PI", "e", "E", "sin", "cos", "tan", "asin", "acos", "atan", "log", "ln", "abs", "sqrt", "pow", "exp", "factorial"]
+
+
+def variables(text: Column) -> Column:
+    """Distinct identifiers of an expression but the built-in ones, in order of their names."""
+    found = F.regexp_extract_all(text, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: ~x.isin(*BUILT_IN))))

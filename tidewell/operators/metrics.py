@@ -28,14 +28,34 @@ def histogram_percentile(hist: DataFrame, by: str, percent: float, bounds: list[
 
 def tool_stats(df: DataFrame, by: str, ok: str, took: str, order: list[str]) -> DataFrame:
     """Attempts, successes, failures and the integer mean that is truncated at every step. The mean
-    depends on the order, so a group is folded in order inside one array."""
-    seen = F.array_sort(F.collect_list(F.struct(*order, F.col(took).cast("long").alias("took"))))
-    fold = F.aggregate(
-        "seen", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("mean")),
-        lambda a, x: F.struct((a["n"] + 1).alias("n"), F.floor((a["mean"] * a["n"] + x["took"]) / (a["n"] + 1)).alias("mean")),
-        lambda a: a["mean"],
-    )
-    return df.groupBy(by).agg(F.count("*").alias("attempts"), F.count_if(F.col(ok)).alias("successes"), F.count_if(~F.col(ok)).alias("failures"), seen.alias("seen")).withColumn("mean_ms", fold).drop("seen")
+    depends on the order: rows are sorted by Spark, and four numbers are carried from row to row."""
+    import pyarrow as pa
+
+    kinds = dict(df.dtypes)
+
+    def walk(batches):
+        key, n, good, mean, any_ = None, 0, 0, 0, False
+        for batch in batches:
+            done = []
+            for k, fine, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not any_ or k != key:
+                    if any_:
+                        done.append((key, n, good, n - good, mean))
+                    key, n, good, mean, any_ = k, 0, 0, 0, True
+                mean = (mean * n + (t or 0)) // (n + 1)
+                n, good = n + 1, good + bool(fine)
+            if done:
+                yield table(done)
+        if any_:
+            yield table([(key, n, good, n - good, mean)])
+
+    def table(rows):
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c, pa.int64()) for c in cols[1:]]], [by, "attempts", "successes", "failures", "mean_ms"])
+
+    ordered = df.repartition(by).sortWithinPartitions(by, *[F.asc_nulls_last(c) for c in order])
+    slim = ordered.select(by, F.col(ok).alias("_ok"), F.col(took).cast("long").alias("_took"))
+    return slim.mapInArrow(walk, f"{by} {kinds[by]}, attempts long, successes long, failures long, mean_ms long")
 
 
 def failure_streaks(df: DataFrame, by: str, failed: str, order: list[str]) -> DataFrame:
@@ -58,8 +78,8 @@ def denial_streaks(df: DataFrame, by: str, denied: str, ts: str, order: list[str
 
 def circuit_breaker(df: DataFrame, by: str, failed: str, ts: str, order: list[str], most: int = 5, reset: int = 60) -> DataFrame:
     """df's keys with ``state`` after each row: closed, open or half_open. ``most`` failures in a row
-    open it; the first row after ``reset`` seconds is a trial that closes or opens it again; rows in
-    between are refused. A machine with feedback, so each key is walked in order."""
+    open it; the first row after ``reset`` seconds is a trial that closes or opens it again (rows come one
+    after the other, so no second trial runs beside it); rows in between are refused. A machine with feedback, so each key is walked in order."""
     import pyarrow as pa
 
     kinds = dict(df.dtypes)

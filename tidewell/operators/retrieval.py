@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ def batched_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     """The k best rows of its namespace for every query (qid, namespace, q). Both sides are dealt by
     namespace and a part of the vectors' own key, so a large namespace is shared by many tasks; the
     parts' winners are merged."""
-    parts = 16
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = vectors.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     scored = asked.join(cut, ["namespace", "part"]).withColumn("score", vx.cosine(F.col("embedding"), F.col("q")))
@@ -41,34 +45,40 @@ def batched_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
 
 def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents (id, text) with a positive Okapi BM25 score. A repeated query term
-    counts as often as it stands there."""
+    counts as often as it stands there. Each text is cut into terms once: what is kept of it is its
+    length and how often each of the query's terms, a handful, stands in it."""
     spark = docs.sparkSession
-    terms = tx.lexical_tokens(F.lit(query))
-    asked = spark.range(1).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    asked: dict[str, int] = {}
+    for t in spark.range(1).select(tx.lexical_tokens(F.lit(query)).alias("t")).first()["t"]:
+        asked[t] = asked.get(t, 0) + 1
     tokens = docs.select("id", tx.lexical_tokens(F.col("text")).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    tf = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    # the query's terms are a handful of literals
-    tf = tf.join(F.broadcast(asked), "term").groupBy("term", "id", "len", "times").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg_len = stats.first()
-    if not n or not avg_len:
-        return spark.createDataFrame([], "id long, score double")
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len)))
-    return tf.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part * F.col("times")).alias("score")).filter("score > 0")
+    own = F.filter("tokens", lambda t: t.isin(*asked)) if asked else F.array().cast("array<string>")
+    held = tokens.select("id", F.size("tokens").alias("len"), own.alias("own"))
+    times_of = lambda w: F.size(F.filter("own", lambda t: t == w))
+    counts = [times_of(w).alias(f"_tf{i}") for i, w in enumerate(asked)]
+    held = held.select("id", "len", *counts)
+    dfs = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(asked))]
+    stats = held.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"), *dfs)
+    # one row of a few numbers
+    joined = held.filter(reduce(lambda a, c: a | c, [F.col(f"_tf{i}") > 0 for i in range(len(asked))], F.lit(False))).crossJoin(F.broadcast(stats))
+    score = F.lit(0.0)
+    for i, times in enumerate(asked.values()):
+        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5) + 1)
+        tf = F.col(f"_tf{i}")
+        score = score + times * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
+    return joined.select("id", score.alias("score")).filter("score > 0")
 
 
 def hybrid(vectors: DataFrame, lexical: DataFrame, query: list[float], weight: float, k: int) -> DataFrame:
     """Cosine and scaled lexical scores blended before the top k. Misses score 0; without any lexical
     score the vectors decide alone."""
     w = min(max(weight, 0.0), 1.0)
-    scaled = lexical.select(F.col("id").alias("key"), (F.col("score") / F.max("score").over(Window.partitionBy(F.lit(1)))).alias("lex"))
-    scored = vectors.withColumn("cos", vx.cosine(F.col("embedding"), vx.literal(query))).join(scaled, "key", "left")
-    if lexical.isEmpty():
-        w = 0.0
-    blend = F.lit(1 - w) * F.col("cos") + F.lit(w) * F.coalesce("lex", F.lit(0.0))
-    return scored.withColumn("score", blend).orderBy(F.desc("score"), "key").limit(k)
+    best = lexical.agg(F.max("score").alias("_best"))
+    scored = vectors.withColumn("cos", vx.cosine(F.col("embedding"), vx.literal(query))).join(lexical.select(F.col("id").alias("key"), F.col("score").alias("_lex")), "key", "left")
+    # one row, null where nothing matched
+    scored = scored.crossJoin(F.broadcast(best))
+    blend = F.lit(1 - w) * F.col("cos") + F.lit(w) * F.coalesce(F.col("_lex") / F.col("_best"), F.lit(0.0))
+    return scored.withColumn("score", F.when(F.col("_best").isNull(), F.col("cos")).otherwise(blend)).drop("_lex", "_best").orderBy(F.desc("score"), "key").limit(k)
 
 
 def keyword_share(text: Column, query: str) -> Column:
@@ -101,10 +111,47 @@ def hard_cut(text: str, most: int) -> list[str]:
     return [p for p in out if p]
 
 
+def word_cut(text: str, most: int) -> list[str]:
+    """Pieces of whole words, at most ``most`` bytes each where the words allow it."""
+    out, held, size = [], [], 0
+    for w in text.split():
+        n = len(w.encode("utf-8"))
+        if held and size + n + 1 > most:
+            out.append(" ".join(held))
+            held, size = [], 0
+        size += n + bool(held)
+        held.append(w)
+    return [*out, " ".join(held)] if held else out
+
+
+def embed(texts: DataFrame, text: str = "text", dim: int = 64, batch: int = 64) -> DataFrame:
+    """texts with ``embedding``: hashed word counts of unit length, batch by batch in the order of the rows;
+    every batch must come back whole and of the right size. Null and wordless texts are zero vectors."""
+    def one(words: list[str]) -> np.ndarray:
+        v = np.zeros(dim, dtype=np.float32)
+        for w in words:
+            h = zlib.crc32(w.encode("utf-8"))
+            v[h % dim] += 1 if h >> 16 & 1 else -1
+        size = np.linalg.norm(v)
+        return v / size if size else v
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out: list = []
+            for lo in range(0, len(part), batch):
+                some = part.iloc[lo : lo + batch]
+                vectors = [one((t or "").lower().split()) for t in some]
+                if len(vectors) != len(some) or any(len(v) != dim for v in vectors):
+                    raise ValueError("embeddings do not fit their texts")
+                out += vectors
+            yield pd.Series(out)
+
+    return texts.withColumn("embedding", run(F.col(text)))
+
+
 def capped_paragraphs(docs: DataFrame, most: int = 800) -> DataFrame:
     """(id, position, chunk): paragraphs of (id, text), none longer than ``most`` bytes."""
-    import pandas as pd
-
     def cut(batches):
         for pdf in batches:
             rows = []
@@ -129,18 +176,19 @@ def semantic_chunks(sentences_: DataFrame, least: int = 100, most: int = 2000, s
     """(id, position, chunk): sentences (id, position, sentence, embedding) joined until the next one
     differs and the chunk is long enough, or would be too long. The length feeds back into the decision,
     so each document is walked in order."""
-    import numpy as np
-    import pandas as pd
-
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
+        if len(pdf) > 1 and pdf["embedding"].isna().any():
+            # without an embedding for each sentence the paragraphs of the text stand in
+            pieces = hard_cut(" ".join(pdf["sentence"]), most)
+            return pd.DataFrame({"id": pdf["id"].iloc[0], "position": range(len(pieces)), "chunk": pieces})
         chunks, held, size, last = [], [], 0, None
         for s, e in zip(pdf["sentence"], pdf["embedding"], strict=True):
             n, e = len(s.encode("utf-8")), np.asarray(e, dtype=float)
             if held:
                 scale = float(np.linalg.norm(last) * np.linalg.norm(e))
                 near = float(last @ e) / scale if scale else 0.0
-                if near < similarity and size >= least or size + 1 + n > most:
+                if near < similarity and size >= least or size + n > most:
                     chunks.append(" ".join(held))
                     held, size = [], 0
             size += n + bool(held)
@@ -148,6 +196,7 @@ def semantic_chunks(sentences_: DataFrame, least: int = 100, most: int = 2000, s
             last = e
         if held:
             chunks.append(" ".join(held))
+        chunks = [p for c in chunks for p in (word_cut(c, most) if len(c.encode("utf-8")) > most else [c])]
         return pd.DataFrame({"id": pdf["id"].iloc[0], "position": range(len(chunks)), "chunk": chunks})
 
     return sentences_.groupBy("id").applyInPandas(walk, "id long, position int, chunk string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,20 +34,29 @@ def cron_parse(expression: str) -> tuple[list[int], ...]:
     return tuple(cron_field(f, lo, hi) for f, (lo, hi) in zip(fields, ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6)), strict=True))
 
 
-def cron_next(ts: Column, expression: str, days: int = 366) -> Column:
-    """The first whole minute after ts at which all five fields match (day of month and weekday too);
-    null beyond ``days`` days. The matching day is found first, then the minute in it."""
+def cron_next(df: DataFrame, ts: str, expression: str, days: int = 366) -> DataFrame:
+    """df with ``next_run``: the first whole minute after ts at which all five fields match (day of month
+    and weekday too); null beyond ``days`` days. The calendar days of the rows' span, with the next day
+    that matches, are a small table that is broadcast: one row a day."""
     minutes, hours, dom, months, dow = cron_parse(expression)
-    times = F.array(*[F.lit(h * 60 + m) for h in hours for m in minutes])
-    start = F.date_trunc("minute", ts) + F.expr("INTERVAL 1 MINUTE")
-    today = F.to_date(start)
-    now = F.hour(start) * 60 + F.minute(start)
-    fits = lambda d: F.dayofmonth(d).isin(*dom) & F.month(d).isin(*months) & (F.dayofweek(d) - 1).isin(*dow)
-    late = F.filter(times, lambda t: t >= now)
-    same_day = F.when(fits(today) & (F.size(late) > 0), F.timestamp_seconds(F.unix_timestamp(today.cast("timestamp")) + F.array_min(late) * 60))
-    later = F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, days)), fits)
-    other = F.when(F.size(later) > 0, F.timestamp_seconds(F.unix_timestamp(F.array_min(later).cast("timestamp")) + F.array_min(times) * 60))
-    return F.coalesce(same_day, other)
+    spark = df.sparkSession
+    start = F.date_trunc("minute", F.col(ts)) + F.expr("INTERVAL 1 MINUTE")
+    low, high = df.agg(F.min(F.to_date(start)), F.max(F.to_date(start))).first()
+    rows, after = [], None
+    if low is not None:
+        for k in range((high - low).days + days, -1, -1):
+            day = low + timedelta(days=k)
+            fits = day.day in dom and day.month in months and (day.weekday() + 1) % 7 in dow
+            if day <= high:
+                rows.append((day, fits, after if after and (after - day).days <= days else None))
+            after = day if fits else after
+    calendar = spark.createDataFrame(rows, "_day date, _fits boolean, _after date")
+    now, first = F.hour("_start") * 60 + F.minute("_start"), min(hours) * 60 + min(minutes)
+    late = F.array_min(F.filter(F.array(*[F.lit(h * 60 + m) for h in hours for m in minutes]), lambda t: t >= now))
+    at = lambda day, minute: F.timestamp_seconds(F.unix_timestamp(F.col(day).cast("timestamp")) + minute * 60)
+    joined = df.withColumn("_start", start).withColumn("_day", F.to_date("_start")).join(F.broadcast(calendar), "_day", "left")
+    same_day = F.when(F.col("_fits") & late.isNotNull(), at("_day", late))
+    return joined.withColumn("next_run", F.coalesce(same_day, at("_after", F.lit(first)))).select(*df.columns, "next_run")
 
 
 def expired(expires: Column, now: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The limits of a line search.
@@ -25,7 +25,14 @@ def grep(docs: DataFrame, pattern: str, ignore_case: bool = False, limit: int =
     expression = _pattern(pattern, ignore_case)
     hits = lines(docs.filter(F.col("text").rlike(expression))).filter(F.col("line").rlike(expression))
     cut = hits.select("id", "number", F.substring("line", 1, MOST_COLUMNS).alias("line")).orderBy("id", "number")
-    return (cut.offset(offset) if offset else cut).limit(min(limit or HEAD_LIMIT, MOST_LIMIT))
+    most = min(limit or HEAD_LIMIT, MOST_LIMIT)
+    if not offset:
+        return cut.limit(most)
+    # offset + limit rows at most are numbered; an offset beyond the last of them is ignored
+    top, every = cut.limit(offset + most), Window.partitionBy(F.lit(1))
+    numbered = top.withColumns({"_nth": F.row_number().over(every.orderBy("id", "number")), "_n": F.count("*").over(every)})
+    skipped = F.when(F.col("_n") > offset, F.lit(offset)).otherwise(0)
+    return numbered.filter((F.col("_nth") > skipped) & (F.col("_nth") <= skipped + most)).select("id", "number", "line")
 
 
 def grep_files(docs: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:

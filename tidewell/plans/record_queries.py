@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import numeric as nm
 from tidewell.functions import text as tx
 from tidewell.operators import records as rc
 from tidewell.plans.catalog import register
@@ -196,10 +197,11 @@ def k1(spark, d):
 
 
 @register("t2_relevance", """
-SELECT event_id, round(least(1.0, 0.4 * (value / 100) + 0.2 * 0.5 + 0.3 * greatest(0.0, (24 - hour(ts)) / 24) + CASE WHEN event_type = 'error' THEN 0.3 ELSE 0 END + 0.1 * (user_id % 3)), 6) AS score FROM events""")
+SELECT event_id, round(least(1.0, 0.4 * (value / 100) + 0.2 * 0.5 + 0.3 * greatest(0.0, (24 - (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 3.6e9) / 24) + CASE WHEN event_type = 'error' THEN 0.3 ELSE 0 END + 0.1 * (user_id % 3)), 6) AS score FROM events""")
 def t2(spark, d):
     e = table(spark, d, "events")
-    score = rc.relevance(F.col("value") / 100, F.lit(0.5), F.hour("ts"), F.col("event_type") == "error", F.col("user_id") % 3)
+    hours = (F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
+    score = rc.relevance(F.col("value") / 100, F.lit(0.5), hours, F.col("event_type") == "error", F.col("user_id") % 3)
     return e.select("event_id", F.round(score, 6).alias("score"))
 
 
@@ -224,8 +226,7 @@ WITH m AS (SELECT max(ts) AS now FROM events), live AS (SELECT event_id, ts FROM
 SELECT event_id FROM live ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def e4(spark, d):
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    live = e.filter(F.col("ts") + F.expr("INTERVAL 15 DAYS") > F.lit(now))
+    live = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).filter(F.col("ts") + F.expr("INTERVAL 15 DAYS") > F.col("now"))
     return live.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id")
 
 
@@ -250,12 +251,13 @@ def d6(spark, d):
     return table(spark, d, "events").select("event_id", F.unix_timestamp("ts").alias("seconds"))
 
 
-@register("m4_variables", r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_]*'))), ',') AS names FROM pages")
+@register("m4_variables", r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'),
+lambda x: x NOT IN ('pi', 'PI', 'e', 'E', 'sin', 'cos', 'tan', 'asin', 'acos', 'atan', 'log', 'ln', 'abs', 'sqrt', 'pow', 'exp', 'factorial')))), ',') AS names FROM pages""")
 def m4(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(tx.identifiers(F.col("url")), ",").alias("names"))
+    return table(spark, d, "pages").select("page_id", F.array_join(tx.variables(F.col("url")), ",").alias("names"))
 
 
-@register("m14_batch_conversion", "SELECT p_partkey, round(p_size * 25.4::DOUBLE, 6) AS millimetres, round(p_size * 0.45359237::DOUBLE, 6) AS kilograms FROM part")
+@register("m14_batch_conversion", "SELECT p_partkey, round(p_size * 0.0254::DOUBLE / 0.001, 6) AS millimetres, round(p_size * 453.592::DOUBLE / 1000, 6) AS kilograms FROM part")
 def m14(spark, d):
-    sizes = F.transform(F.array(F.lit(25.4), F.lit(0.45359237)), lambda f: F.round(F.col("p_size") * f, 6))
-    return table(spark, d, "part").select("p_partkey", sizes[0].alias("millimetres"), sizes[1].alias("kilograms"))
+    v = F.col("p_size").cast("double")
+    return table(spark, d, "part").select("p_partkey", F.round(nm.convert(v, "length", "in", "mm"), 6).alias("millimetres"), F.round(nm.convert(v, "weight", "lb", "kg"), 6).alias("kilograms"))
