@@ -142,7 +142,7 @@ def p19(spark, d):
     return e.select("event_id", ru.record_problem(record, {"k": "number", "type": "string"}, ["k"], {"type": ["view", "click"]}).alias("problem"))
 
 
-@register("p18_shell_segments", """SELECT event_id, 3 AS n, 'ls -l | grep ' || event_type || '#echo "a;b"#cat x' AS parts FROM (SELECT event_id, event_type FROM events) WHERE event_id >= 0""".replace("3 AS n, 'ls -l | grep '", "4 AS n, 'ls -l#grep '"))
+@register("p18_shell_segments", """SELECT event_id, 4 AS n, 'ls -l#grep ' || event_type || '#echo "a;b"#cat x' AS parts FROM events""")
 def p18(spark, d):
     command = F.concat(F.lit("ls -l | grep "), F.col("event_type"), F.lit(' && echo "a;b"; cat x'))
     parts = ru.shell_segments(command)
