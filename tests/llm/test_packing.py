@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -30,6 +31,38 @@ def test_ids_are_the_tokenizers(odd_docs):
     assert [np.frombuffer(r, "<u4").tolist() for r in packing.encode(texts, path)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(st.characters(max_codepoint=255), max_size=80), st.text("abcdefgh IJ'é-_.,!1²ß|<>", max_size=80)))
+def test_ids_of_any_text_are_the_tokenizers(text):
+    path = packing.tokenizer_path()
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path)
+    assert np.frombuffer(packing.encode([text], path)[0], "<u4").tolist() == _tokenizers[path].encode(text, add_special_tokens=False).ids
+
+
+_tokenizers = {}
+
+
+def test_every_token_is_merged_from_its_own_bytes_by_its_listed_pair():
+    """What makes merging by joined bytes the same as merging by listed pairs."""
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    ranks, _ = packing.byte_ranks(model)
+    inverse = {r: b for b, r in ranks.items()}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    first = len(ranks) - len(pairs)
+    size = {}
+    for k, (left, right) in enumerate(pairs):
+        whole = inverse[first + k]
+        parts = [whole[i : i + 1] for i in range(len(whole))]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        end = model["end_of_word_suffix"]
+        size[left], size[right] = (len(x.removesuffix(end)) + (x.endswith(end)) for x in (left, right))
+        assert len(parts[0]) == size[left] and len(parts[1]) == size[right], (left, right)
+
+
 def test_documents_are_whole_and_packed(spark, odd_docs, no_docs):
     rows = packing.pack_documents(odd_docs).collect()
     _check(rows, 2048)

@@ -12,6 +12,27 @@ def test_stages_keep_the_columns(spark, odd_docs, no_docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "secrets", "mixture", "packing"]
 
 
+def test_language_id_takes_odd_and_no_rows(spark, odd_docs, no_docs):
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and {2, 3, 4, 5}.isdisjoint(r.doc_id for r in out.collect())
+    assert corpus_pipeline.language_id(spark, no_docs, "").count() == 0
+
+
+def test_run_packs_what_the_stages_keep(spark, tmp_path):
+    from tests.llm.conftest import sentence
+
+    rows = [(i, sentence(80, i), "en", f"src{i % 3}", 1) for i in range(30)] + [(50, sentence(80, 1), "en", "src1", 1), (51, "?!", "en", "src1", 1), (52, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    staged = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        staged = corpus_pipeline.settle(stage(spark, staged, ""))
+    assert sorted(r.doc_id for r in out if r.piece == 0) == sorted(r.doc_id for r in staged.collect()) and not {50, 51, 52} & {r.doc_id for r in out}
+    assert {r.offset for r in out} and all(r.length <= 2048 for r in out)
+
+
 def test_pipeline_decides_as_its_operators(spark):
     from tests.llm.conftest import sentence
 

@@ -175,3 +175,20 @@ def test_several_tables_count_a_link_once(spark, monkeypatch):
     got = {r.vec_id: r for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert sum(got[i].n_links == got[i + 200].n_links == 1 and got[i + 200].component_id == i for i in range(200)) >= 0.9 * 200
     assert all(r.n_links <= 1 for r in got.values())
+
+
+def test_recall_holds_at_every_size():
+    """Random pairs at just the cosine that the design has not tried, for tables of very different sizes."""
+    for dim, n in ((64, 10_000), (64, 1_000_000), (64, 100_000_000), (256, 50_000), (256, 100_000_000)):
+        plan = cap_filters.design(n, dim)
+        rng = np.random.default_rng([5, dim, n])
+        x, z = rng.standard_normal((2, 250, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (x * z).sum(1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        found = np.zeros(250, dtype=bool)
+        for table in range(plan.tables):
+            rotation, books = cap_filters.codebooks(dim, plan.blocks, plan.size, cap_filters.SEED + table)
+            keys = [r * plan.size**plan.blocks + c for r, c in (cap_filters.decode(v @ rotation, books, plan.threshold) for v in (x, y))]
+            found[np.intersect1d(*keys) // plan.size**plan.blocks] = True
+        assert plan.tables == 0 or found.mean() >= 0.93, (dim, n, plan, found.mean())

@@ -36,8 +36,11 @@ from tidewell.llm.common import settle, shuffle_partitions
 LEAST_VOCABULARY, MOST_VOCABULARY, SHAPES = 8192, 64_000, 1024
 WINDOW, EMBED, HIDDEN, PARTS = 2, 12, 24, 48
 ROUNDS, BATCH, RATE, SEED = 2, 4096, 6.0, 3
-#: Words of a part's start that the words seen in a round are added to; smoothing of the parts at its end.
-START, SMOOTH = 50_000, 1e-3
+#: Smaller corpora are learnt in smaller steps: so many of them in all, in batches of LEAST_BATCH words or more.
+STEPS, LEAST_BATCH, LEAST_RATE = 1000, 128, 0.5
+#: Words of the parts' start that the words seen in a round are added to: a share of all, at most so many;
+#: smoothing of the parts at its end.
+START_SHARE, MOST_START, SMOOTH = 200, 50_000, 1e-3
 #: Distinct words a task counts before it hands the counts on; numbers in a row of weights.
 HELD_WORDS, ROW = 400_000, 1 << 14
 #: The key of a word in the table of counts: Spark's xxhash64 of its bytes.
@@ -74,6 +77,9 @@ class Words:
         all_ = np.append(counts, rare).astype(float)
         self.share = (all_ / max(1.0, all_.sum())).astype(np.float32)
         self.rare = max(1.0, float(rare))
+        self.batch = int(min(BATCH, max(LEAST_BATCH, all_.sum() // STEPS)))
+        self.start = float(min(MOST_START, max(500, all_.sum() // START_SHARE)))
+        self.rate = max(LEAST_RATE, RATE * self.batch / BATCH)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -166,7 +172,7 @@ def mixed(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
 def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
     """Weights after the words of this turn: every turns-th one of each text, from a start that moves on."""
     book, p = words.value, {k: v.copy() for k, v in start.value.items()}
-    before = p["part"] * np.float32(START / PARTS)
+    before = p["part"] * np.float32(book.start / PARTS)
     counts = np.zeros_like(before)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = seen = 0
@@ -174,9 +180,10 @@ def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns
     def flush(least: int) -> None:
         nonlocal held, size, seen
         around, word = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        done = len(word) // BATCH * BATCH if least == BATCH else len(word)
-        for lo in range(0, done, BATCH):
-            learn(p, counts, around[lo : min(done, lo + BATCH)], word[lo : min(done, lo + BATCH)], RATE * min(1.0, (done - lo) / BATCH))
+        step = book.batch
+        done = len(word) // step * step if least == step else len(word)
+        for lo in range(0, done, step):
+            learn(p, counts, around[lo : min(done, lo + step)], word[lo : min(done, lo + step)], book.rate * min(1.0, (done - lo) / step))
         p["part"] = mixed(before + counts, book.share)
         seen += done
         held = [(around[done:], word[done:])]
@@ -189,8 +196,8 @@ def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns
                 at = np.arange((len(ids) + turn) % turns, len(ids), turns)
                 held.append((contexts(ids, book.edge)[at], np.minimum(ids[at], book.size)))
                 size += len(at)
-                if size >= 8 * BATCH:
-                    flush(BATCH)
+                if size >= 8 * book.batch:
+                    flush(book.batch)
     if size:
         flush(1)
     if seen:

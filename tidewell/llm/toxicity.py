@@ -255,7 +255,9 @@ def label_model(votes: np.ndarray, lexicon: int | None = None, rounds: int = ROU
     post = np.where(votes[:, :lexicon].any(1), SPOKEN, SILENT)
     for step in range(2):
         if step:
+            # the forest is drawn from what the first rounds found; the rounds start anew with it
             model.connect(votes, post)
+            post = np.where(votes[:, :lexicon].any(1), SPOKEN, SILENT)
         model.maximise(votes, post)
         reached: list[float] = []
         for _ in range(rounds):
