@@ -6,7 +6,9 @@ secrets       masks what the secret scan finds
 mixture       keeps the documents that the leaf budgets pay for, once for each epoch that reads them
 packing       packs the token pieces of what is left
 
-Every stage reads all that its predecessor kept; all but the last return the columns of documents.
+Every stage reads all that its predecessor kept; all but the last return the columns of documents. No stage
+fails on nulls in any column, empty or very long texts, repeated rows or empty tables; extra columns of the
+input come along, as the operators name their own columns apart. What each does with such rows is said below.
 """
 
 from __future__ import annotations
@@ -19,23 +21,31 @@ from tidewell.llm.common import settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter. Null, empty and letterless texts go; repeated rows stay, each by itself. Where
+    no row can be learnt from, every document is ``und`` and goes."""
     return langid.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts, the one of the smallest id. Null, empty and wordless texts
+    are groups of their own, and rows with a null id stay; of rows that repeat an id one stays."""
     return ngram_join.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets masked, and n_chars with them. Null texts stay null, clean rows as they are."""
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that their leaf's budget pays for, once for each epoch that reads them. Null languages and
+    sources are leaves; texts without words cost nothing and come along with their leaf."""
     chosen = mixing.mix(docs)
     return chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places. Null and empty texts are one id 0 each; repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
