@@ -15,6 +15,58 @@ from tidewell.functions import text as tx
 from tidewell.functions import vectors as vx
 
 
+def index_options(kind: str = "hnsw", dim: int = 0, m: int = 0, ef: int = 0, lists: int = 0) -> dict[str, int | str]:
+    """Settings of an approximate index: what is not positive takes its usual value, any other kind than
+    ivfflat is hnsw."""
+    return {"kind": "ivfflat" if kind.lower() == "ivfflat" else "hnsw", "dim": dim if dim > 0 else 1536, "m": m if m > 0 else 16, "ef_construction": ef if ef > 0 else 64, "lists": lists if lists > 0 else 100}
+
+
+def bucket_code(vector: Column, dim: int, bits: int, seed: int = 11) -> Column:
+    """Signs of the products with ``bits`` fixed random directions, as a number."""
+    planes = np.random.default_rng([seed, dim, bits]).standard_normal((bits, dim)).round(4).tolist()
+    sides = [F.when(vx.dot(vector, vx.literal(p)) >= 0, 1 << j).otherwise(0) for j, p in enumerate(planes)]
+    return reduce(lambda a, b: a + b, sides).cast("long")
+
+
+def near_top_k(vectors: DataFrame, query: list[float], k: int = 5, where: Column | None = None, bits: int = 8, radius: int = 3, after: bool = True) -> DataFrame:
+    """About the k best rows (key, embedding) by cosine: buckets whose code differs from the query's in
+    ``radius`` bits at most are scored exactly. By default the filter comes after the top k, so fewer than
+    k rows may be left. A radius of ``bits`` scores all buckets."""
+    dim = len(query)
+    rows = vectors if where is None or after else vectors.filter(where)
+    far = F.bit_count(bucket_code(F.col("embedding"), dim, bits).bitwiseXOR(bucket_code(vx.literal(query), dim, bits)))
+    best = rows.filter(far <= radius).withColumn("score", vx.cosine(F.col("embedding"), vx.literal(query))).orderBy(F.desc("score"), "key").limit(k if k > 0 else 5)
+    return best if where is None or not after else best.filter(where)
+
+
+def term_rank(text: Column, query: str) -> Column:
+    """Rank of a text by how often each of the query's words stands in it, each further time for less; the
+    mean over the query's words."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
+    asked = sorted(set(query.lower().split()))
+    n = lambda w: F.size(F.filter(words, lambda t: t == w))
+    part = lambda w: F.when(n(w) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n(w), F.lit(1))), F.lit(0.0), lambda a, i: a + 0.1 / (i * i)) / 1.64493406685).otherwise(0.0)
+    return reduce(lambda a, b: a + b, [part(w) for w in asked]) / len(asked) if asked else F.lit(0.0)
+
+
+def reranked(hits: DataFrame, ranks: DataFrame, k: int, key: str = "key") -> DataFrame:
+    """The k best hits (position from 0, ...) in the order of ranks (index, rank): places out of range are
+    left out, and without any rank the hits stay in their order."""
+    n = hits.join(F.broadcast(ranks), F.col("position") == F.col("index"), "left")
+    some = F.max(F.col("rank").isNotNull()).over(Window.partitionBy(F.lit(1)))
+    # hits are the few rows of a top k
+    return n.withColumn("_some", some).filter("rank is not null or not _some").orderBy(F.desc_nulls_last("rank"), "position").limit(k).select(*hits.columns)
+
+
+def rendered(hits: DataFrame, corpus: str) -> DataFrame:
+    """(text): the hits (position, score, filename, chunk, text) of one answer as a text."""
+    head = F.format_string("[%d] score=%.4f", F.col("position") + 1, F.col("score"))
+    named = F.concat(head, F.when(F.col("filename") != "", F.concat(F.lit("  file="), "filename")).otherwise(""), F.when(F.col("chunk") != "", F.concat(F.lit("  chunk="), "chunk")).otherwise(""), F.lit("\n"), F.col("text"))
+    rows = hits.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("position", named.alias("said")))).alias("rows"))
+    body = F.concat(F.lit(f"Corpus: {corpus} — "), F.col("n").cast("string"), F.lit(" result(s)\n\n"), F.array_join(F.transform("rows", lambda r: r["said"]), "\n\n"))
+    return rows.select(F.when(F.col("n") == 0, f'No results found in corpus "{corpus}".').otherwise(body).alias("text"))
+
+
 def metadata_filter(conditions: dict[str, str | list[str]], metadata: str = "metadata") -> Column:
     """All conditions hold: equality, or membership for a list. A missing key counts as empty text."""
     value = lambda k: F.coalesce(F.col(metadata)[k], F.lit(""))
