@@ -103,12 +103,11 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataF
     asked: dict[str, int] = {}
     for t in spark.range(1).select(tx.lexical_tokens(F.lit(query)).alias("t")).first()["t"]:
         asked[t] = asked.get(t, 0) + 1
-    tokens = docs.select("id", tx.lexical_tokens(F.col("text")).alias("tokens"))
-    own = F.filter("tokens", lambda t: t.isin(*asked)) if asked else F.array().cast("array<string>")
-    held = tokens.select("id", F.size("tokens").alias("len"), own.alias("own"))
-    times_of = lambda w: F.size(F.filter("own", lambda t: t == w))
-    counts = [times_of(w).alias(f"_tf{i}") for i, w in enumerate(asked)]
-    held = held.select("id", "len", *counts)
+    t = F.col("_term")
+    parts = docs.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{Nd}]+")).alias("_term"))
+    # partial counts leave each map task with one row a document, which both branches below read
+    counts = [F.count_if(t == w).alias(f"_tf{i}") for i, w in enumerate(asked)]
+    held = parts.groupBy("id").agg(F.count_if((F.octet_length(t) >= 2) & ~t.isin(*tx.STOP_WORDS)).alias("len"), *counts)
     dfs = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(asked))]
     stats = held.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"), *dfs)
     # one row of a few numbers
