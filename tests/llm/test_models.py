@@ -342,3 +342,17 @@ def test_positions_equal_a_plain_recurrence():
     logits = both @ p["head"] + p["bias"]
     prob = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     assert np.allclose(langid.Scorer(p).documents([raw.decode()])[0], prob[: len(raw)].mean(0), atol=1e-4)
+
+
+def test_gates_of_far_apart_numbers_are_a_softmax():
+    for far in (0.5, 30.0, 200.0, -200.0, 5000.0):
+        z = np.array([[0.0, far, 1.0], [far, far, far]], dtype=np.float32)
+        want = np.exp(z - z.max(1, keepdims=True).astype(float))
+        assert lm_scoring.softmax(z.copy()) == pytest.approx(want / want.sum(1, keepdims=True), abs=1e-6)
+
+
+def test_neighbours_of_many_texts_are_those_of_each():
+    texts = [np.arange(1, 6), np.arange(0), np.array([7]), np.arange(8, 11)]
+    together = lm_scoring.contexts(np.concatenate(texts), 99, np.array([len(t) for t in texts]))
+    assert together.tolist() == [r for t in texts for r in lm_scoring.contexts(t, 99).tolist()]
+    assert together[5].tolist() == [99] * (2 * lm_scoring.WINDOW)

@@ -115,23 +115,36 @@ def initial(book: Words) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def contexts(ids: np.ndarray, edge: int) -> np.ndarray:
-    """(n, 2 * WINDOW): the neighbours of each word of one text; ``edge`` beyond its ends."""
-    ends = np.full(WINDOW, edge, dtype=np.int64)
-    padded = np.concatenate([ends, ids, ends])
-    n = len(ids)
-    return np.stack([padded[WINDOW + d : WINDOW + d + n] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))], axis=1)
+def contexts(ids: np.ndarray, edge: int, sizes: np.ndarray | None = None, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """(n, 2 * WINDOW): the neighbours of the words ``at`` of one text, or of texts of these sizes, one after
+    another; ``edge`` beyond the ends of each text."""
+    sizes = np.array([len(ids)]) if sizes is None else sizes
+    padded = np.full(len(ids) + WINDOW * (len(sizes) + 1), edge, dtype=np.int64)
+    place = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[place] = ids
+    around = [d for d in range(-WINDOW, WINDOW + 1) if d]
+    return padded[place[at][:, None] + np.array(around)]
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place. Rows are moved to their largest number only where exp might overflow or
+    vanish, and are added up by a product with ones."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= row_sums(z)
+    return z
+
+
+def row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones((z.shape[1], 1), dtype=z.dtype)
 
 
 def gates(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the parts for each context, the hidden layer and its input."""
     x = np.take(p["embed"], around.ravel(), axis=0).reshape(len(around), -1)
     hidden = np.tanh(x @ p["mix"] + p["tilt"])
-    z = hidden @ p["gate"] + p["bias"]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z, hidden, x
+    return softmax(hidden @ p["gate"] + p["bias"]), hidden, x
 
 
 def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +160,7 @@ def learn(p: dict[str, np.ndarray], counts: np.ndarray, around: np.ndarray, word
     added to ``counts``."""
     g, hidden, x = gates(p, around)
     r = g * np.take(p["part"], word, axis=0)
-    r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
+    r /= np.maximum(row_sums(r), 1e-30)
     g -= r
     g /= len(word)
     dh = g @ p["gate"].T * (1 - hidden * hidden)
@@ -174,28 +187,33 @@ def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns
     book, p = words.value, {k: v.copy() for k, v in start.value.items()}
     before = p["part"] * np.float32(book.start / PARTS)
     counts = np.zeros_like(before)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    texts: list[list[bytes]] = []
+    rest = (np.zeros((0, 2 * WINDOW), dtype=np.int64), np.zeros(0, dtype=np.int64))
     size = seen = 0
 
     def flush(least: int) -> None:
-        nonlocal held, size, seen
-        around, word = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        nonlocal texts, rest, size, seen
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        ids = book.ids([w for t in texts for w in t])
+        nth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero((nth - np.repeat(sizes, sizes) - turn) % turns == 0)
+        around = np.concatenate([rest[0], contexts(ids, book.edge, sizes, at)])
+        word = np.concatenate([rest[1], np.minimum(ids[at], book.size)])
         step = book.batch
         done = len(word) // step * step if least == step else len(word)
         for lo in range(0, done, step):
             learn(p, counts, around[lo : min(done, lo + step)], word[lo : min(done, lo + step)], book.rate * min(1.0, (done - lo) / step))
         p["part"] = mixed(before + counts, book.share)
         seen += done
-        held = [(around[done:], word[done:])]
-        size = len(held[0][1])
+        texts, rest = [], (around[done:], word[done:])
+        size = len(rest[1])
 
     for batch in batches:
         for text in batch.column(0):
-            ids = book.ids(split_words(text.as_py()))
-            if len(ids):
-                at = np.arange((len(ids) + turn) % turns, len(ids), turns)
-                held.append((contexts(ids, book.edge)[at], np.minimum(ids[at], book.size)))
-                size += len(at)
+            words_ = split_words(text.as_py())
+            if words_:
+                texts.append(words_)
+                size += len(range((len(words_) + turn) % turns, len(words_), turns))
                 if size >= 8 * book.batch:
                     flush(book.batch)
     if size:
@@ -262,13 +280,14 @@ def log_likelihood(book: Words, p: dict[str, np.ndarray], ids: list[np.ndarray])
     sizes = np.array([len(i) for i in ids], dtype=np.int64)
     if not sizes.sum():
         return np.zeros(len(ids))
-    around, word = np.concatenate([contexts(i, book.edge) for i in ids if len(i)]), np.minimum(np.concatenate(ids), book.size)
+    every = np.concatenate(ids)
+    around, word = contexts(every, book.edge, sizes), np.minimum(every, book.size)
     score = np.empty(len(word))
     for lo in range(0, len(word), BATCH):
         s = slice(lo, lo + BATCH)
         g, _, _ = gates(p, around[s])
         g *= np.take(p["part"], word[s], axis=0)
-        score[s] = np.log(np.maximum(g.sum(1), 1e-30))
+        score[s] = np.log(np.maximum(row_sums(g)[:, 0], 1e-30))
     score[word == book.size] -= log(book.rare)
     return np.bincount(np.repeat(np.arange(len(ids)), sizes), weights=score, minlength=len(ids))
 
@@ -279,11 +298,13 @@ def _score(batches: Iterable[pa.RecordBatch], words, model) -> Iterator[pa.Recor
         for lo in range(0, batch.num_rows, 128):
             some = batch.slice(lo, 128)
             texts = [split_words(t) for t in some.column(1).to_pylist()]
-            ids = [book.ids(t) for t in texts]
-            total = log_likelihood(book, model.value, ids)
-            rare = [np.array([key(t[j], KEY_SEED) for j in np.flatnonzero(i > book.size).tolist()], dtype=np.uint64).view(np.int64) for t, i in zip(texts, ids, strict=True)]
-            n = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([some.column(0), n, pa.array(total), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "n_words", "known", "rare"])
+            sizes, words_ = np.array([len(t) for t in texts], dtype=np.int64), [w for t in texts for w in t]
+            ends, ids = np.cumsum(sizes), book.ids(words_)
+            total = log_likelihood(book, model.value, np.split(ids, ends[:-1]))
+            at = np.flatnonzero(ids > book.size)
+            keys = np.fromiter((key(words_[j], KEY_SEED) for j in at.tolist()), dtype=np.uint64, count=len(at)).view(np.int64)
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(0, ends)), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.array(total), rare], ["doc_id", "n_words", "known", "rare"])
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
