@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import cap_filters, langid, lm_scoring, media, mixing, ngram_join, packing, secrets, sharding, toxicity
+from tidewell.llm import alignment, cap_filters, divergence, langid, lm_scoring, media, mixing, ngram_join, packing, secrets, sharding, toxicity, wavelet
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_hierarchical_mix": mixing.op8_hierarchical_mix,
         "op9_spherical_caps": cap_filters.op9_spherical_caps,
         "op10_masked_pseudo_likelihood": lm_scoring.op10_masked_pseudo_likelihood,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_token_alignment": alignment.op12_token_alignment,
+        "op13_wavelet_shards": wavelet.op13_wavelet_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_hierarchical_mix": mixing.OP8_SQL}
+    return {"op8_hierarchical_mix": mixing.OP8_SQL, "op11_source_divergence": divergence.OP11_SQL}
