@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import settle, shuffle_partitions
 
-#: Terms are runs of Latin letters and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of Latin letters and of anything beyond ASCII, so they are what these signs part.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCUMENTS = 3
 MOST_TERMS = 200
@@ -39,22 +39,25 @@ class Audit(NamedTuple):
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+    """The terms of a text, with an empty string where it starts or ends between terms. Splitting is
+    linear in the text, where extracting all matches copies the text for each."""
+    return F.split(F.translate(text, UPPER, LOWER), BETWEEN, -1)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences and documents of each term of each group.
 
-    Null texts, languages and sources read as ''. A group whose documents have no term has a row with a
-    null term. Repeated rows are documents of their own; columns other than the three are not read.
+    Null texts, languages and sources read as ''. A group with no term at all in some text has a row with
+    the term '' and no documents, which stands for the group. Repeated rows are documents of their own;
+    columns other than the three are not read.
     """
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
     words = docs.select(lang.alias("lang"), source.alias("source"), F.sort_array(_words(text)).alias("w"))
     # each term beside the one before it; the first has an empty one, which no term is
     before = F.concat(F.array(F.lit("")), F.col("w"))
-    rows = words.select("lang", "source", F.explode_outer(F.arrays_zip(F.col("w").alias("term"), F.slice(before, 1, F.size("w")).alias("last"))).alias("x"))
+    rows = words.select("lang", "source", F.explode(F.arrays_zip(F.col("w").alias("term"), F.slice(before, 1, F.size("w")).alias("last"))).alias("x"))
     rows = rows.select("lang", "source", F.col("x.term").alias("term"), (F.col("x.term") != F.col("x.last")).cast("long").alias("first"))
-    return rows.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.coalesce(F.sum("first"), F.lit(0)).alias("docs"))
+    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 def _rate(count: str, total: str) -> str:
@@ -77,7 +80,7 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_terms: i
     spark = docs.sparkSession
     counts = settle(term_counts(docs))
     groups = settle(counts.select("lang", "source").distinct())
-    vocab = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("d")).filter(F.col("d") >= least_documents).drop("d")
+    vocab = counts.filter("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("d")).filter(F.col("d") >= least_documents).drop("d")
     vocab = settle(vocab)
     kept = settle(counts.join(vocab, ["lang", "term"]))
     langs = vocab.groupBy("lang").agg((F.sum("lang_n") + F.count("*")).alias("lang_total"), F.count("*").alias("v"))
@@ -97,7 +100,11 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_terms: i
 
     dealt = rates.select("lang", "term", "source", "p").repartition(cells, "lang", "term")
     other = dealt.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"))
-    gaps = dealt.join(other, ["lang", "term"]).filter("source != other").groupBy("lang", "source", "other").agg(F.expr(f"sum({GAP})").alias("value"))
+    back = GAP.replace("p", "x").replace("q", "p").replace("x", "q")
+    # a pair is met once and summed both ways
+    met = dealt.join(other, ["lang", "term"]).filter("source < other").groupBy("lang", "source", "other").agg(F.expr(f"sum({GAP})").alias("forth"), F.expr(f"sum({back})").alias("back"))
+    ways = F.array(F.struct("source", "other", F.col("forth").alias("value")), F.struct(F.col("other").alias("source"), F.col("source").alias("other"), F.col("back").alias("value")))
+    gaps = met.select("lang", F.explode(ways).alias("x")).select("lang", "x.*")
     siblings = groups.join(groups.select("lang", F.col("source").alias("other")), "lang").filter("source != other")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "other")
     pairs = siblings.join(gaps, ["lang", "source", "other"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast("long"))).withColumn("rank", F.row_number().over(by_value))
