@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import settle
-from tidewell.llm.token_units import MEMORY, UNIT, byte_level, pieces, tokenizer_path
+from tidewell.llm.token_units import LONG, MEMORY, PLAIN, UNIT, byte_level, pieces, tokenizer_path
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A key of at least this share of all rows is hot; there are at most as many of them.
 HOT_SHARE = 65_536
 CHUNK = 256
+#: Units that are encoded in one call.
+JOINED = 4096
 
 
 class Alignment(NamedTuple):
@@ -87,23 +90,68 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_level(path_a), pieces(path_b)
-        self.units: dict[str, tuple | None] = {}
+        self.bytes_a, self.bytes_b = (np.array([len(t.raw.get(i, b"")) for i in range(max(t.raw, default=0) + 1)]) for t in (self.a, self.b))
+        #: Unit: its kinds in order, joined, and how many tokens of A and of B it has; None: not given back.
+        self.units: dict[str, tuple[str, int, int] | None] = {}
         self.linked: dict[str, list] = {}
 
-    def _learn(self, units: list[str], whole: bool) -> None:
+    def _learn_each(self, units: list[str], whole: bool) -> None:
         ids_b = [self.b.whole(u[1:]) for u in units] if whole else self.b(units)
         raw_a, raw_b = self.a.raw, self.b.raw
         for unit, a, b in zip(units, self.a(units), ids_b, strict=True):
             said = unit.encode("utf-8")
             fits = b"".join([raw_a.get(i, b"") for i in a]) == said and b"".join([raw_b.get(i, b"") for i in b]) == said
-            kinds = cut_groups(a, b, raw_a, raw_b) if fits else None
-            self.units[unit] = (len(a), len(b), kinds, ";".join(kinds)) if fits else None
-
-    def pairs(self, kind: str) -> list:
+            self.units[unit] = (";".join(cut_groups(a, b, raw_a, raw_b)), len(a), len(b)) if fits else None
+
+    def _learn_joined(self, units: list[str]) -> bool:
+        """Units that stand beside each other as they do in a text, in one call of either tokenizer."""
+        text = "".join(units)
+        said = text.encode("utf-8")
+        a, b = self.a.merger.encode_ordinary(text), self.b([text])[0]
+        if b"".join(map(self.a.raw.__getitem__, a)) != said or b"".join([self.b.raw.get(i, b"") for i in b]) != said:
+            return False
+        ends_a, ends_b = np.cumsum(self.bytes_a[a]), np.cumsum(self.bytes_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        say_a, say_b = list(map(str, a)), list(map(str, b))
+        kinds, i, j = [], 0, 0
+        for i2, j2 in zip(to_a.tolist(), to_b.tolist(), strict=True):
+            if i2 - i == 1 and j2 - j == 1:
+                kinds.append(f"{say_a[i]}|{say_b[j]}")
+            else:
+                kinds.append(f"{','.join(say_a[i:i2])}|{','.join(say_b[j:j2])}")
+            i, j = i2, j2
+        unit_ends = np.cumsum(np.fromiter((len(u.encode("utf-8")) for u in units), np.int64, len(units)))
+        group = np.searchsorted(cuts, unit_ends)
+        if not np.array_equal(cuts[group], unit_ends):
+            return False
+        n_a, n_b = np.diff(to_a[group], prepend=0).tolist(), np.diff(to_b[group], prepend=0).tolist()
+        lo = 0
+        for unit, hi, x, y in zip(units, (group + 1).tolist(), n_a, n_b, strict=True):
+            self.units[unit] = (";".join(kinds[lo:hi]), x, y)
+            lo = hi
+        return True
+
+    def _learn(self, units: list[str]) -> None:
+        if not self.b.apart or not self.a.merger:
+            return self._learn_each(units, not self.b.apart)
+        # a unit that ends in white space is the last of its text
+        joined, others = [], []
+        for u in units:
+            (joined if len(u) <= LONG and u[0] in " \n" and not u[-1].isspace() and PLAIN.fullmatch(u) else others).append(u)
+        for lo in range(0, len(joined), JOINED):
+            some = joined[lo : lo + JOINED]
+            if not self._learn_joined(some):
+                others += some
+        if others:
+            self._learn_each(others, False)
+
+    def pairs(self, kind: str) -> list[tuple[tuple[int, int], str]]:
+        """The pairs that a kind links, each with the kind that is the pair alone."""
         if kind not in self.linked:
             if len(self.linked) > MEMORY:
                 self.linked.clear()
-            self.linked[kind] = list(expand(kind, self.a.raw, self.b.raw))
+            self.linked[kind] = [(p, f"{p[0]}|{p[1]}") for p in expand(kind, self.a.raw, self.b.raw)]
         return self.linked[kind]
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
@@ -111,25 +159,21 @@ class Aligner:
         if len(self.units) > MEMORY:
             self.units.clear()
         split = [[] if not t else UNIT.findall(" " + t) if self.b.apart else [" " + t] for t in texts]
-        new = list({u for s in split for u in s if u not in self.units})
+        new = list(set(chain.from_iterable(split)).difference(self.units))
         if new:
-            self._learn(new, not self.b.apart)
-        return [self._document(s) for s in split]
+            self._learn(new)
+        return [self._document(list(map(self.units.__getitem__, s))) for s in split]
 
-    def _document(self, split: list[str]) -> tuple:
-        found = [self.units[u] for u in split]
+    def _document(self, found: list[tuple | None]) -> tuple:
         if not found or None in found:
             return 0, 0, 0, "", {}, {}
-        said = hashlib.sha256(";".join([f[3] for f in found]).encode("ascii")).hexdigest()
-        kinds: dict[str, int] = {}
-        n_a = n_b = 0
-        for unit, n in Counter(split).items():
-            a, b, some, _ = self.units[unit]
-            n_a, n_b = n_a + n * a, n_b + n * b
-            for kind in some:
-                kinds[kind] = kinds.get(kind, 0) + n
-        held = Counter(p for kind in kinds for p in self.pairs(kind))
-        return n_a, n_b, sum(kinds.values()), said, kinds, {p: n - 1 for p, n in held.items() if n > 1}
+        said, n_a, n_b = zip(*found, strict=True)
+        whole = ";".join(said)
+        kinds = Counter(whole.split(";"))
+        # a pair is in two kinds only if one of them holds several tokens of a side
+        held = Counter(chain.from_iterable([self.pairs(k) for k in kinds if "," in k]))
+        repeats = {pair: n - (alone not in kinds) for (pair, alone), n in held.items() if n > 1 or alone in kinds}
+        return sum(n_a), sum(n_b), kinds.total(), hashlib.sha256(whole.encode("ascii")).hexdigest(), kinds, repeats
 
 
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, kinds array<struct<kind:string,n:long>>, repeats array<struct<a:int,b:int,n:long>>"
