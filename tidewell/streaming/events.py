@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -11,15 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.metrics import circuit_breaker
+from tidewell.session import shared_dir
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of its own only where none is set (local tests)."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-
-
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """Event files as a stream. A bound on the files of a trigger is the back-pressure; nothing is dropped."""
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
