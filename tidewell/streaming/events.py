@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.metrics import circuit_breaker
 from tidewell.session import shared_dir
+from tidewell.streaming.delivery import batches_written, put_batch
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -66,11 +67,13 @@ def drain(stream: DataFrame | Ordered, mode: str = "append", each: Callable[[Dat
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
+    keep = put_batch(f"{base}/out")
+
     def put(batch: DataFrame, number: int) -> None:
         if each is not None:
             each(batch, number)
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        keep(batch, number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return batches_written(spark, f"{base}/out", stream.schema, mode == "complete")
