@@ -103,6 +103,8 @@ def line_patch(old: Column, new: Column, context: int = 3) -> Column:
 def apply_patch(text: Column, search: Column, replace: Column) -> Column:
     """The text with the first block of whole lines that equals ``search`` replaced; null where there is
     none. An empty search puts the lines in front."""
-    at = F.locate("\u0001", F.replace(F.concat(F.lit("\n"), text, F.lit("\n")), F.concat(F.lit("\n"), search, F.lit("\n")), F.lit("\u0001")))
+    # between line ends, so that only whole lines are found
+    lined = lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
+    at = F.call_function("locate", lined(search), lined(text))
     kept = F.concat(F.substring(text, F.lit(1), at - 1), replace, F.substring(text, at + F.length(search), F.length(text)))
     return F.when(search == "", F.concat(replace, F.lit("\n"), text)).when(at > 0, kept)

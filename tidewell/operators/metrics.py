@@ -58,6 +58,25 @@ def tool_stats(df: DataFrame, by: str, ok: str, took: str, order: list[str]) ->
     return slim.mapInArrow(walk, f"{by} {kinds[by]}, attempts long, successes long, failures long, mean_ms long")
 
 
+def learned_patterns(df: DataFrame, by: str, ok: str, message: str, ts: str, place: str, least: int = 3, most: int = 5, low: float = 0.5) -> DataFrame:
+    """(by, attempts, success_rate, examples) of what was tried ``least`` times or more. Examples are the
+    messages of the first ``most`` failures at which, from the least-th try on, fewer than ``low`` of the
+    tries so far had succeeded. Tries so far are counted by hour first and inside the hour then, so a name
+    of very many rows is dealt over its hours."""
+    rows = df.select(by, F.col(ok).cast("int").alias("_ok"), F.col(message).alias("_said"), F.col(ts).alias("_ts"), F.col(place).alias("_place"), F.date_trunc("hour", ts).alias("_hour"))
+    hours = rows.groupBy(by, "_hour").agg(F.count("*").alias("_n"), F.sum("_ok").alias("_good"))
+    earlier = Window.partitionBy(by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = hours.select(by, "_hour", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_good")))
+    inside = Window.partitionBy(by, "_hour").orderBy("_ts", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumns({"_i": F.count("*").over(inside), "_g": F.sum("_ok").over(inside)}).join(before, [by, "_hour"])
+    tries = counted.withColumns({"_try": F.col("_i") + F.col("_n_before"), "_won": F.col("_g") + F.col("_good_before")})
+    bad = tries.filter((F.col("_ok") == 0) & (F.coalesce("_said", F.lit("")) != "") & (F.col("_try") >= least) & (F.col("_won") < low * F.col("_try")))
+    first = bad.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_try"))).filter(F.col("_k") <= most)
+    examples = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_k", "_said"))).alias("_e")).select(by, F.col("_e._said").alias("examples"))
+    totals = hours.groupBy(by).agg(F.sum("_n").alias("attempts"), (F.sum("_good") / F.sum("_n")).alias("success_rate")).filter(F.col("attempts") >= least)
+    return totals.join(examples, by, "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
+
+
 def failure_streaks(df: DataFrame, by: str, failed: str, order: list[str]) -> DataFrame:
     """df with ``streak``: failures in a row up to and including each row; a success resets it."""
     w = Window.partitionBy(by).orderBy(*order)

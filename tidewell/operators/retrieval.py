@@ -217,8 +217,7 @@ def capped_paragraphs(docs: DataFrame, most: int = 800) -> DataFrame:
 def sentences(docs: DataFrame) -> DataFrame:
     """(id, position, sentence): parts that end in . ! or ? before white space, or at a blank line;
     parts with fewer than three bytes besides signs and spaces are left out."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\n\n", "\u0001"), r"([.!?])[ \n]", "$1\u0001")
-    parts = F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s))
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\n|(?<=[.!?])[ \n]"), lambda s: F.trim(s))
     kept = F.filter(parts, lambda s: F.octet_length(F.regexp_replace(s, r"[.!? \n]", "")) >= 3)
     return docs.select("id", F.posexplode(kept).alias("position", "sentence"))
 

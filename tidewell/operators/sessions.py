@@ -54,22 +54,23 @@ def synced(old: DataFrame, new: DataFrame, by: str, order: str, value: str) -> D
     return write.union(gone)
 
 
-def widened_tail(messages: DataFrame, starts: DataFrame, by: str, order: str, most: int = 20) -> DataFrame:
+def widened_tail(messages: DataFrame, starts: DataFrame, by: str, order: str) -> DataFrame:
     """starts (by, start) moved back until no kept row (by, order, uses, answers) answers a tool whose use
-    comes before it. Each round joins answers with uses by their id; it ends when nothing moves."""
+    comes before it. Answers meet their uses by id; chains of any length are followed in one pass."""
+    from pyspark.sql import Window
+
     pairs = messages.filter("answers <> ''").select(by, F.col(order).alias("_at"), F.col("answers").alias("_tool")).join(
         messages.filter("uses <> ''").select(by, F.col(order).alias("_use"), F.col("uses").alias("_tool")), [by, "_tool"]
     )
     pairs = pairs.filter("_use < _at").select(by, "_at", "_use").distinct()
-    # a chain of pairs is followed as often as it has links; every round is one aggregation
-    now = starts
-    for _ in range(most):
-        moved = now.join(pairs, by, "left").groupBy(by, "start").agg(F.min(F.when(F.col("_at") >= F.col("start"), F.col("_use"))).alias("_need"))
-        nxt = moved.select(by, F.least("start", F.coalesce("_need", "start")).alias("start")).checkpoint()
-        if nxt.join(now, [by, "start"], "left_anti").isEmpty():
-            return nxt
-        now = nxt
-    raise RuntimeError(f"tails did not settle in {most} rounds")
+    # a pair covers the turns after its use up to its answer; pairs that touch make an island, and a tail
+    # that starts on one starts at its left end instead, however many links lie between
+    w = Window.partitionBy(by).orderBy("_use", "_at")
+    reach = F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pairs.withColumn("_new", (reach.isNull() | (F.col("_use") > reach)).cast("int"))
+    islands = opened.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "_island").agg(F.min("_use").alias("_left"), F.max("_at").alias("_right"))
+    held = starts.join(islands.select(F.col(by).alias("_by"), "_left", "_right"), (F.col(by) == F.col("_by")) & (F.col("start") > F.col("_left")) & (F.col("start") <= F.col("_right")), "left")
+    return held.select(by, F.coalesce("_left", "start").alias("start"))
 
 
 def transcript_hash(messages: DataFrame, by: str, order: str, fields: list[str]) -> DataFrame:
@@ -101,16 +102,23 @@ def prompt_text(sections: DataFrame, by: str, variables: dict[str, str]) -> Data
     return raw.select(by, filled.alias("prompt"), used.alias("used"))
 
 
-def continuation(rows: DataFrame, by: str, order: str, total: str, budget: int, small: int, complete: float = 0.9) -> DataFrame:
+def continuation(rows: DataFrame, by: str, order: str, total: str, budget: int, small: int, complete: float = 0.9, limit: int = 0) -> DataFrame:
     """rows with ``go``: whether a session goes on after a check of its tokens so far: not at the share
-    ``complete`` of the budget, nor after two checks that both added fewer than ``small`` tokens."""
+    ``complete`` of the budget, nor after two checks that both added fewer than ``small`` tokens, nor after
+    ``limit`` continuations (0: any number). A session that has stopped stays so; until then every check
+    continued, so the check before is the row before."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(by).orderBy(order)
     delta = F.col(total) - F.coalesce(F.lag(total).over(w), F.lit(0))
     steps = rows.withColumns({"_delta": delta, "_nth": F.row_number().over(w)})
     tired = (F.col("_nth") > 2) & (F.col("_delta") < small) & (F.lag("_delta").over(w) < small)
-    return steps.withColumn("go", ~tired & (F.col(total) < complete * budget)).drop("_delta", "_nth")
+    goes = ~tired & (F.col(total) < complete * budget)
+    if limit > 0:
+        goes = goes & (F.col("_nth") <= limit)
+    checked = steps.withColumn("_goes", F.coalesce(goes, F.lit(False)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return checked.withColumn("go", F.min("_goes").over(so_far)).drop("_delta", "_nth", "_goes")
 
 
 def backoff(attempt: Column, initial: int, factor: float, most: int) -> Column:

@@ -81,10 +81,15 @@ def a13(spark, d):
     return mt.tool_stats(_events(spark, d).withColumn("ok", F.col("event_type") != "error"), "user_id", "ok", "value", ["ts", "event_id"])
 
 
-@register("a14_learned_patterns", """SELECT user_id, count(*) AS attempts, round(avg((event_type <> 'error')::INT), 6) AS success_rate FROM events GROUP BY user_id HAVING count(*) >= 3 AND avg((event_type <> 'error')::INT) < 0.8""")
+@register("a14_learned_patterns", """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER w AS n, sum((event_type <> 'error')::INT) OVER w AS good FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+x AS (SELECT user_id, event_id, n, row_number() OVER (PARTITION BY user_id ORDER BY n) AS k FROM r WHERE event_type = 'error' AND n >= 3 AND good < 0.5 * n)
+SELECT user_id, count(*) AS attempts, round(avg((event_type <> 'error')::INT), 6) AS success_rate,
+  (SELECT coalesce(string_agg('event ' || event_id, ';' ORDER BY n), '') FROM x WHERE x.user_id = r.user_id AND k <= 5) AS examples
+FROM r GROUP BY user_id HAVING count(*) >= 3""")
 def a14(spark, d):
-    rate = F.avg((F.col("event_type") != "error").cast("int"))
-    return _events(spark, d).groupBy("user_id").agg(F.count("*").alias("attempts"), F.round(rate, 6).alias("success_rate"), rate.alias("r")).filter("attempts >= 3 AND r < 0.8").drop("r")
+    e = _events(spark, d).withColumns({"ok": F.col("event_type") != "error", "message": F.concat(F.lit("event "), F.col("event_id").cast("string"))})
+    p = mt.learned_patterns(e, "user_id", "ok", "message", "ts", "event_id")
+    return p.select("user_id", "attempts", F.round("success_rate", 6).alias("success_rate"), F.array_join("examples", ";").alias("examples"))
 
 
 @register("a15_error_patterns", "SELECT event_type, count(*) AS frequency, round(count(*) / (count(*) + 1.0), 6) AS confidence, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY event_type HAVING count(*) >= 2")

@@ -40,9 +40,9 @@ def p2(spark, d):
     return _entries(spark, d).filter(en.matches(F.lit(NOW).cast("timestamp"), content="TION", keywords=["Stream", "ing"])).select("entry_id")
 
 
-@register("p3_tool_filter", f"WITH {ENTRIES} SELECT entry_id FROM entries WHERE (expires IS NULL OR expires >= TIMESTAMP '{NOW}') AND (tool IS NULL OR tool = 'tool2') AND session = 'src3'")
+@register("p3_tool_filter", f"WITH {ENTRIES} SELECT entry_id FROM entries WHERE (expires IS NULL OR expires >= TIMESTAMP '{NOW}') AND (tool IS NULL OR tool = 'tool2')")
 def p3(spark, d):
-    return _entries(spark, d).filter(en.matches(F.lit(NOW).cast("timestamp"), session="src3", tool="tool2")).select("entry_id")
+    return _entries(spark, d).filter(en.matches(F.lit(NOW).cast("timestamp"), tool="tool2")).select("entry_id")
 
 
 @register("e6_sweep", f"WITH {ENTRIES} SELECT entry_id FROM entries WHERE coalesce(expires, created + INTERVAL 7 DAY) >= TIMESTAMP '{NOW}'")

@@ -208,8 +208,9 @@ def e11(spark, d):
 
 @register("e13_budget", """WITH t AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text IS NOT NULL),
 g AS (SELECT *, total - coalesce(lag(total) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS delta FROM t),
-h AS (SELECT *, lag(delta) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM g)
-SELECT conv_id, turn, NOT coalesce(n > 2 AND delta < 200 AND before < 200, false) AND total < 0.9 * 3000 AS go FROM h""")
+h AS (SELECT *, lag(delta) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM g),
+c AS (SELECT conv_id, turn, NOT coalesce(n > 2 AND delta < 200 AND before < 200, false) AND total < 0.9 * 3000 AS fine FROM h)
+SELECT conv_id, turn, (SELECT count(*) FROM c p WHERE p.conv_id = c.conv_id AND p.turn <= c.turn AND NOT p.fine) = 0 AS go FROM c""")
 def e13(spark, d):
     t = table(spark, d, "conversations").filter("text is not null")
     total = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -230,14 +231,24 @@ def a12(spark, d):
     return n.select("name", F.format_string("# TYPE %s counter\n%s %d", "name", "name", "n").alias("text")).orderBy("name")
 
 
-@register("a12_snapshot", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS average FROM events GROUP BY event_type")
+BOUNDS = mt.TIMER_BOUNDS
+RANK = "CASE " + " ".join(f"WHEN value <= {b} THEN {i}" for i, b in enumerate(BOUNDS)) + f" ELSE {len(BOUNDS)} END"
+
+
+@register("a12_snapshot", f"""WITH h AS (SELECT event_type, {RANK} AS bucket, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS running, sum(n) OVER (PARTITION BY event_type) AS total FROM h)
+SELECT event_type, any_value(total)::BIGINT AS n, (SELECT round(avg(value), 6) FROM events e WHERE e.event_type = r.event_type) AS average,
+([{', '.join(f'{b}.0' for b in BOUNDS)}]::DOUBLE[])[least(min(bucket) FILTER (running >= greatest(1, floor(total * 50 / 100))) + 1, {len(BOUNDS)})] AS p50,
+([{', '.join(f'{b}.0' for b in BOUNDS)}]::DOUBLE[])[least(min(bucket) FILTER (running >= greatest(1, floor(total * 95 / 100))) + 1, {len(BOUNDS)})] AS p95,
+([{', '.join(f'{b}.0' for b in BOUNDS)}]::DOUBLE[])[least(min(bucket) FILTER (running >= greatest(1, floor(total * 99 / 100))) + 1, {len(BOUNDS)})] AS p99
+FROM r GROUP BY event_type""")
 def a12_snapshot(spark, d):
     e = table(spark, d, "events")
     sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("average"))
     hist = mt.histogram(e, "event_type", "value")
     for p in (50, 95, 99):
         sums = sums.join(mt.histogram_percentile(hist, "event_type", p).withColumnRenamed("bound", f"p{p}"), "event_type")
-    return sums.select("event_type", "n", "average")
+    return sums.select("event_type", "n", "average", "p50", "p95", "p99")
 
 
 @register("t6_run_history", "SELECT o_orderkey AS run FROM orders WHERE o_custkey % 2 = 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
