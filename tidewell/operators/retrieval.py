@@ -215,10 +215,12 @@ def capped_paragraphs(docs: DataFrame, most: int = 800) -> DataFrame:
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(id, position, sentence): parts that end in . ! or ? before white space, or at a blank line;
-    parts with fewer than three bytes besides signs and spaces are left out."""
-    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\n|(?<=[.!?])[ \n]"), lambda s: F.trim(s))
-    kept = F.filter(parts, lambda s: F.octet_length(F.regexp_replace(s, r"[.!? \n]", "")) >= 3)
+    """(id, position, sentence): parts that end in . ! or ? before a blank or a line end, or at a blank
+    line, without white space around; parts with fewer than three bytes besides punctuation and white
+    space are left out. Null texts have none."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    parts = F.transform(F.split(text, r"(?<=[.!?]) |(?<=[.!?])(?=\n)|\n\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    kept = F.filter(parts, lambda s: F.octet_length(F.regexp_replace(s, r"(?U)[\p{P}\s]", "")) >= 3)
     return docs.select("id", F.posexplode(kept).alias("position", "sentence"))
 
 

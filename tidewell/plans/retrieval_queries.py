@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
 from tidewell.functions import vectors as vx
+from tidewell.operators import chunks as ch
 from tidewell.operators import retrieval as rt
 from tidewell.plans.catalog import register
 from tidewell.session import table
@@ -196,11 +197,46 @@ def c1_capped(spark, d):
     return rt.capped_paragraphs(docs)
 
 
-@register("c2_sentences")
+# the ends of sentences marked by a sign that no text has, in the order in which they are looked for
+SENTENCES = r"""m AS (SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '([.!?]) ', '\1' || chr(1), 'g'), '([.!?])\n', '\1' || chr(1) || chr(10), 'g'), '\n\n', chr(1), 'g') AS t FROM documents),
+k AS (SELECT id, list_filter(list_transform(string_split(t, chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: octet_length(encode(regexp_replace(s, '[\pP\s]', '', 'g'))) >= 3) AS ss FROM m),
+s AS (SELECT id, generate_subscripts(ss, 1) - 1 AS position, unnest(ss) AS sentence FROM k)"""
+
+
+@register("c2_sentences", f"WITH {SENTENCES} SELECT id, position::INT AS position, sentence FROM s")
 def c2(spark, d):
     return rt.sentences(_docs(spark, d))
 
 
+def _by_lengths(rows):
+    """Embeddings that SQL can follow: how many words of each length, modulo eight."""
+    words = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.size(F.filter(words, lambda w: F.length(w) % 8 == i)).cast("float"))
+    return rows.withColumn("embedding", counts)
+
+
+@register("c3_grouped", f"""WITH RECURSIVE {SENTENCES},
+w AS (SELECT id, position, sentence, octet_length(encode(sentence)) AS n, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda x: x <> '') AS ws FROM s),
+e AS (SELECT id, position, sentence, n, [{", ".join(f"len(list_filter(ws, lambda x: length(x) % 8 = {i}))::DOUBLE" for i in range(8))}] AS v FROM w),
+g AS (SELECT id, position, n, CASE WHEN list_inner_product(v, v) = 0 OR p IS NULL OR list_inner_product(p, p) = 0 THEN 0 ELSE list_cosine_similarity(v, p) END AS near
+      FROM (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY position) AS p FROM e)),
+f AS (SELECT id, position, n AS size, 0 AS nth FROM g WHERE position = 0
+      UNION ALL SELECT g.id, g.position, CASE WHEN g.near < 0.6 AND f.size >= 60 OR f.size + g.n > 300 THEN g.n ELSE f.size + g.n + 1 END, f.nth + CASE WHEN g.near < 0.6 AND f.size >= 60 OR f.size + g.n > 300 THEN 1 ELSE 0 END
+      FROM f JOIN g ON g.id = f.id AND g.position = f.position + 1),
+c AS (SELECT f.id, nth, string_agg(sentence, ' ' ORDER BY f.position) AS chunk FROM f JOIN e ON e.id = f.id AND e.position = f.position GROUP BY f.id, nth),
+t AS (SELECT id, count(*) AS total, (SELECT count(*) FROM s WHERE s.id = c.id) AS said FROM c GROUP BY id),
+o AS (SELECT c.id, nth, total, list_filter(regexp_split_to_array(chunk, '\\s+'), lambda x: x <> '') AS ws FROM c JOIN t ON t.id = c.id WHERE octet_length(encode(chunk)) > 300 AND said > 1),
+r AS (SELECT id, nth, total, ws, 1 AS i, octet_length(encode(ws[1])) AS size, 0 AS piece FROM o
+      UNION ALL SELECT id, nth, total, ws, i + 1, CASE WHEN size + octet_length(encode(ws[i + 1])) + 1 > 300 THEN 0 ELSE size + 1 END + octet_length(encode(ws[i + 1])), piece + CASE WHEN size + octet_length(encode(ws[i + 1])) + 1 > 300 THEN 1 ELSE 0 END
+      FROM r WHERE i < len(ws)),
+z AS (SELECT id, nth, total, piece, string_agg(ws[i], ' ' ORDER BY i) AS chunk FROM r GROUP BY id, nth, total, piece)
+SELECT c.id, nth::INT AS position, md5(chunk) AS digest FROM c JOIN t ON t.id = c.id WHERE octet_length(encode(chunk)) <= 300 OR said = 1
+UNION ALL SELECT id, (total + row_number() OVER (PARTITION BY id ORDER BY nth, piece) - 1)::INT, md5(chunk) FROM z""")
+def c3_grouped(spark, d):
+    """Chunks by meaning; oversized ones in pieces."""
+    return ch.semantic_chunks(_docs(spark, d).select("id", "text"), _by_lengths, 60, 300, 0.6).select("id", "position", F.md5("chunk").alias("digest"))
+
+
 @register("c3_semantic_chunks")
 def c3(spark, d):
     s = rt.sentences(_docs(spark, d))
