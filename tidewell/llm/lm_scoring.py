@@ -11,8 +11,9 @@ of that entry by its count in the corpus: these counts stay in a Spark table tha
 documents' words. As neighbours such words stand for their first and last letters. The sum of the
 conditional log-probabilities of all words of a document is its pseudo-log-likelihood.
 
-The network is trained in numpy on every partition at once, and the partitions' weights are averaged by
-Spark in proportion to the words that they saw; this is repeated ROUNDS times. Each round takes its
+The network is trained in numpy by as many trainers at once as the corpus has words for (TRAINER_WORDS each),
+however it is cut into partitions, and their weights are averaged by Spark in proportion to the words that
+they saw; this is repeated ROUNDS times. Each round takes its
 share of the words of every document, and all rounds together each word once.
 """
 
@@ -36,6 +37,9 @@ from tidewell.llm.common import settle, shuffle_partitions
 LEAST_VOCABULARY, MOST_VOCABULARY, SHAPES = 8192, 64_000, 1024
 WINDOW, EMBED, HIDDEN, PARTS = 2, 12, 24, 48
 ROUNDS, BATCH, RATE, SEED = 2, 4096, 6.0, 3
+#: Words that a trainer has at least, so that averaged weights have all seen enough: partitions with fewer
+#: are read by one trainer one after another.
+TRAINER_WORDS = 3_000_000
 #: Smaller corpora are learnt in smaller steps: so many of them in all, in batches of LEAST_BATCH words or more.
 STEPS, LEAST_BATCH, LEAST_RATE = 1000, 128, 0.5
 #: Words of the parts' start that the words seen in a round are added to: a share of all, at most so many;
@@ -77,6 +81,7 @@ class Words:
         all_ = np.append(counts, rare).astype(float)
         self.share = (all_ / max(1.0, all_.sum())).astype(np.float32)
         self.rare = max(1.0, float(rare))
+        self.trainers = max(1, int(all_.sum()) // TRAINER_WORDS)
         self.batch = int(min(BATCH, max(LEAST_BATCH, all_.sum() // STEPS)))
         self.start = float(min(MOST_START, max(500, all_.sum() // START_SHARE)))
         self.rate = max(LEAST_RATE, RATE * self.batch / BATCH)
@@ -240,13 +245,14 @@ def _average(group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, book: Words, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Local training on all partitions and averaging, ``rounds`` times."""
+    """Local training by all trainers and averaging, ``rounds`` times. Partitions are joined without moving
+    their rows, so no trainer is left with too few words."""
     spark = docs.sparkSession
     p, schema = initial(book), "name string, block int, seen long, weights array<float>"
     words = spark.sparkContext.broadcast(book)
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(p)
-        local = docs.select("text").mapInArrow(lambda b, s=start, t=turn: _train(b, words, s, t, rounds), schema)
+        local = docs.select("text").coalesce(book.trainers).mapInArrow(lambda b, s=start, t=turn: _train(b, words, s, t, rounds), schema)
         # each stretch of the weights is averaged by one task; what is collected is one set of weights
         stretches = sum(-(-v.size // ROW) for v in p.values())
         parts = local.repartition(min(stretches, shuffle_partitions(spark)), "name", "block").mapInPandas(_average, schema).collect()
