@@ -2,7 +2,8 @@
 
 Sentences of a document follow each other in one task, in order; what is carried from one to the next is the
 chunk under way and the last embedding, so a document of any length needs no more memory than a chunk.
-Numbers that depend on a document's end (pieces of oversized chunks come after all others) are joined on.
+Numbers that depend on a document's end (pieces of oversized chunks come after all others) are counted by
+windows over a document's chunks, which Spark spills.
 """
 
 from __future__ import annotations
@@ -64,14 +65,14 @@ def grouped(rows: DataFrame, least: int = 100, most: int = 2000, similarity: flo
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     ordered = rows.select("id", "position", "sentence", "embedding").repartition(parts, "id").sortWithinPartitions("id", "position").select("id", "sentence", "embedding")
     chunks = ordered.mapInArrow(lambda b: _grouped(b, least, most, similarity, arrow), f"id {kind}, nth int, chunk string, n int")
-    totals = chunks.groupBy("id").agg(F.count("*").cast("int").alias("total"), F.sum("n").alias("sentences"))
-    known = chunks.join(totals, "id")
-    long = (F.octet_length("chunk") > most) & (F.col("sentences") > 1)
-    whole = known.filter(~long).select("id", F.col("nth").alias("position"), "chunk")
-    cut = F.udf(lambda text: word_cut(text, most), "array<string>")
-    pieces = known.filter(long).select("id", "nth", "total", F.posexplode(cut("chunk")).alias("at", "piece"))
-    after = F.row_number().over(Window.partitionBy("id").orderBy("nth", "at")) - 1
-    return whole.union(pieces.select("id", (F.col("total") + after).cast("int"), "piece"))
+    every = Window.partitionBy("id")
+    known = chunks.withColumns({"total": F.count("*").over(every).cast("int"), "sentences": F.sum("n").over(every)})
+    known = known.withColumn("long", (F.octet_length("chunk") > most) & (F.col("sentences") > 1))
+    cut = F.udf(lambda text: None if text is None else word_cut(text, most), "array<string>")
+    pieces = known.withColumn("pieces", F.coalesce(cut(F.when(F.col("long"), F.col("chunk"))), F.array("chunk")))
+    rows = pieces.select("id", "nth", "total", "long", F.posexplode("pieces").alias("at", "chunk"))
+    before = F.sum(F.col("long").cast("int")).over(every.orderBy("nth", "at").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("id", F.when(F.col("long"), F.col("total") + before - 1).otherwise(F.col("nth")).cast("int").alias("position"), "chunk")
 
 
 def semantic_chunks(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], least: int = 100, most: int = 2000, similarity: float = 0.3) -> DataFrame:
