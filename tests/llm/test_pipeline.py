@@ -45,3 +45,16 @@ def test_pipeline_decides_as_its_operators(spark):
     assert sorted(r.doc_id for r in once.collect()) == [*range(20)]
     clean = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, once, "").collect()}
     assert clean[5].endswith("[secret]") and clean[4] == rows[4][1]
+
+
+def test_columns_of_the_input_come_along(spark):
+    from tests.llm.conftest import sentence
+
+    names = ["found", "score", "lang_pred", "domain", "tokens", "leaf_budget", "copies", "component_id", "_nth", "_epoch", "_key", "_cell", "_h"]
+    rows = [(i, sentence(80, i) + " token=abcdef123456", "en", f"src{i % 3}", 1, *[f"{n}:{i}" for n in names]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.settle(stage(spark, docs, ""))
+        got = docs.collect()
+        assert got and all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names), name
+    assert corpus_pipeline.packed(spark, docs, "").count() == docs.count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,15 @@ def settle_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def set_aside(docs: DataFrame, *reads: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column that is not read under a name that no operator uses, and a function that gives
+    the names back: whatever the input calls its other columns, they clash with none of an operator's own."""
+    low = {r.lower() for r in reads} - {c.lower() for c in docs.columns if c in reads}
+    named = {f"_aside{i}": c for i, c in enumerate(docs.columns) if c not in reads and c.lower() not in low}
+    inner = {c: n for n, c in named.items()}
+    return docs.toDF(*[inner.get(c, c) for c in docs.columns]), lambda out: out.toDF(*[named.get(c, c) for c in out.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

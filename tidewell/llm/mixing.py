@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle
+from tidewell.llm.common import set_aside, settle
 
 #: Production parameters. Sources fall into domains by their number modulo 3; weights are relative integers.
 DOMAINS = {"web": 5, "books": 3, "forums": 2}
@@ -74,9 +74,11 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
     Null languages and sources are the leaves ``und`` and ``none``; null and wordless texts have no
     tokens, cost nothing and come along in every epoch that reaches them. Repeated rows are separate
     documents; two rows with the same id are taken in the order of their texts' hashes. A leaf
-    without tokens gets no budget and nothing is taken from it. No rows in, no rows out.
+    without tokens gets no budget and nothing is taken from it. No rows in, no rows out. Columns of the
+    input named as the four are replaced, others come along whatever their names.
     """
-    names = [c for c in docs.columns if c not in ("domain", "tokens", "leaf_budget", "copies")]
+    docs, back = set_aside(docs.drop("domain", "tokens", "leaf_budget", "copies"), "doc_id", "text", "lang", "source")
+    names = docs.columns
     lang, source = F.coalesce("lang", F.lit("und")), F.coalesce("source", F.lit("none"))
     base = docs.select(*names).withColumns({
         "tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
     ranked = read.withColumn("_inside", inside)
     ranked = ranked.join(cells, (F.col("_d") == F.col("_cd")) & (F.col("_l") == F.col("_cl")) & (F.col("_s") == F.col("_cs")) & (F.col("_cell") == F.col("_cc")))
     copies = F.col("_epochs") + (F.col("_start") + F.col("_inside") <= F.col("_rest")).cast("long")
-    return ranked.withColumn("copies", copies).filter("copies > 0").select(*names, "domain", "tokens", "leaf_budget", "copies")
+    return back(ranked.withColumn("copies", copies).filter("copies > 0").select(*names, "domain", "tokens", "leaf_budget", "copies"))
 
 
 def op8_hierarchical_mix(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle
+from tidewell.llm.common import set_aside, settle
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -292,10 +292,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length of 1 to capacity, ...) with sequence_id and offset.
 
     Rows that repeat (doc_id, piece) are pieces of their own. No pieces, no rows. Columns of the input
-    named sequence_id or offset are replaced.
+    named sequence_id or offset are replaced, others come along whatever their names.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces, back = set_aside(pieces.drop("sequence_id", "offset"), "doc_id", "piece", "length", "ids_crc32")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(plan(hist, capacity), "_length long, _from long, _to long, _m long, _seq long, _offset long")
     cells = max(LEAST_CELLS, sum(hist.values()) // CELL_PIECES)
@@ -311,11 +311,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # the plan has rows for lengths and bin shapes, not for pieces: its size follows the capacity alone
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
-    return placed.select(
+    out = placed.select(
         *pieces.columns,
         (F.col("_seq") + F.floor(nth / F.col("_m"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + (nth % F.col("_m")) * F.col("length")).cast("long").alias("offset"),
     )
+    return back(out)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

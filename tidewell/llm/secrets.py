@@ -15,6 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import set_aside
+
 try:
     from re import _parser as sre
 except ImportError:  # before Python 3.11
@@ -89,23 +91,40 @@ def mandatory(pattern: str) -> list[frozenset[str]] | None:
     return max(queries, key=lambda q: min(map(len, q)), default=None)
 
 
-def _spans(text: Column, pattern: str, least: int, group: int) -> Column:
-    """array<struct<at, to>> of the matches that are long enough, in code points. The pieces between the
-    matches and the matches themselves give the offsets."""
-    parts = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, lambda m: F.length(m))
-    count = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else sizes
-    zipped = F.transform(F.arrays_zip(F.slice(parts, 1, F.size(sizes)).alias("gap"), sizes.alias("size"), count.alias("n")), lambda x: x)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,to:int>>").alias("out"))
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """Each value of an array joined with all before it, ``join`` being associative. Step k joins every value
+    with the one 2^k places before, so n values take log n steps over one array each."""
+
+    def scan_(held: Column) -> Column:
+        def step(acc: Column, back: Column) -> Column:
+            return F.transform(acc, lambda x, i: F.when(i >= back, join(x, F.get(acc, i - back))).otherwise(x))
+
+        # as many steps as the last index has binary digits
+        powers = F.transform(F.sequence(F.lit(1), F.length(F.bin(F.size(held) - 1))), lambda k: F.call_function("shiftleft", F.lit(1), k - 1))
+        return F.when(F.size(held) > 1, F.aggregate(powers, held, step)).otherwise(held)
+
+    return _bound(values, scan_)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        here = F.array(F.struct(begin.alias("at"), end.alias("to")))
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<at:int,to:int>>"))
+def _spans(text: Column, pattern: str, least: int, group: int, size=F.length) -> Column:
+    """array<struct<at, to>> of the matches that are long enough, in the units of ``size``. The pieces between
+    the matches and the matches themselves, added up, give the offsets."""
+    sizes = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), size)
+    counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), size)
+    parts = F.struct(gaps.alias("gaps"), sizes(0).alias("sizes"), counted.alias("counts"))
+
+    def place(p: Column) -> Column:
+        ends = running(F.transform(p["sizes"], lambda s, i: s + F.get(p["gaps"], i)), lambda x, y: x + y)
+        return _bound(ends, lambda e: F.transform(p["sizes"], lambda s, i: F.struct((F.get(e, i) - s).alias("at"), F.get(e, i).alias("to"), F.get(p["counts"], i).alias("n"))))
+
+    long_enough = F.filter(_bound(parts, place), lambda m: m["n"] >= least)
+    return F.transform(long_enough, lambda m: F.struct(m["at"].alias("at"), m["to"].alias("to")))
 
 
 def _literal(kind: str, spans: Column, order: int) -> Column:
@@ -129,14 +148,17 @@ def candidates(rows: DataFrame, rules: dict[str, tuple[str, int, int]]) -> DataF
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES, size=F.length) -> DataFrame:
     """docs with found array<struct<at, kind, said, to>>, sorted by start, then by the rules' order.
 
-    A null text is empty: nothing is found. Rows are keyed by their id and text, so repeated rows share
-    candidates and each keeps its own result; null ids are keys like others. Texts of any length are
-    matched whole. No rows in, no rows out. A column ``found`` of the input is replaced.
+    Offsets are in code points, or in the units that ``size`` counts (F.octet_length: bytes). A null text is
+    empty: nothing is found. Rows are keyed by their id and text, so repeated rows share candidates and each
+    keeps its own result; null ids are keys like others. Texts of any length are matched whole, in time that
+    grows with n log n of their matches. No rows in, no rows out. A column ``found`` of the input is replaced,
+    others come along whatever their names.
     """
-    names = [c for c in docs.columns if c != "found"]
+    docs, back = set_aside(docs.drop("found"), "doc_id", "text")
+    names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*names, F.xxhash64("doc_id", text).alias("_key"))
     hits = candidates(keyed.select(F.col("_key").alias("key"), text.alias("text")), rules)
@@ -146,12 +168,12 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES) -> Dat
     nothing = F.array().cast("array<struct<at:int,to:int>>")
     parts = []
     for order, (kind, (pattern, least, group)) in enumerate(rules.items()):
-        spans = _spans(text, pattern, least, group)
+        spans = _spans(text, pattern, least, group, size)
         # only texts with a match are cut up
         may = text.rlike(pattern) if mandatory(pattern) is None else F.array_contains("_kinds", kind)
         spans = F.when(may, spans).otherwise(nothing)
         parts.append(_literal(kind, spans, order))
-    return joined.withColumn("found", F.array_sort(F.concat(*parts))).select(*names, "found")
+    return back(joined.withColumn("found", F.array_sort(F.concat(*parts))).select(*names, "found"))
 
 
 def kinds_said(found: Column, kinds: dict[str, int] | None = None) -> Column:
@@ -160,21 +182,30 @@ def kinds_said(found: Column, kinds: dict[str, int] | None = None) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every found span replaced by ``mask`` (overlapping spans as one); null texts stay null."""
-    names = docs.columns
-    # drop spans that an earlier one covers, then keep what lies between
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["at"] >= acc["at"]
-        said = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["at"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], x["to"]).alias("at"), F.when(fresh, said).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = scan(docs).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in names:
+    """docs with every found span replaced by ``mask`` (overlapping spans as one); null texts stay null. All
+    columns of the input come along, ``n_chars`` with the new length, and texts may hold any number of spans."""
+    own, back = set_aside(docs, "doc_id", "text", "n_chars")
+    raw = F.col("text").cast("binary")
+
+    def clean(found: Column) -> Column:
+        # a span that begins before an earlier one ends is covered or joined: what lies between the others stays
+        reach = running(F.transform(found, lambda x: x["to"]), F.greatest)
+
+        def between(r: Column) -> Column:
+            since = lambda i: F.coalesce(F.get(r, i - 1), F.lit(0))
+            gaps = F.transform(found, lambda x, i: F.struct(since(i).alias("at"), (x["at"] - since(i)).alias("n")))
+            last = F.struct(F.element_at(r, -1).alias("at"), F.octet_length("text").alias("n"))
+            kept = F.concat(F.filter(gaps, lambda g: g["n"] >= 0), F.array(last))
+            # the bytes are bound: each cast would copy the whole text for one piece
+            return _bound(raw, lambda b: F.array_join(F.transform(kept, lambda g: F.substring(b, g["at"] + 1, g["n"]).cast("string")), mask))
+
+        return _bound(reach, between)
+
+    # bytes can be cut at an offset without a walk from the start of the text
+    out = scan(own, size=F.octet_length).withColumn("text", F.when(F.size("found") > 0, clean(F.col("found"))).otherwise(F.col("text")))
+    if "n_chars" in own.columns:
         out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return back(out.select(*own.columns))
 
 
 def op7_trigram_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import utf8_bytes
+from tidewell.llm.common import set_aside, utf8_bytes
 
 RING = 1 << 16
 
@@ -62,10 +62,10 @@ def shard_rows(docs: DataFrame, key: str, n_shards: int, vnodes: int = 128, slac
 
     Null keys hash like any other value. Rows that repeat a key share a cell and get slots of their
     own; which of two identical rows gets which slot is arbitrary. An empty input gives no rows.
-    Clashing columns ``shard`` and ``slot`` of the input are replaced.
+    Columns ``shard`` and ``slot`` of the input are replaced, others come along whatever their names.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot")
+    docs, back = set_aside(docs.drop("shard", "slot"), key)
     h = F.xxhash64(F.lit(seed), F.col(key))
     placed = docs.withColumns({"_h": h, "_cell": F.pmod(h, F.lit(RING)).cast("int")})
     counts = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
@@ -73,12 +73,13 @@ def shard_rows(docs: DataFrame, key: str, n_shards: int, vnodes: int = 128, slac
     plan = spark.createDataFrame(pieces, "_piece_cell int, _from long, _to long, shard int, _slot long")
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", key)) - F.lit(1)
     # at most RING pieces plus one for each shard boundary: a bound that does not depend on the input
-    return (
+    out = (
         placed.withColumn("_rank", rank)
         .join(F.broadcast(plan), (F.col("_cell") == F.col("_piece_cell")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
         .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
         .drop("_h", "_cell", "_piece_cell", "_from", "_to", "_slot", "_rank")
     )
+    return back(out)
 
 
 def op3_consistent_hash_shards(spark, sf_dir: str) -> DataFrame:
