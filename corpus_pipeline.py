@@ -8,7 +8,8 @@ packing       packs the token pieces of what is left
 
 Every stage reads all that its predecessor kept; all but the last return the columns of documents. No stage
 fails on nulls in any column, empty or very long texts, repeated rows or empty tables; extra columns of the
-input come along, as the operators name their own columns apart. What each does with such rows is said below.
+input come along whatever their names, set aside while an operator is at work. What each does with such rows is
+said below.
 """
 
 from __future__ import annotations
@@ -17,19 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import langid, mixing, ngram_join, packing, secrets
-from tidewell.llm.common import settle
+from tidewell.llm.common import set_aside, settle
+
+#: What the operators read; every other column is set aside.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter. Null, empty and letterless texts go; repeated rows stay, each by itself. Where
     no row can be learnt from, every document is ``und`` and goes."""
-    return langid.keep_identified(docs)
+    own, back = set_aside(docs, *READ)
+    return back(langid.keep_identified(own))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts, the one of the smallest id. Null, empty and wordless texts
     are groups of their own, and rows with a null id stay; of rows that repeat an id one stays."""
-    return ngram_join.keep_one(docs)
+    own, back = set_aside(docs, *READ)
+    return back(ngram_join.keep_one(own))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +46,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that their leaf's budget pays for, once for each epoch that reads them. Null languages and
     sources are leaves; texts without words cost nothing and come along with their leaf."""
-    chosen = mixing.mix(docs)
-    return chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    own, back = set_aside(docs, *READ)
+    chosen = mixing.mix(own)
+    return back(chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*own.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
