@@ -163,11 +163,22 @@ def test_caps_find_the_links_at_any_size():
             rotation, books = cap_filters.codebooks(64, plan.blocks, plan.size, cap_filters.SEED + table)
             met = [set(zip(*(v.tolist() for v in cap_filters.decode(x @ rotation, books, plan.threshold)))) for x in sides]
             found[[row for row, _ in met[0] & met[1]]] = True
-        assert found.mean() >= 0.93
+        assert found.mean() >= 0.95
+
+
+def test_caps_against_all_pairs_at_three_sizes(spark):
+    """Pairs at just the cosine among unrelated vectors, in tables of three sizes: no link is wrong, few are missing."""
+    for pairs, others in ((20, 60), (100, 1800), (300, 11_400)):
+        x, y = _pairs(pairs, 64)
+        v = np.concatenate([x, y, np.random.default_rng(pairs).standard_normal((others, 64))])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        want = (v @ v.T >= 0.9).sum(1) - 1
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in cap_filters.near_duplicates(df).collect()}
+        assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.93 * want.sum() > 0
 
 
 def test_several_tables_count_a_link_once(spark, monkeypatch):
-    monkeypatch.setattr(cap_filters, "EXACT", 0)
     monkeypatch.setattr(cap_filters, "LOAD", 0.5)  # at 2,400 vectors as narrow as at 300,000
     x, y = _pairs(200, 64)
     other = np.random.default_rng(3).standard_normal((2000, 64))
@@ -179,7 +190,7 @@ def test_several_tables_count_a_link_once(spark, monkeypatch):
 
 def test_recall_holds_at_every_size():
     """Random pairs at just the cosine that the design has not tried, for tables of very different sizes."""
-    for dim, n in ((64, 10_000), (64, 1_000_000), (64, 100_000_000), (256, 50_000), (256, 100_000_000)):
+    for dim, n in ((64, 20), (2, 100), (5, 3000), (64, 500), (64, 2000), (64, 10_000), (64, 1_000_000), (64, 100_000_000), (256, 50_000), (256, 100_000_000)):
         plan = cap_filters.design(n, dim)
         rng = np.random.default_rng([5, dim, n])
         x, z = rng.standard_normal((2, 250, dim))
@@ -191,4 +202,4 @@ def test_recall_holds_at_every_size():
             rotation, books = cap_filters.codebooks(dim, plan.blocks, plan.size, cap_filters.SEED + table)
             keys = [r * plan.size**plan.blocks + c for r, c in (cap_filters.decode(v @ rotation, books, plan.threshold) for v in (x, y))]
             found[np.intersect1d(*keys) // plan.size**plan.blocks] = True
-        assert plan.tables == 0 or found.mean() >= 0.93, (dim, n, plan, found.mean())
+        assert plan.tables and found.mean() >= 0.95, (dim, n, plan, found.mean())

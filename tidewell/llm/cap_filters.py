@@ -10,13 +10,14 @@ a linked pair counts only under the first direction that both share.
 
 Threshold and code grow with the number of vectors so that a direction holds a bounded number of
 unrelated ones; the number of tables is what finds RECALL of the pairs at just the cosine at this size.
-Up to EXACT vectors all pairs are compared. Longer lists (many near vectors) are dealt into chunks, and pairs of chunks compared.
+Longer lists (many near vectors) are dealt into chunks, and pairs of chunks compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -32,9 +33,9 @@ COSINE = 0.9
 #: Unrelated vectors a direction is meant to hold, and directions of one table a vector is meant to exceed.
 LOAD, LISTS = 64, 2
 #: Share of the random pairs at just the cosine that the tables together must find, pairs tried, tables at most.
-RECALL, TRIED, MOST_TABLES = 0.97, 2000, 32
-#: Up to so many vectors all pairs are compared: that moves a vector less often than filters do.
-EXACT = 8192
+RECALL, TRIED, MOST_TABLES = 0.99, 2000, 32
+#: The widest caps, in shares of the sphere. Few vectors, or few dimensions, have these and the tables they need.
+WIDEST = 0.1
 #: Postings of a task's group; lists beyond CHUNK are dealt into chunks.
 GROUP, CHUNK = 4096, 1024
 MOST_CODEWORDS, SEED = 1024, 7
@@ -60,22 +61,24 @@ def cap(share: float, dim: int) -> float:
 def design(n: int, dim: int, cosine: float = COSINE) -> Design:
     """Tables for n vectors: as many as find RECALL of random pairs at just this cosine, which are tried
     here with the codes that the vectors will meet. A random rotation makes any pair a random one, so
-    the share holds for all data. Where caps are too narrow for the angle (few dimensions), wider ones."""
-    if n <= EXACT or dim == 1:
+    the share holds for all data. Where caps are too narrow for the angle (few dimensions), wider ones; the
+    widest have as many tables as it takes. Vectors of one number have no angles but 0 and 180 degrees: they
+    are one list, whose pairs of one sign are links all."""
+    if dim == 1:
         return Design(0.0, 1, 1, 0)
     rng = np.random.default_rng([11, dim])
     x, z = rng.standard_normal((2, TRIED, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (x * z).sum(1, keepdims=True) * x
     y = cosine * x + np.sqrt(1 - cosine * cosine) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
-    share = min(0.1, LOAD / n)
+    share = min(WIDEST, LOAD / n)
     while True:
         words, blocks = LISTS / share, min(2, dim)
         while words ** (1 / blocks) > MOST_CODEWORDS and blocks < dim:
             blocks += 1
         size, threshold = max(2, round(words ** (1 / blocks))), float(cap(share, dim) * np.sqrt(dim))
         found = np.zeros(TRIED, dtype=bool)
-        for table in range(MOST_TABLES):
+        for table in count() if share >= WIDEST else range(MOST_TABLES):
             rotation, books = codebooks(dim, blocks, size, SEED + table)
             keys = []
             for v in (x, y):
@@ -84,9 +87,7 @@ def design(n: int, dim: int, cosine: float = COSINE) -> Design:
             found[np.intersect1d(*keys) // size**blocks] = True
             if found.mean() >= RECALL:
                 return Design(threshold, blocks, size, table + 1)
-        if share >= 0.1:
-            return Design(0.0, 1, 1, 0)
-        share = min(0.1, share * 4)
+        share = min(WIDEST, share * 4)
 
 
 @lru_cache(maxsize=64)
@@ -115,12 +116,12 @@ def decode(x: np.ndarray, books: list[np.ndarray], threshold: float) -> tuple[np
         sorted_ = np.take_along_axis(s, order, 1)
         need = threshold - total - rest[j + 1][rows]
         width = s.shape[1]
-        count = np.zeros(len(rows), dtype=np.int64)
+        wide = np.zeros(len(rows), dtype=np.int64)
         for lo in range(0, len(rows), 1 << 15):
             r = slice(lo, lo + (1 << 15))
-            count[r] = (sorted_[rows[r]] >= need[r, None]).sum(1)
-        at = np.repeat(np.arange(len(rows)), count)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            wide[r] = (sorted_[rows[r]] >= need[r, None]).sum(1)
+        at = np.repeat(np.arange(len(rows)), wide)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(wide) - wide, wide)
         who = rows[at]
         code, total, rows = code[at] * width + order[who, nth], total[at] + sorted_[who, nth], who
     return rows, code
