@@ -2,8 +2,10 @@
 
 import hashlib
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,51 @@ def test_label_model_posterior_equals_the_joint_table(monkeypatch):
     assert total == pytest.approx(1.0)
 
 
+def test_label_model_learns_which_voters_are_often_wrong():
+    rng = np.random.default_rng(8)
+    y = rng.random(4000) < 0.3
+    rates = ((0.8, 0.02), (0.7, 0.30), (0.6, 0.05), (0.7, 0.10), (0.6, 0.03), (0.7, 0.20), (0.8, 0.02))
+    votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in rates], axis=1).astype(float)
+    post, model, _ = toxicity.label_model(votes)
+    assert len(model.mix) == 2 and model.prior == pytest.approx(0.3, abs=0.03)
+    assert ((post > 0.5) == y).mean() > 0.97 and (votes.any(1) == y).mean() < 0.75
+    for j in range(7):
+        if model.parent[j] < 0:
+            assert model.rates[j, :, 0] == pytest.approx(rates[j][::-1], abs=0.05)
+
+
+def test_label_model_parts_kinds_of_voters_that_never_meet():
+    rng = np.random.default_rng(9)
+    kind = rng.choice(3, 3000, p=(0.7, 0.2, 0.1))
+    own = np.repeat([1, 2], 10)
+    votes = np.stack([rng.random(3000) < np.where(kind == k, 0.5, 0.02) for k in own], axis=1).astype(float)
+    assert [len(set(g)) for g in np.split(toxicity.kinds_of(votes), 2)] == [1, 1]
+    post, model, history = toxicity.label_model(votes)
+    assert len(model.mix) == 3 and model.mix == pytest.approx([0.7, 0.2, 0.1], abs=0.04)
+    assert ((post > 0.5) == (kind > 0)).mean() > (votes.any(1) == (kind > 0)).mean() + 0.2
+    assert all(b >= a - 1e-7 * abs(a) for phase in history for a, b in zip(phase, phase[1:]))
+
+
+def test_a_fit_on_labelled_texts_beats_the_or_of_its_lexicon():
+    rng = np.random.default_rng(10)
+    rates = ((0.7, 0.02), (0.7, 0.04), (0.6, 0.06), (0.8, 0.08), (0.6, 0.10), (0.7, 0.02), (0.6, 0.05))
+    names = ["scum", "vexx", "grub", "moro", "trsh", "clwn", "losr"]
+
+    def texts(n):
+        y = rng.random(n) < 0.5
+        own = [[w for w, (a, b) in zip(names, rates) if rng.random() < (a if t else b)] for t in y]
+        return [" ".join(rng.permutation([*(f"w{k}" for k in rng.integers(0, 400, 30)), *o])) for o in own], y
+
+    train, y = texts(1600)
+    lexicon, weights, bias = toxicity.fit(toxicity.read_sample(train, y.astype(float)))
+    assert {x for x in lexicon if not x.endswith("*")} >= set(names)
+    seen, truth = texts(2000)
+    out = next(toxicity._score([pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": seen})], SimpleNamespace(value=(lexicon, weights, bias))))
+    score, voters = np.array(out.column(1)), toxicity.Voters(lexicon)
+    either = np.array([any(v < len(lexicon) for v in voters.vote(t)) for t in seen])
+    assert ((score >= 0.5) == truth).mean() > 0.96 and (either == truth).mean() < 0.9
+
+
 def test_long_labelled_texts_are_read_whole(spark):
     bad = ["scumbag", "vexxor", "grubbit"]
     rng = np.random.default_rng(3)

@@ -7,9 +7,11 @@ A generative label model explains the votes v of a text by a hidden class y:
     P(v, y) = P(y) * prod_j P(v_j | v_parent(j), y)
 
 with a rate for each voter and class, and, where voters repeat each other more than the classes explain, a
-rate for each vote of the parent: the correlated pairs form a forest. Expectation maximisation raises the
-likelihood of the votes (with Beta priors on the rates) in every round; no label enters it. A linear
-classifier is then trained on the posterior labels, and scores every document.
+rate for each vote of the parent: the correlated pairs form a forest. Voters that agree form a kind of the
+toxic class (the insults of one language), and y is clean or one of the kinds. Expectation maximisation
+raises the likelihood of the votes (with weak Beta priors on the rates) in every round; no
+label enters it, and a voter that speaks alone, or often where the others are silent, weighs little. A
+linear classifier is then trained on the posterior labels, and scores every document.
 """
 
 from __future__ import annotations
@@ -33,11 +35,14 @@ THRESHOLD = 0.7
 TRAIN_DOCS = 1200
 #: Expected number of chance entries in the lexicon.
 CHANCE = 0.05
+#: A lexicon entry may be wrong: it stands in at least so many toxic texts for each other one.
+RATIO = 4
 PREFIXES = (4, 5, 6)
 SEED, ROUNDS, STEPS = 5, 60, 3000
-#: Beta priors of a rate in the clean and the toxic class: a lexicon entry hardly ever stands in a clean
-#: text (it was chosen so), of a pattern nothing is known; the toxic share at the start.
-LEXICON_PRIOR, PATTERN_PRIOR, SPOKEN, SILENT = ((0.2, 10_000.0), (0.1, 4.0)), ((0.1, 4.0), (0.1, 4.0)), 0.9, 0.02
+#: Weak Beta priors of a rate in the clean and the toxic class: a lexicon entry as if it had been silent in 20
+#: clean texts of the thousand, and in toxic ones as good as nothing; of a pattern, nothing. The toxic share of
+#: texts with votes, in two starts, and of those without.
+LEXICON_PRIOR, PATTERN_PRIOR, SPOKEN, SILENT = ((0.02, 20.0), (0.2, 0.8)), ((0.1, 0.9), (0.1, 0.9)), (0.9, 0.99), 0.02
 #: Words a worker remembers the entries of.
 MEMORY_WORDS = 500_000
 EDGE = "\"'.,;:!?()[]{}<>*_-#$%&/\\"
@@ -118,7 +123,7 @@ def mine(words: list[set[str]], toxic: np.ndarray) -> list[str]:
         m = a + b
         return lgamma(m + 1) - lgamma(a + 1) - lgamma(b + 1) + a * log(k / n)
 
-    some = {x: tail(len(d), not_[x]) for x, d in has.items() if len(d) >= 3 and len(d) >= 20 * not_[x]}
+    some = {x: tail(len(d), not_[x]) for x, d in has.items() if len(d) >= 3 and len(d) >= RATIO * not_[x]}
     limit = log(CHANCE / max(1, len(has)))
     kept: list[str] = []
     # the least likely first; of equal ones the most specific, whole words before beginnings
@@ -166,69 +171,72 @@ class Voters:
 
 
 class LabelModel:
-    """The joint model of votes and hidden class: ``prior`` of the toxic class, and for voter j, class y
-    and vote u of its parent the rate ``rates[j, y, u]`` (voters without a parent have one rate)."""
-
-    def __init__(self, n_voters: int, lexicon: int):
-        self.prior = 0.1
-        named = (np.arange(n_voters) < lexicon)[:, None]
-        #: (voters, class, a or b): the Beta priors.
-        self.beta = np.where(named[:, :, None], np.array(LEXICON_PRIOR), np.array(PATTERN_PRIOR))
+    """The joint model of votes and hidden class. The toxic class has one or more kinds (the insults of one
+    language, say), as voters that never meet say nothing against each other: ``mix[0]`` is the share of the
+    clean class, ``mix[c]`` of kind c, and for voter j, kind c and vote u of its parent the rate is
+    ``rates[j, c, u]`` (voters without a parent have one rate)."""
+
+    def __init__(self, n_voters: int, lexicon: int, kinds: int = 1):
+        self.mix = np.full(kinds + 1, 1 / (kinds + 1))
+        named = (np.arange(n_voters) < lexicon)[:, None, None]
+        which = [0] + [1] * kinds
+        #: (voters, kinds and clean, a or b): the Beta priors.
+        self.beta = np.where(named, np.array(LEXICON_PRIOR)[which], np.array(PATTERN_PRIOR)[which])
         self.parent = np.full(n_voters, -1)
-        self.rates = np.full((n_voters, 2, 2), 0.05)
+        self.rates = np.full((n_voters, kinds + 1, 2), 0.05)
+
+    @property
+    def prior(self) -> float:
+        """Share of the toxic class."""
+        return float(1 - self.mix[0])
 
     def _parents(self, votes: np.ndarray) -> np.ndarray:
         return np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0.0)
 
     def log_joint(self, votes: np.ndarray) -> np.ndarray:
-        """(rows, 2): log P(votes, class)."""
-        u, out = self._parents(votes), np.empty((len(votes), 2))
-        for y in (0, 1):
-            rate = self.rates[:, y, 0] + u * (self.rates[:, y, 1] - self.rates[:, y, 0])
-            out[:, y] = log(self.prior if y else 1 - self.prior) + np.where(votes > 0, np.log(rate), np.log1p(-rate)).sum(1)
+        """(rows, kinds and clean): log P(votes, kind)."""
+        u, out = self._parents(votes), np.empty((len(votes), len(self.mix)))
+        for c in range(len(self.mix)):
+            rate = self.rates[:, c, 0] + u * (self.rates[:, c, 1] - self.rates[:, c, 0])
+            out[:, c] = log(self.mix[c]) + np.where(votes > 0, np.log(rate), np.log1p(-rate)).sum(1)
         return out
 
-    def expect(self, votes: np.ndarray) -> tuple[np.ndarray, float]:
-        """Posterior of the toxic class, and what the rounds raise: the log-likelihood of the votes and
-        the priors of the rates."""
+    def shares(self, votes: np.ndarray) -> tuple[np.ndarray, float]:
+        """Posterior of the clean class and of each kind, and what the rounds raise: the log-likelihood of
+        the votes and the priors of the rates."""
         joint = self.log_joint(votes)
         top = joint.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-        score = float(total.sum()) + log(self.prior) + log(1 - self.prior)
-        for y in (0, 1):
-            r = self.rates[:, y]
-            own = self.beta[:, y, :1] * np.log(r) + self.beta[:, y, 1:] * np.log1p(-r)
-            score += float(own[:, 0].sum() + own[self.parent >= 0, 1].sum())
-        return np.exp(joint[:, 1] - total), score
-
-    def maximise(self, votes: np.ndarray, post: np.ndarray) -> None:
-        """Rates and prior for given posteriors."""
+        own = self.beta[:, :, :1] * np.log(self.rates) + self.beta[:, :, 1:] * np.log1p(-self.rates)
+        score = float(total.sum()) + float(np.log(self.mix).sum()) + float(own[:, :, 0].sum() + own[self.parent >= 0, :, 1].sum())
+        return np.exp(joint - total[:, None]), score
+
+    def expect(self, votes: np.ndarray) -> tuple[np.ndarray, float]:
+        """Posterior of the toxic class, and what the rounds raise."""
+        share, score = self.shares(votes)
+        return share[:, 1:].sum(1), score
+
+    def maximise(self, votes: np.ndarray, share: np.ndarray) -> None:
+        """Rates and mixture for given posteriors."""
         u = self._parents(votes)
-        self.prior = float((post.sum() + 1) / (len(post) + 2))
-        for y, weight in ((0, 1 - post), (1, post)):
-            a, b = self.beta[:, y].T
+        self.mix = (share.sum(0) + 1) / (len(share) + len(self.mix))
+        for c in range(len(self.mix)):
+            a, b = self.beta[:, c].T
             for k, side in ((0, 1 - u), (1, u)):
-                self.rates[:, y, k] = (weight @ (votes * side) + a) / (weight @ side + a + b)
+                self.rates[:, c, k] = (share[:, c] @ (votes * side) + a) / (share[:, c] @ side + a + b)
 
     def correlations(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """What two voters tell of each other inside the classes, in nats: conditional mutual information."""
-        n, out = len(votes), 0.0
-        for weight in (1 - post, post):
-            share = weight.sum() / n
-            one = weight @ votes / max(weight.sum(), 1e-9)
-            both = (votes * weight[:, None]).T @ votes / max(weight.sum(), 1e-9)
-            for a, b, p in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one - both), (1 - one, 1 - one, 1 - one[:, None] - one + both)):
-                p = np.maximum(p, 1e-12)
-                out = out + share * p * np.log(p / np.maximum(np.outer(a, b), 1e-12))
-        np.fill_diagonal(out, 0)
-        return out
+        """What two voters tell of each other inside the classes, or the kinds of (rows, kinds and clean), in
+        nats: conditional mutual information."""
+        return _told(votes, post if post.ndim == 2 else np.column_stack([1 - post, post]))
 
-    def connect(self, votes: np.ndarray, post: np.ndarray) -> None:
-        """The forest of the strongest correlations that pay for their two further rates."""
-        pays = self.correlations(votes, post) * len(votes)
+    def connect(self, votes: np.ndarray, share: np.ndarray) -> None:
+        """The forest of the strongest correlations that pay for their further rates."""
+        pays = self.correlations(votes, share) * len(votes)
         root = np.arange(len(pays))
         edges: dict[int, list[int]] = {}
-        for i, j in sorted(zip(*np.nonzero(np.triu(pays > log(len(votes)))), strict=True), key=lambda e: (-pays[e], e)):
+        least = log(len(votes)) * (len(self.mix) / 2)
+        for i, j in sorted(zip(*np.nonzero(np.triu(pays > least)), strict=True), key=lambda e: (-pays[e], e)):
             if root[i] != root[j]:
                 edges.setdefault(int(i), []).append(int(j))
                 edges.setdefault(int(j), []).append(int(i))
@@ -246,28 +254,74 @@ class LabelModel:
                         todo.append(other)
 
 
+def _told(votes: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Mutual information of two voters given the kind of each row."""
+    n, out = len(votes), 0.0
+    for weight in share.T:
+        one = weight @ votes / max(weight.sum(), 1e-9)
+        both = (votes * weight[:, None]).T @ votes / max(weight.sum(), 1e-9)
+        for a, b, p in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one - both), (1 - one, 1 - one, 1 - one[:, None] - one + both)):
+            p = np.maximum(p, 1e-12)
+            out = out + weight.sum() / n * p * np.log(p / np.maximum(np.outer(a, b), 1e-12))
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def kinds_of(votes: np.ndarray) -> np.ndarray:
+    """The kind of each voter, from 0: voters that agree more often than chance allows are of one kind.
+    Voters that agree with nobody join the kind of the most voters."""
+    n, k = votes.shape
+    one, both = votes.mean(0), votes.T @ votes / max(1, n)
+    agree = (_told(votes, np.ones((n, 1))) * n > log(max(2, n))) & (both > np.outer(one, one))
+    root = np.arange(k)
+    for i, j in zip(*np.nonzero(np.triu(agree)), strict=True):
+        root[root == root[j]] = root[i]
+    names, at, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = sorted(range(len(names)), key=lambda c: (-size[c], names[c]))
+    place = {c: (i if size[c] > 1 else 0) for i, c in enumerate(order)}
+    return np.array([place[c] for c in at], dtype=int)
+
+
+def first_guess(votes: np.ndarray, kind: np.ndarray, spoken: float) -> np.ndarray:
+    """Where the rounds start: texts on which a named voter speaks are likely toxic, of the kind whose
+    voters say most. Nothing is held to it."""
+    kinds = int(kind.max(initial=0)) + 1
+    said = np.stack([votes[:, : len(kind)][:, kind == c].sum(1) for c in range(kinds)], axis=1)
+    of = said == said.max(1, keepdims=True)
+    toxic = np.where(said.any(1), spoken, SILENT)
+    return np.column_stack([1 - toxic, of / of.sum(1, keepdims=True) * toxic[:, None]])
+
+
 def label_model(votes: np.ndarray, lexicon: int | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, LabelModel, list[list[float]]]:
-    """(posterior of the toxic class, model, what each round reached), from votes alone. Rounds of
-    independent voters come first, then the forest of correlations is drawn and the rounds go on. The
-    start takes texts on which one of the first ``lexicon`` voters speaks as likely toxic."""
+    """(posterior of the toxic class, model, what each round reached), from votes alone. Of the ``SPOKEN``
+    starts the one that explains the votes best is kept. The first ``lexicon`` voters name the kinds."""
     lexicon = votes.shape[1] if lexicon is None else lexicon
-    model, history = LabelModel(votes.shape[1], lexicon), []
-    post = np.where(votes[:, :lexicon].any(1), SPOKEN, SILENT)
+    kind = kinds_of(votes[:, :lexicon])
+    runs = [_rounds(votes, lexicon, kind, spoken, rounds) for spoken in SPOKEN]
+    model, history = max(runs, key=lambda run: run[1][-1][-1])
+    return model.expect(votes)[0], model, history
+
+
+def _rounds(votes: np.ndarray, lexicon: int, kind: np.ndarray, spoken: float, rounds: int) -> tuple[LabelModel, list[list[float]]]:
+    """Rounds of independent voters come first, then the forest of correlations is drawn and the rounds go
+    on."""
+    model, history = LabelModel(votes.shape[1], lexicon, int(kind.max(initial=0)) + 1), []
+    share = first_guess(votes, kind, spoken)
     for step in range(2):
         if step:
             # the forest is drawn from what the first rounds found; the rounds start anew with it
-            model.connect(votes, post)
-            post = np.where(votes[:, :lexicon].any(1), SPOKEN, SILENT)
-        model.maximise(votes, post)
+            model.connect(votes, share)
+            share = first_guess(votes, kind, spoken)
+        model.maximise(votes, share)
         reached: list[float] = []
         for _ in range(rounds):
-            post, score = model.expect(votes)
+            share, score = model.shares(votes)
             reached.append(score)
-            model.maximise(votes, post)
+            model.maximise(votes, share)
             if len(reached) > 1 and reached[-1] - reached[-2] < 1e-7 * abs(score):
                 break
         history.append(reached)
-    return model.expect(votes)[0], model, history
+    return model, history
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
