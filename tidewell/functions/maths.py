@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as tx
+
 # Names of an expression and the Spark functions that stand for them.
 FUNCTIONS = {"sin": "sin", "cos": "cos", "tan": "tan", "asin": "asin", "acos": "acos", "atan": "atan", "log": "log10", "ln": "ln", "abs": "abs", "sqrt": "sqrt", "pow": "pow", "exp": "exp", "factorial": "factorial"}
 CONSTANTS = {"pi": "pi()", "PI": "pi()", "e": "e()", "E": "e()"}
@@ -87,17 +89,20 @@ def line_patch(old: Column, new: Column, context: int = 3) -> Column:
     """struct<old_start, old_lines, new_lines, lines>: one hunk between the common first and last lines of
     two texts, with lines around it; null where they are equal."""
     cut = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, "\n$", ""), "\n"))
-    a, b = cut(old), cut(new)
-    na, nb = F.size(a), F.size(b)
-    least = F.least(na, nb)
-    same = lambda x, y, n: F.when(n > 0, F.coalesce(F.array_min(F.filter(F.transform(F.arrays_zip(F.slice(x, 1, n).alias("p"), F.slice(y, 1, n).alias("q")), lambda z, i: F.when(z["p"] != z["q"], i)), lambda i: i.isNotNull())), n)).otherwise(0)
-    head = same(a, b, least)
-    tail = F.least(same(F.reverse(a), F.reverse(b), least), least - head)
-    first, end_a, end_b = F.greatest(F.lit(0), head - context), na - tail, nb - tail
-    last_a, last_b = F.least(na, end_a + context), F.least(nb, end_b + context)
+    same = lambda x, y, n: F.coalesce(F.nullif(F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p != q), True), F.lit(0)) - 1, n).cast("int")
     part = lambda x, lo, hi, sign: F.transform(F.slice(x, lo + 1, F.greatest(hi - lo, F.lit(0))), lambda s: F.concat(F.lit(sign), s))
-    lines = F.concat(part(a, first, head, " "), part(a, head, end_a, "-"), part(b, head, end_b, "+"), part(b, end_b, last_b, " "))
-    return F.when(old != new, F.struct((first + 1).alias("old_start"), (last_a - first).alias("old_lines"), (last_b - first).alias("new_lines"), lines.alias("lines")))
+
+    def hunk(a: Column, b: Column, head: Column, tail: Column) -> Column:
+        first, end_a, end_b = F.greatest(F.lit(0), head - context), F.size(a) - tail, F.size(b) - tail
+        last_a, last_b = F.least(F.size(a), end_a + context), F.least(F.size(b), end_b + context)
+        lines = F.concat(part(a, first, head, " "), part(a, head, end_a, "-"), part(b, head, end_b, "+"), part(b, end_b, last_b, " "))
+        return F.struct((first + 1).alias("old_start"), (last_a - first).alias("old_lines"), (last_b - first).alias("new_lines"), lines.alias("lines"))
+
+    def ends(a: Column, b: Column) -> Column:
+        least = F.least(F.size(a), F.size(b))
+        return tx.bound(same(a, b, least), lambda head: tx.bound(F.least(same(F.reverse(a), F.reverse(b), least), least - head), lambda tail: hunk(a, b, head, tail)))
+
+    return F.when(old != new, tx.bound(F.struct(cut(old).alias("a"), cut(new).alias("b")), lambda x: ends(x["a"], x["b"])))
 
 
 def apply_patch(text: Column, search: Column, replace: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ STOP_WORDS = [
 ]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. What is used inside a lambda function, or more than once
+    beside one, is otherwise computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lexical_tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Lower-cased runs of letters and digits of two bytes or more, without stop words."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewell.functions import maths as ma
+from tidewell.functions import text as tx
 from tidewell.operators import boundaries as bo
 from tidewell.operators import retrieval as rt
 from tidewell.operators import rules as ru
@@ -79,11 +80,11 @@ SELECT id, greatest(0, k - 1 - 3)::INT + 1 AS old_start, (least(len(ls), k + 3)
 def f6(spark, d):
     """The patch of each text whose first line with a word is changed in it."""
     docs = table(spark, d, "documents").filter("text is not null and contains(text, 'the')").select(F.col("doc_id").alias("id"), "text")
-    ls = F.split("text", "\n")
-    k = F.array_position(F.transform(ls, lambda s: s.contains("the")), True).cast("int")
-    new = F.array_join(F.transform(ls, lambda s, i: F.when(i == k - 1, F.replace(s, F.lit("the"), F.lit("THE"))).otherwise(s)), "\n")
-    patch = ma.line_patch(F.col("text"), new)
-    return docs.select("id", patch["old_start"].alias("old_start"), patch["old_lines"].alias("old_lines"), F.md5(F.array_join(patch["lines"], "\n")).alias("patch"))
+    found = docs.select("id", "text", F.split("text", "\n").alias("ls")).withColumn("k", F.array_position(F.transform("ls", lambda s: s.contains("the")), True).cast("int"))
+    changed = F.array(F.replace(F.get("ls", F.col("k") - 1), F.lit("the"), F.lit("THE")))
+    new = F.array_join(F.concat(F.slice("ls", F.lit(1), F.col("k") - 1), changed, F.slice("ls", F.col("k") + 1, F.size("ls"))), "\n")
+    patch = tx.bound(new, lambda n: ma.line_patch(F.col("text"), n))
+    return found.select("id", patch.alias("p")).select("id", "p.old_start", "p.old_lines", F.md5(F.array_join("p.lines", "\n")).alias("patch"))
 
 
 @register("f7_text_patched", """WITH t AS (SELECT doc_id AS id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
