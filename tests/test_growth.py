@@ -33,3 +33,20 @@ def test_patches_of_long_texts(spark, tmp_path):
 def test_patches_of_short_texts(spark, old, new, want):
     p = spark.createDataFrame([(old, new)], "a string, b string").select(ma.line_patch(F.col("a"), F.col("b")).alias("p")).first()["p"]
     assert (p and tuple(p)) == want
+
+
+def test_sections_of_long_texts(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["\n".join(f"section {i}" for i in range(1500))])
+    began = time.time()
+    assert catalog.queries()["h12_sections"](spark, d).count() == 1
+    got = catalog.queries()["h12_sections"](spark, d).first()["digest"]
+    assert time.time() - began < 30
+    # heading, lines 1 and 2; the next heading is of a lower level, the one at 7 of the same
+    want = spark.range(1).select(F.md5(F.lit("# section 0\nsection 1\nsection 2\n## section 3\nsection 4\nsection 5\nsection 6").cast("binary"))).first()[0]
+    assert got == want
+
+
+def test_sections_of_short_texts(spark):
+    rows = [(None, ""), ("x\n## A tion\ny\n### b\n# c\nz", "## A tion\ny\n### b"), ("tion\n# no", ""), ("x\n# TION", "# TION")]
+    got = spark.createDataFrame(rows, "t string, want string").select(pg.section(F.col("t"), "Tion").alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]

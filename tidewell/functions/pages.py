@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewell.functions import text as tx
+
 # Elements that are left out, and marks of the main content.
 DROPPED = {"script", "style", "noscript", "svg", "canvas", "iframe", "nav", "footer", "aside", "form", "dialog"}
 CONTENT_TAGS, CONTENT_IDS = {"article", "main"}, {"content"}
@@ -53,12 +55,17 @@ def headings(text: Column) -> Column:
 def section(text: Column, heading: str) -> Column:
     """From the first heading that contains the words, case-folded, to the next of its level or above;
     empty where there is none."""
-    level = lambda s: F.length(F.regexp_extract(s, "^#*", 0))
-    lines = F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("at"), level(s).alias("level"), s.alias("line")))
-    start = F.get(F.filter(lines, lambda x: (x["level"] > 0) & F.lower(x["line"]).contains(heading.lower())), F.lit(0))
-    end = F.get(F.filter(lines, lambda x: (x["at"] > start["at"]) & (x["level"] > 0) & (x["level"] <= start["level"])), F.lit(0))
-    kept = F.filter(lines, lambda x: (x["at"] >= start["at"]) & (end["at"].isNull() | (x["at"] < end["at"])))
-    return F.when(start.isNull(), "").otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    where = lambda lines, test: F.array_position(F.transform(lines, test), True).cast("int")
+
+    def kept(lines: Column, start: Column, level: Column) -> Column:
+        higher = where(F.slice(lines, start + 1, F.size(lines)), lambda s: s.startswith("#") & ~s.startswith(F.repeat(F.lit("#"), level + 1)))
+        return F.slice(lines, start, F.coalesce(F.nullif(higher, F.lit(0)), F.size(lines)))
+
+    def found(lines: Column, start: Column) -> Column:
+        level = F.length(F.regexp_extract(F.get(lines, start - 1), "^#*", 0))
+        return F.when(F.coalesce(start, F.lit(0)) == 0, "").otherwise(F.array_join(tx.bound(level, lambda n: kept(lines, start, n)), "\n"))
+
+    return tx.bound(F.split(text, "\n"), lambda lines: tx.bound(where(lines, lambda s: s.startswith("#") & F.lower(s).contains(heading.lower())), lambda start: found(lines, start)))
 
 
 def paragraph_range(text: Column, span: str) -> Column:
