@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  registers the base queries
 from tidewell.functions import maths as ma
 from tidewell.functions import pages as pg
+from tidewell.operators import records as rc
 from tidewell.plans import catalog
 
 
@@ -50,3 +51,11 @@ def test_sections_of_short_texts(spark):
     rows = [(None, ""), ("x\n## A tion\ny\n### b\n# c\nz", "## A tion\ny\n### b"), ("tion\n# no", ""), ("x\n# TION", "# TION")]
     got = spark.createDataFrame(rows, "t string, want string").select(pg.section(F.col("t"), "Tion").alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_large_teams_are_shared_by_tasks(spark):
+    members = spark.range(4000).coalesce(1).select(F.lit(1).alias("team"), F.col("id").alias("member"))
+    rows = rc.fan_out(members.filter("member < 100").withColumnRenamed("member", "sender"), members)
+    made = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(made) == 100 * 3999 and max(made) < sum(made)
+    assert rows.columns == ["team", "sender", "member"]

@@ -18,8 +18,12 @@ def touching(relations: DataFrame, names: DataFrame) -> DataFrame:
 
 def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each member of a message's team but its sender: messages (team, sender, ...),
-    members (team, member)."""
-    return messages.join(members, "team").filter("member <> sender")
+    members (team, member). Members are dealt by team and a part of their own key, so that the rows of a
+    large team are made by many tasks, however few files the members came in."""
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = members.withColumn("_part", F.pmod(F.xxhash64("member"), F.lit(parts)).cast("int")).repartition(parts, "team", "_part")
+    sent = messages.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return sent.join(cut, ["team", "_part"]).filter("member <> sender").drop("_part")
 
 
 def least_loaded(candidates: DataFrame, pending: DataFrame, by: str) -> DataFrame:
