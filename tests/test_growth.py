@@ -10,6 +10,7 @@ from tidewell.functions import maths as ma
 from tidewell.functions import pages as pg
 from tidewell.operators import records as rc
 from tidewell.plans import catalog
+from tidewell.streaming import stateful
 
 
 def _documents(spark, folder, texts):
@@ -59,3 +60,12 @@ def test_large_teams_are_shared_by_tasks(spark):
     made = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(made) == 100 * 3999 and max(made) < sum(made)
     assert rows.columns == ["team", "sender", "member"]
+
+
+def test_a_full_read_cache_finds_its_oldest_entry_at_once():
+    step, state = stateful.read_cache_step(500), None
+    began = time.time()
+    for i in range(300_000):
+        state, (_, hit) = step(state, (i, i, f"f{i}", 0, 100, 0))
+        assert not hit
+    assert time.time() - began < 6 and list(state) == [f"f{i}" for i in range(299_500, 300_000)]

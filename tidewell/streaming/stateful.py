@@ -1,19 +1,21 @@
 """Machines whose state lives in the stream: rows are put in event order, then folded one by one.
 
-A key's rows wait in its state until the watermark has passed them; a timer then takes those that are due,
-in order, through ``step`` and keeps what is left. What the fold carries is one small value of the key's
-state, so a restart goes on from the checkpoint, and neither the order of files nor the cut into
-triggers changes a result. Rows later than the watermark are left out, as in any windowed stream.
+Rows wait in state until the watermark has passed them; a timer then takes those that are due, in order,
+through ``step`` and keeps what is left. Keys share a fixed number of states, so many keys cost no calls of
+their own. What the fold carries is one small value a key, so a restart goes on from the checkpoint, and
+neither the order of files nor the cut into triggers changes a result. Rows later than the watermark are left out, as in any windowed stream.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -26,51 +28,89 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 
 
+#: Keys are dealt into so many states. A state costs some calls a trigger, whatever the number of its rows.
+STATES = 512
+#: Rows that are worked on at once as Python values; all others wait as columns.
+ROWS = 10_000
+
+
 class _Fold(StatefulProcessor):
-    """A key's rows (at in microseconds, place, ...) through ``step(state, row) -> (state, result)``."""
+    """Rows (key, at in microseconds, place, ...) of a share of the keys through ``step(state, row) -> (state,
+    result)``, each key with a state of its own. Rows wait as blocks of columns; one timer is set, for the
+    first of them."""
 
-    def __init__(self, step: Step, key: str, columns: list[str], schema: str, out: list[str]):
-        self.step, self.key, self.columns, self.schema, self.out = step, key, columns, schema, out
+    def __init__(self, step: Step, columns: list[str], whole: list[str], out: list[str]):
+        self.step, self.columns, self.whole, self.out = step, columns, whole, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "said string")
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.held = handle.getValueState("held", "said binary")
+        self.due = handle.getValueState("due", "at long")
+        self.waiting = handle.getListState("waiting", "block binary")
 
     def _timer(self, at: int) -> None:
-        self.handle.registerTimer(int(at // 1000 + 1))
+        """Timers are in milliseconds; of two the earlier one is kept."""
+        at = int(at // 1000 + 1)
+        if self.due.exists():
+            before = self.due.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.due.update((at,))
+        self.handle.registerTimer(at)
+
+    def _block(self, rows: pa.Table) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows)
+        return (sink.getvalue().to_pybytes(),)
+
+    def _rows(self, part: pd.DataFrame) -> pa.Table:
+        rows = pa.Table.from_pandas(part[self.columns], preserve_index=False).replace_schema_metadata(None)
+        # whole numbers with nulls among them come as floats
+        for i, name in enumerate(self.columns):
+            if name in self.whole:
+                rows = rows.set_column(i, name, rows.column(i).cast(pa.int64()))
+        return rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, blocks = None, []
         for part in rows:
             # a row of no key closes the stream: it moves the watermark and nothing else
             part = part[part["closing"] == 0]
             if len(part):
-                some = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in part[self.columns].itertuples(index=False, name=None)]
-                self.waiting.appendList(some)
-                first = min([r[0] for r in some] + ([] if first is None else [first]))
+                blocks.append(self._block(self._rows(part)))
+                first = min([int(part["at"].min())] + ([] if first is None else [first]))
         if first is not None:
+            self.waiting.appendList(blocks)
             self._timer(first)
-        yield pd.DataFrame(columns=self.out)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        if rest:
-            self.waiting.put(rest)
-            self._timer(rest[0][0])
+        self.due.clear()
+        blocks = [pa.ipc.open_stream(b[0]).read_all() for b in self.waiting.get()]
+        rows = pa.concat_tables(blocks, promote_options="permissive")
+        del blocks
+        ready = pc.less_equal(rows["at"], passed)
+        rest, due = rows.filter(pc.invert(ready)), rows.filter(ready).sort_by([("at", "ascending"), ("place", "ascending")])
+        del rows
+        if len(rest):
+            self.waiting.put([self._block(rest)])
+            self._timer(pc.min(rest["at"]).as_py())
         else:
             self.waiting.clear()
-        state = json.loads(self.held.get()[0]) if self.held.exists() else None
-        results = []
-        for row in due:
-            state, result = self.step(state, row)
-            if result is not None:
-                results.append((*key, *result))
-        if due:
-            self.held.update((json.dumps(state),))
-        yield pd.DataFrame(results, columns=self.out)
+        states = pickle.loads(self.held.get()[0]) if self.held.exists() else {}
+        for at in range(0, len(due), ROWS):
+            results = []
+            for name, *row in zip(*(c.to_pylist() for c in due.slice(at, ROWS).columns), strict=True):
+                states[name], result = self.step(states.get(name), tuple(row))
+                if result is not None:
+                    results.append((name, *result))
+            if results:
+                yield pd.DataFrame(results, columns=self.out)
+        if len(due):
+            self.held.update((pickle.dumps(states),))
 
     def close(self) -> None:
         pass
@@ -78,13 +118,13 @@ class _Fold(StatefulProcessor):
 
 def ordered_fold(rows: DataFrame, key: str, ts: str, place: str, columns: list[str], step: Step, out: str, late: str = "1 hour") -> DataFrame:
     """(key, out...): the results of ``step(state, (microseconds, place, columns...))`` over each key's rows
-    in the order of (ts, place). ``state`` is None at first and must fit into JSON."""
+    in the order of (ts, place). ``state`` is None at first and must be a plain value."""
     kinds = dict(rows.dtypes)
-    slim = rows.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.unix_micros(ts).alias("at"), F.col(place).alias("place"), *columns, F.col("_closing").alias("closing") if "_closing" in kinds else F.lit(0).alias("closing"))
-    schema = ", ".join(["at long", f"place {kinds[place]}", *(f"{c} {kinds[c]}" for c in columns)])
+    slim = rows.select(F.pmod(F.xxhash64(key), F.lit(STATES)).alias("_state"), F.col(key).alias("fold_key"), F.col(ts).alias("_ts"), F.unix_micros(ts).alias("at"), F.col(place).alias("place"), *columns, F.col("_closing").alias("closing") if "_closing" in kinds else F.lit(0).alias("closing"))
+    whole = [c for c, t in slim.dtypes if t in ("tinyint", "smallint", "int", "bigint")]
     result = StructType.fromDDL(f"{key} {kinds[key]}, {out}")
-    fold = _Fold(step, key, ["at", "place", *columns], schema, result.fieldNames())
-    return slim.withWatermark("_ts", late).groupBy("_key").transformWithStateInPandas(statefulProcessor=fold, outputStructType=result, outputMode="append", timeMode="eventTime")
+    fold = _Fold(step, ["fold_key", "at", "place", *columns], whole, result.fieldNames())
+    return slim.withWatermark("_ts", late).groupBy("_state").transformWithStateInPandas(statefulProcessor=fold, outputStructType=result, outputMode="append", timeMode="eventTime")
 
 
 def breaker_step(most: int = 5, reset: int = 60, trials: int = 3) -> Step:
@@ -141,8 +181,10 @@ def read_cache_step(entries: int = 500, age: int = 7200) -> Step:
         found = held.get(path)
         hit = found is not None and at - found[3] <= age * 1_000_000 and found[:3] == [start, size, mtime]
         if not hit:
+            # entries stand in the order in which they were kept, which is that of the rows
             if len(held) >= entries:
-                del held[min(held, key=lambda p: (held[p][3], held[p][4]))]
+                del held[next(iter(held))]
+            held.pop(path, None)
             held[path] = [start, size, mtime, at, place]
         return held, (place, hit)
 
