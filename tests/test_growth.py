@@ -1,15 +1,18 @@
 """Work that grows with the input and no faster: long texts, large groups, many keys."""
 
+import itertools
 import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the base queries
 from tidewell.functions import maths as ma
 from tidewell.functions import pages as pg
+from tidewell.operators import lexical_index as li
 from tidewell.operators import records as rc
 from tidewell.operators import vector_index as vi
 from tidewell.plans import catalog
@@ -84,3 +87,22 @@ def test_products_with_very_many_centres_are_bounded():
     tracemalloc.stop()
     assert (near == np.arange(8192) % 16).all() and peak < 200e6
     assert vi._near(np.zeros((0, 16)), unit).shape == (0,)
+
+
+def test_blocks_of_postings_come_in_few_batches():
+    rows = sorted((t % 3, f"t{t}", i, 1 + i % 4, 5 + i % 7) for t in range(300) for i in range(1 + t * 7 % 290))
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    cut = lambda a, b: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a:b]), kinds, strict=True)], ["bucket", "term", "id", "tf", "len"])
+    for size in (1, 1000, len(rows)):
+        part = rows[:700] if size == 1 else rows
+        batches = [cut(i, min(i + size, len(part))) for i in range(0, len(part), size)]
+        made = list(li._blocks(iter(batches), 128))
+        assert len(made) <= len(batches) + 1
+        want = []
+        for (b, t), g in itertools.groupby(part, key=lambda r: r[:2]):
+            g = list(g)
+            for at in range(0, len(g), 128):
+                p = g[at : at + 128]
+                want.append({"bucket": b, "term": t, "n": len(p), "max_tf": max(x[3] for x in p), "min_len": min(x[4] for x in p), "entries": [{"id": x[2], "tf": x[3], "len": x[4]} for x in p]})
+        assert [r for m in made for r in m.to_pylist()] == want
+    assert list(li._blocks(iter([]), 128)) == []

@@ -17,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,26 +51,38 @@ def _forward(docs: DataFrame, version: int) -> DataFrame:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, term, id, tf, len) in order to blocks of one term."""
-    held: list[tuple] = []
-    at = None
-
-    def close() -> pa.RecordBatch:
-        entries = pa.array([{"id": i, "tf": t, "len": n} for i, t, n in held], ENTRY)
-        row = [at[0], at[1], len(held), max(t for _, t, _ in held), min(n for _, _, n in held)]
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        cols = [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), entries)], ["bucket", "term", "n", "max_tf", "min_len", "entries"])
-
+    """Rows (bucket, term, id, tf, len) in order to blocks of one term, a batch of rows at a time; the last
+    block of a batch goes on in the next one."""
+    names = ["bucket", "term", "id", "tf", "len"]
+
+    def made(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        tf, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+        ends = np.append(starts, rows.num_rows)
+        entries = pa.StructArray.from_arrays([c.cast(pa.int64()) for c in rows.columns[2:]], fields=list(ENTRY))
+        first = pa.array(starts)
+        sums = [pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(size, starts))]
+        return pa.RecordBatch.from_arrays([rows.column(0).take(first), rows.column(1).take(first), *sums, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["bucket", "term", "n", "max_tf", "min_len", "entries"])
+
+    def starts_of(rows: pa.RecordBatch) -> np.ndarray:
+        n = rows.num_rows
+        other = [pc.not_equal(rows.column(c).slice(1), rows.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in (0, 1)]
+        new = np.append(True, other[0] | other[1])
+        at = np.arange(n)
+        since = at - np.maximum.accumulate(np.where(new, at, 0))
+        return np.flatnonzero(since % most == 0)
+
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        for bucket, term, name, tf, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and ((bucket, term) != at or len(held) == most):
-                yield close()
-                held.clear()
-            at = (bucket, term)
-            held.append((name, tf, size))
-    if held:
-        yield close()
+        if not batch.num_rows:
+            continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, names)
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        starts = starts_of(rows)
+        if len(starts) > 1:
+            yield made(rows.slice(0, int(starts[-1])), starts[:-1])
+        held = rows.slice(int(starts[-1]))
+    if held is not None:
+        yield made(held, np.array([0]))
 
 
 def _stage_postings(forward: DataFrame, path: str, version: int) -> str:
