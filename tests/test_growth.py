@@ -14,6 +14,7 @@ from tidewell.functions import maths as ma
 from tidewell.functions import pages as pg
 from tidewell.operators import lexical_index as li
 from tidewell.operators import records as rc
+from tidewell.operators import retrieval as rt
 from tidewell.operators import vector_index as vi
 from tidewell.plans import catalog
 from tidewell.streaming import stateful
@@ -106,3 +107,10 @@ def test_blocks_of_postings_come_in_few_batches():
                 want.append({"bucket": b, "term": t, "n": len(p), "max_tf": max(x[3] for x in p), "min_len": min(x[4] for x in p), "entries": [{"id": x[2], "tf": x[3], "len": x[4]} for x in p]})
         assert [r for m in made for r in m.to_pylist()] == want
     assert list(li._blocks(iter([]), 128)) == []
+
+
+def test_chunks_of_many_documents_need_no_call_each(spark):
+    said = spark.range(20_000).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("position")).withColumns({"sentence": F.concat(F.lit("s"), F.col("position").cast("string")), "embedding": F.array(F.lit(1.0))})
+    chunks = rt.semantic_chunks(said.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.col("embedding"))))
+    assert "FlatMapGroupsInPandas" not in chunks._jdf.queryExecution().toString()
+    assert chunks.groupBy("chunk", "position").count().collect() == [("s0 s1", 0, 20_000)]

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,14 +229,12 @@ def semantic_chunks(sentences_: DataFrame, least: int = 100, most: int = 2000, s
     """(id, position, chunk): sentences (id, position, sentence, embedding) joined until the next one
     differs and the chunk is long enough, or would be too long. The length feeds back into the decision,
     so each document is walked in order."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        if len(pdf) > 1 and pdf["embedding"].isna().any():
+    def walk(said: list[str], embeddings: list) -> list[str]:
+        if len(said) > 1 and any(e is None for e in embeddings):
             # without an embedding for each sentence the paragraphs of the text stand in
-            pieces = hard_cut(" ".join(pdf["sentence"]), most)
-            return pd.DataFrame({"id": pdf["id"].iloc[0], "position": range(len(pieces)), "chunk": pieces})
+            return hard_cut(" ".join(said), most)
         chunks, held, size, last = [], [], 0, None
-        for s, e in zip(pdf["sentence"], pdf["embedding"], strict=True):
+        for s, e in zip(said, embeddings, strict=True):
             n, e = len(s.encode("utf-8")), np.asarray(e, dtype=float)
             if held:
                 scale = float(np.linalg.norm(last) * np.linalg.norm(e))
@@ -248,10 +247,33 @@ def semantic_chunks(sentences_: DataFrame, least: int = 100, most: int = 2000, s
             last = e
         if held:
             chunks.append(" ".join(held))
-        chunks = [p for c in chunks for p in (word_cut(c, most) if len(c.encode("utf-8")) > most else [c])]
-        return pd.DataFrame({"id": pdf["id"].iloc[0], "position": range(len(chunks)), "chunk": chunks})
-
-    return sentences_.groupBy("id").applyInPandas(walk, "id long, position int, chunk string")
+        return [p for c in chunks for p in (word_cut(c, most) if len(c.encode("utf-8")) > most else [c])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, said, embeddings = None, [], []
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            flat = [(i, nth, c) for i, chunks in done for nth, c in enumerate(chunks)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["id", "position", "chunk"])
+
+        for batch in batches:
+            done = []
+            for i, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if said and i != name:
+                    done.append((name, walk(said, embeddings)))
+                    said, embeddings = [], []
+                name = i
+                said.append(s)
+                embeddings.append(e)
+            if any(c for _, c in done):
+                yield rows(done)
+        if said and (last := walk(said, embeddings)):
+            yield rows([(name, last)])
+
+    # documents follow each other in a task, so a document costs no call of its own
+    parts = int(sentences_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sentences_.select("id", "position", "sentence", "embedding").repartition(parts, "id").sortWithinPartitions("id", "position")
+    return ordered.select("id", "sentence", "embedding").mapInArrow(run, "id long, position int, chunk string")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

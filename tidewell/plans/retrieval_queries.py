@@ -241,8 +241,8 @@ def c3_grouped(spark, d):
 def c3(spark, d):
     s = rt.sentences(_docs(spark, d))
     # a hashing embedder of eight buckets stands in for a model
-    words = F.split(F.lower("sentence"), " ")
-    e = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(8)) == i)).cast("float"))
+    codes = F.transform(F.split(F.lower("sentence"), " "), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(8)))
+    e = tx.bound(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.size(F.filter(c, lambda x: x == i)).cast("float")))
     return rt.semantic_chunks(s.withColumn("embedding", e))
 
 
