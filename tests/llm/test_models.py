@@ -1,6 +1,7 @@
 """Language ID, toxicity, language-model scores and media columns."""
 
 import hashlib
+import os
 import zlib
 from types import SimpleNamespace
 
@@ -356,6 +357,28 @@ def test_op5_columns_equal_plain_python(spark, odd_docs, tmp_path):
         assert first == last.sample_offset and zlib.crc32(block) == last.pcm_crc32
 
 
+def test_stored_streams_stay_below_their_input(spark, monkeypatch):
+    """Disk: the streams' table takes less than 1.2 times the (compressed) documents, every text read back whole."""
+    tables, stored = [], media.settle
+    monkeypatch.setattr(media, "settle", lambda *a: tables.append(stored(*a)) or tables[-1])
+    got = {r.doc_id: r.payload_sha256 for r in media.op5_flac_media(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert got == {r.doc_id: hashlib.sha256(media.payload_of(r.text)[0]).hexdigest() for r in docs.collect()}
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles())
+    assert size(tables[0]) < 1.2 * size(docs)
+
+
+def test_frames_are_coded_where_it_pays_in_the_stored_table():
+    smooth = np.rint(128 + 100 * np.sin(np.arange(2048) / 40)).astype(np.uint8).tobytes()
+    text = ("an even text of some words, each of them plain; " * 50).encode()[:2048]
+    for payload, kinds in ((smooth, {8, 9, 10} | set(range(32, 40))), (text, {1}), (b"7" * 2048, {0})):
+        stream = media.encode([payload])[0]
+        assert {stream[media._frame_head(stream, at)[1]] >> 1 for _, at, _ in media.seek_table(stream)[0]} <= kinds
+        assert media.decode([stream]) == [payload]
+    x = np.frombuffer(b"aabbccdd" + b"a" * 8, np.uint8).reshape(2, 8).astype(np.int32) - 128
+    assert media.entropy_bits(x).tolist() == [16, 0]
+
+
 def test_op2_and_op4_columns(spark, tmp_path):
     rows = _spoken(150) + [(900, None, "en"), (901, "", None), (902, "12 34", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
