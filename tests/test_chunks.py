@@ -65,3 +65,41 @@ def test_sentences_are_trimmed_and_long_enough(spark):
     text = "One.\n Two is! —…— . No\r\n\r\nab.  Next one?\nlast  \n\n  \n\nÉt"
     got = [r.sentence for r in rt.sentences(spark.createDataFrame([(1, text)], "id int, text string")).orderBy("position").collect()]
     assert got == ["One.", "Two is!", "Next one?", "last", "Ét"]
+
+
+def _texts(spark):
+    rng = random.Random(3)
+    words = ["é", "word", "longer", "x" * 15]
+    rows = [(i, " ".join(" ".join(rng.choices(words, k=rng.choice([1, 4, 9, 60]))) + ". Fine." for _ in range(rng.choice([1, 3, 40])))) for i in range(50)]
+    return spark.createDataFrame([*rows, (50, "Alone here"), (51, None), (52, "..."), (53, "")], "id long, text string").repartition(3)
+
+
+def _turning(rows):
+    return rows.withColumn("embedding", F.array(*[(F.crc32(F.concat(F.lit(str(i)), F.col("sentence").cast("string"))) % 5).cast("double") for i in range(2)]))
+
+
+def test_whole_texts_are_chunked_as_their_sentences(spark):
+    """Batches of any size, embeddings that are lists of one size: the chunks of ``grouped``."""
+    docs = _texts(spark)
+    want = sorted(ch.grouped(_turning(rt.sentences(docs)).filter("id <> 50"), 40, 150, 0.8).collect()) + [(50, 0, "Alone here")]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("7", held):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(ch.semantic_chunks(docs, _turning, 40, 150, 0.8).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_a_document_without_any_embedding_is_cut_into_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "One here. Two here.\n\nThree here."), (2, "Kept one. Kept two.")], "id long, text string")
+    got = sorted(ch.semantic_chunks(docs, lambda rows: _turning(rows).filter("id = 2"), 100, 200).collect())
+    assert got == [(1, 0, "One here. Two here."), (1, 1, "Three here."), (2, 0, "Kept one. Kept two.")]
+
+
+def test_texts_are_cut_twice_and_embedded_once(spark, tmp_path):
+    """Seven cuts of every text and two embeddings before; one shuffle, and no join, of what is made of them."""
+    _texts(spark).write.parquet(str(tmp_path / "docs"))
+    plan = ch.semantic_chunks(spark.read.parquet(str(tmp_path / "docs")), _turning, 40, 150)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?<=[.!?])|") == 2 and plan.count("crc32(") == 2  # an embedding of two numbers
+    assert plan.count("Exchange") == 1 and "Join" not in plan

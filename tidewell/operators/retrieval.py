@@ -176,6 +176,11 @@ def word_cut(text: str, most: int) -> list[str]:
     return [*out, " ".join(held)] if held else out
 
 
+def paragraph_cut(text: str | None, most: int) -> list[str]:
+    """The paragraphs of a text, in pieces of at most ``most`` bytes."""
+    return [c for p in (text or "").replace("\r\n", "\n").split("\n\n") for c in hard_cut(p, most)]
+
+
 def embed(texts: DataFrame, text: str = "text", dim: int = 64, batch: int = 64) -> DataFrame:
     """texts with ``embedding``: hashed word counts of unit length, batch by batch in the order of the rows;
     every batch must come back whole and of the right size. Null and wordless texts are zero vectors."""
@@ -208,21 +213,27 @@ def capped_paragraphs(docs: DataFrame, most: int = 800) -> DataFrame:
         for pdf in batches:
             rows = []
             for name, text in zip(pdf["id"], pdf["text"], strict=True):
-                parts = [c for p in (text or "").replace("\r\n", "\n").split("\n\n") for c in hard_cut(p, most)]
-                rows += [(name, i, c) for i, c in enumerate(parts)]
+                rows += [(name, i, c) for i, c in enumerate(paragraph_cut(text, most))]
             yield pd.DataFrame(rows, columns=["id", "position", "chunk"])
 
     return docs.select("id", "text").mapInPandas(cut, "id long, position int, chunk string")
 
 
+def sentence_array(text: Column) -> Column:
+    """Parts that end in . ! or ? before a blank or a line end, or at a blank line, without white space
+    around; parts with fewer than three bytes besides punctuation and white space are left out. Null
+    texts have none."""
+    lines = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    # what most parts show at once is asked first: no white space at their ends, a word of three signs
+    blank = lambda c: c.rlike(r"(?U)\s")
+    trim = lambda s: F.when(blank(F.left(s, F.lit(1))) | blank(F.right(s, F.lit(1))), F.regexp_replace(s, r"(?U)^\s+|\s+$", "")).otherwise(s)
+    parts = F.transform(F.split(lines, r" (?<=[.!?] )|(?=\n)(?<=[.!?])|\n\n"), trim)
+    return F.filter(parts, lambda s: s.rlike("[0-9A-Za-z]{3}") | (F.octet_length(F.regexp_replace(s, r"(?U)[\p{P}\s]", "")) >= 3))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
-    """(id, position, sentence): parts that end in . ! or ? before a blank or a line end, or at a blank
-    line, without white space around; parts with fewer than three bytes besides punctuation and white
-    space are left out. Null texts have none."""
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    parts = F.transform(F.split(text, r"(?<=[.!?]) |(?<=[.!?])(?=\n)|\n\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    kept = F.filter(parts, lambda s: F.octet_length(F.regexp_replace(s, r"(?U)[\p{P}\s]", "")) >= 3)
-    return docs.select("id", F.posexplode(kept).alias("position", "sentence"))
+    """(id, position, sentence) of texts (id, text), cut as sentence_array cuts them."""
+    return docs.select("id", F.posexplode(sentence_array(F.col("text"))).alias("position", "sentence"))
 
 
 def semantic_chunks(sentences_: DataFrame, least: int = 100, most: int = 2000, similarity: float = 0.3) -> DataFrame:

@@ -210,8 +210,8 @@ def c2(spark, d):
 
 def _by_lengths(rows):
     """Embeddings that SQL can follow: how many words of each length, modulo eight."""
-    words = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.size(F.filter(words, lambda w: F.length(w) % 8 == i)).cast("float"))
+    codes = F.transform(F.filter(F.split("sentence", r"\s+"), lambda w: w != ""), lambda w: F.length(w) % 8)
+    counts = tx.bound(codes, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, i))).cast("float") for i in range(8)]))
     return rows.withColumn("embedding", counts)
 
 
