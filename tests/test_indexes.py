@@ -116,3 +116,32 @@ def test_readers_see_whole_changes(spark, tmp_path):
     # a writer that died after staging left a file that is no manifest
     (tmp_path / "store" / "manifest" / "00000003.half").write_text("{")
     assert tables.current(spark, path).number == 2
+
+
+def test_best_rows_of_odd_vectors_are_those_of_plain_scores(spark, monkeypatch):
+    """Copies, other sizes, nulls, zeros and numbers that no double holds, in cells of a few rows: each
+    query's best by vx.cosine, bit by bit, ties by key."""
+    from pyspark.sql import Window
+
+    from tidewell.functions import vectors as vx
+
+    monkeypatch.setattr(rt, "CELL_ROWS", 40)
+    monkeypatch.setattr(rt, "CELL_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)), rng.standard_normal(6).tolist()) for i in range(150)] + [(200 + i, 1, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(30)]
+    rows += [(300, 0, None), (301, 0, []), (302, 0, [0.0] * 6), (303, 0, [1.0] * 3), (304, 0, [1.0] * 5 + [None]), (305, 2, [float("nan")] * 6), (306, 2, [float("inf")] + [1.0] * 5), (307, 2, [1e-200] * 6), (308, None, [1.0] * 6), (309, 3, [-1.0, 0.0]), (310, 3, [0.0, 2.0]), (311, 4, [1.0])]
+    v = spark.createDataFrame(rows, "key long, namespace int, embedding array<double>")
+    asked = v.filter("key % 9 = 0 or key >= 300").select(F.col("key").alias("qid"), "namespace", F.col("embedding").alias("q"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
+    plain = asked.join(v, "namespace").withColumn("score", vx.cosine(F.col("embedding"), F.col("q"))).withColumn("rank", F.row_number().over(best)).filter("rank <= 4")
+    said = lambda df: sorted((r.qid, r["rank"], r.key, repr(abs(r.score) if r.score == 0 else r.score)) for r in df.collect())
+    assert said(rt.batched_top_k(v, asked, 4)) == said(plain)
+    assert rt.batched_top_k(v.limit(0), asked, 4).count() == 0 and rt.batched_top_k(v, asked.limit(0), 4).count() == 0
+
+
+def test_few_pairs_are_scored_one_by_one():
+    rng = np.random.default_rng(4)
+    q, v = rng.standard_normal((50, 16)), rng.standard_normal((20_000, 16))
+    norm = lambda x: np.sqrt((x * x).sum(1))
+    blocks = list(rt._likely(q, v, norm(q), norm(v), 5))
+    assert sum(len(i) for i, _ in blocks) == 250 and len(blocks) == -(-50 // (rt.BLOCK_NUMBERS // 20_000))

@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,16 +83,96 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "key",
     return rows.withColumn("score", vx.cosine(F.col("embedding"), vx.literal(query))).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Vectors and queries of a cell, numbers of a block of products.
+CELL_ROWS, CELL_QUERIES, BLOCK_NUMBERS = 1 << 14, 1 << 12, 1 << 20
+
+
+def _by_size(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """size: (places, values (n, size)) of the vectors without nulls."""
+    arr = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False))
+    if arr.flatten().null_count:
+        whole = np.array([v is not None and None not in v for v in arr.to_pylist()], dtype=bool)
+        sizes = np.where(whole, sizes, 0)
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[size] = at, arr.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return out
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of the rows, summed in the order of their numbers as vx.dot sums them."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * y[:, j]
+    return total
+
+
+def _likely(q: np.ndarray, v: np.ndarray, qn: np.ndarray, vn: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) pairs that hold the k best rows of each query and whatever is as good, in blocks. Products
+    of matrices find them, with a margin beyond their rounding; vectors of odd sizes are all returned."""
+    both = np.concatenate([qn, vn])
+    plain = bool(((both == 0) | (both > 1e-100) & (both < 1e100)).all()) and len(v) > k
+    unit = v / np.where(vn > 0, vn, 1)[:, None] if plain else v
+    step = max(1, BLOCK_NUMBERS // len(v))
+    for lo in range(0, len(q), step):
+        if plain:
+            n = qn[lo : lo + step]
+            near = (q[lo : lo + step] / np.where(n > 0, n, 1)[:, None]) @ unit.T
+            bar = np.partition(near, len(v) - k, axis=1)[:, len(v) - k]
+            i, j = np.nonzero(near >= bar[:, None] - 1e-9)
+        else:
+            i, j = (x.ravel() for x in np.indices((min(step, len(q) - lo), len(v))))
+        yield i + lo, j
+
+
+def _best_of_cell(asked: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """(qid, key, score): the k best rows for each query, by vx.cosine, then by key."""
+    order = np.empty(rows.num_rows, dtype=np.int64)
+    order[pc.sort_indices(rows.column("key"), null_placement="at_start").to_numpy()] = np.arange(rows.num_rows)
+    vectors, found = _by_size(rows.column("embedding")), []
+
+    def keep(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
+        by = np.lexsort((order[j], np.where(np.isnan(score), -np.inf, -score), i))
+        i, j, score = i[by], j[by], score[by]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((i[nth < k], j[nth < k], score[nth < k]))
+
+    fitted = np.zeros(asked.num_rows, dtype=bool)
+    lowest = np.argsort(order)
+    for size, (at, q) in _by_size(asked.column("q")).items():
+        if size not in vectors:
+            continue
+        fitted[at] = True
+        place, v = vectors[size]
+        qn, vn = np.sqrt(_dots(q, q)), np.sqrt(_dots(v, v))
+        for i, j in _likely(q, v, qn, vn, k):
+            with np.errstate(all="ignore"):
+                scale = qn[i] * vn[j]
+                score = np.where(scale <= 0, 0.0, _dots(q[i], v[j]) / np.where(scale <= 0, 1.0, scale))
+            keep(at[i], place[j], score)
+        rest = lowest[~np.isin(lowest, place)][:k]
+        found.append((np.repeat(at, len(rest)), np.tile(rest, len(at)), np.zeros(len(at) * len(rest))))
+    # no vector has the size of these queries: all rows score 0
+    rest, first = np.flatnonzero(~fitted), lowest[:k]
+    found.append((np.repeat(rest, len(first)), np.tile(first, len(rest)), np.zeros(len(rest) * len(first))))
+    i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"qid": asked.column("qid").take(pa.array(i, pa.int64())), "key": rows.column("key").take(pa.array(j, pa.int64())), "score": pa.array(score, pa.float64())})
+
+
 def batched_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k best rows of its namespace for every query (qid, namespace, q). Both sides are dealt by
-    namespace and a part of the vectors' own key, so a large namespace is shared by many tasks; the
-    parts' winners are merged."""
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = vectors.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    scored = asked.join(cut, ["namespace", "part"]).withColumn("score", vx.cosine(F.col("embedding"), F.col("q")))
-    best = Window.partitionBy("qid", "part").orderBy(F.desc("score"), "key")
-    local = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "key", "score")
+    """The k best rows of its namespace for every query (qid, namespace, q). Vectors and queries are dealt into
+    cells by namespace and parts of their own keys, so a large namespace is shared by many tasks, and a task
+    holds CELL_ROWS vectors and CELL_QUERIES queries or so; in a cell, products of blocks find the pairs that
+    are scored. The cells' winners are merged."""
+    rows, asked = vectors.select("namespace", "key", "embedding").filter("namespace is not null"), queries.select("namespace", "qid", "q")
+    across, down = (-(-max(1, n) // most) for n, most in ((vectors.count(), CELL_ROWS), (queries.count(), CELL_QUERIES)))
+    dealt = lambda df, name, n, other, m: df.withColumns({name: F.pmod(F.xxhash64(df.columns[1]), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))}).withColumns({c: F.col(c).cast("int") for c in (name, other)})
+    cells = [dealt(asked, "_down", down, "_across", across), dealt(rows, "_across", across, "_down", down)]
+    kinds = dict(asked.dtypes) | dict(rows.dtypes)
+    left, right = (c.groupBy("namespace", "_across", "_down") for c in cells)
+    local = left.cogroup(right).applyInArrow(lambda a, r: _best_of_cell(a, r, k), f"qid {kinds['qid']}, key {kinds['key']}, score double")
     final = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
     return local.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
 
