@@ -19,14 +19,15 @@ share of the words of every document, and all rounds together each word once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import repeat
 from math import isqrt, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,28 +46,53 @@ STEPS, LEAST_BATCH, LEAST_RATE = 1000, 128, 0.5
 #: Words of the parts' start that the words seen in a round are added to: a share of all, at most so many;
 #: smoothing of the parts at its end.
 START_SHARE, MOST_START, SMOOTH = 200, 50_000, 1e-3
-#: Distinct words a task counts before it hands the counts on; numbers in a row of weights.
-HELD_WORDS, ROW = 400_000, 1 << 14
+#: Bytes of words a task holds before it counts them and hands the counts on; bytes of text that are split at
+#: once (one longer text is split whole); numbers in a row of weights.
+HELD_BYTES, PIECE, ROW = 48 << 20, 1 << 22, 1 << 14
 #: The key of a word in the table of counts: Spark's xxhash64 of its bytes.
 KEY_SEED = 42
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after another, and how many each text has. Words are parted by ASCII
+    white space, and only A-Z are lower-cased."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), None, bare))
+    return lists.flatten().cast(pa.binary()), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").lower().split()
+    return split(pa.array([text], pa.string()))[0].to_pylist()
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """(some rows, their words, how many words each has), about PIECE bytes of text at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, side="right")))
+            some = batch.slice(lo, hi - lo)
+            yield some, *split(some.column(column))
+            lo = hi
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: list[pa.Array] = []
+    size = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            held.update(split_words(text.as_py()))
-            if len(held) > HELD_WORDS:
-                yield out()
-                held.clear()
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays(found.flatten(), ["word", "n"])
+
+    for _, words, _ in pieces(batches):
+        if len(words):
+            held.append(words)
+            size += words.nbytes
+        if size >= HELD_BYTES:
+            yield out()
+            held.clear()
+            size = 0
     if held:
         yield out()
 
@@ -77,7 +103,7 @@ class Words:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, rare: float):
         self.size, self.edge = len(words), len(words) + 1 + SHAPES
-        self.place = {w: i for i, w in enumerate(words)}
+        self.known = pa.array(words, pa.binary())
         all_ = np.append(counts, rare).astype(float)
         self.share = (all_ / max(1.0, all_.sum())).astype(np.float32)
         self.rare = max(1.0, float(rare))
@@ -86,20 +112,25 @@ class Words:
         self.start = float(min(MOST_START, max(500, all_.sum() // START_SHARE)))
         self.rate = max(LEAST_RATE, RATE * self.batch / BATCH)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        rare = np.flatnonzero(out < 0)
-        if len(rare):
-            out[rare] = self.size + 1 + shapes([words[i] for i in rare.tolist()])
+    @cached_property
+    def place(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.known.to_pylist())}
+
+    def ids(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+        out = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        rare = out < 0
+        if rare.any():
+            out[rare] = self.size + 1 + shapes(words.filter(pa.array(rare)))
         return out
 
 
-def shapes(words: list[bytes]) -> np.ndarray:
+def shapes(words: pa.Array) -> np.ndarray:
     """A number below SHAPES for the first two and the last three bytes of each word."""
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    raw, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(sizes)
-    first = ends - sizes
-    out = raw[first] * 131 + raw[np.minimum(first + 1, ends - 1)]
+    _, places, data = words.buffers()
+    bounds = np.frombuffer(places, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw, first, ends = np.frombuffer(data, np.uint8), bounds[:-1], bounds[1:]
+    out = raw[first].astype(np.int64) * 131 + raw[np.minimum(first + 1, ends - 1)]
     for back in (1, 2, 3):
         out = (out * 131 + raw[np.maximum(ends - back, first)]) & 0xFFFFFF
     return (out * 2654435761 >> 16) % SHAPES
@@ -148,16 +179,26 @@ def row_sums(z: np.ndarray) -> np.ndarray:
 def gates(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the parts for each context, the hidden layer and its input."""
     x = np.take(p["embed"], around.ravel(), axis=0).reshape(len(around), -1)
-    hidden = np.tanh(x @ p["mix"] + p["tilt"])
-    return softmax(hidden @ p["gate"] + p["bias"]), hidden, x
+    hidden = x @ p["mix"]
+    hidden += p["tilt"]
+    np.tanh(hidden, out=hidden)
+    z = hidden @ p["gate"]
+    z += p["bias"]
+    return softmax(z), hidden, x
 
 
 def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, sums of their rows, how many)."""
+    """(distinct keys, sums of their rows, how many). Rows have an even number of columns, which are added up in
+    pairs, as complex numbers: reduceat's time is by columns and keys."""
     order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
     in_order = keys[order]
-    first = np.flatnonzero(np.diff(in_order, prepend=in_order[0] - 1))
-    return in_order[first], np.add.reduceat(rows[order], first), np.diff(np.append(first, len(keys)))
+    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    pairs = np.take(rows, order, axis=0).view(np.result_type(rows.dtype, np.complex64))
+    return in_order[first], np.add.reduceat(pairs, first).view(rows.dtype), np.diff(np.append(first, len(keys)))
+
+
+def column_sums(z: np.ndarray) -> np.ndarray:
+    return np.ones(len(z), dtype=z.dtype) @ z
 
 
 def learn(p: dict[str, np.ndarray], counts: np.ndarray, around: np.ndarray, word: np.ndarray, rate: float = RATE) -> None:
@@ -168,12 +209,13 @@ def learn(p: dict[str, np.ndarray], counts: np.ndarray, around: np.ndarray, word
     r /= np.maximum(row_sums(r), 1e-30)
     g -= r
     g /= len(word)
-    dh = g @ p["gate"].T * (1 - hidden * hidden)
+    dh = g @ p["gate"].T
+    dh *= 1 - hidden * hidden
     dx = (dh @ p["mix"].T).reshape(-1, EMBED)
-    p["gate"] -= rate * hidden.T @ g
-    p["bias"] -= rate * g.sum(0)
-    p["mix"] -= rate * x.T @ dh
-    p["tilt"] -= rate * dh.sum(0)
+    p["gate"] -= rate * (hidden.T @ g)
+    p["bias"] -= rate * column_sums(g)
+    p["mix"] -= rate * (x.T @ dh)
+    p["tilt"] -= rate * column_sums(dh)
     # rare words stand in few rows: their steps are longer by the usual square root
     names, grads, n = _sums(around.ravel(), dx)
     p["embed"][names] -= rate * np.sqrt(around.size / n)[:, None].astype(np.float32) * grads
@@ -183,8 +225,9 @@ def learn(p: dict[str, np.ndarray], counts: np.ndarray, around: np.ndarray, word
 
 def mixed(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Parts from counts: smoothed by the words' shares, each summing to one."""
-    part = counts + share[:, None] * np.float32(SMOOTH * max(1e-6, counts.sum()) / PARTS)
-    return (part / np.maximum(part.sum(0), 1e-30)).astype(np.float32)
+    part = share[:, None] * np.float32(SMOOTH * max(1e-6, counts.sum()) / PARTS) + counts
+    part /= np.maximum(part.sum(0), 1e-30)
+    return part.astype(np.float32, copy=False)
 
 
 def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
@@ -192,14 +235,13 @@ def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns
     book, p = words.value, {k: v.copy() for k, v in start.value.items()}
     before = p["part"] * np.float32(book.start / PARTS)
     counts = np.zeros_like(before)
-    texts: list[list[bytes]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     rest = (np.zeros((0, 2 * WINDOW), dtype=np.int64), np.zeros(0, dtype=np.int64))
     size = seen = 0
 
     def flush(least: int) -> None:
-        nonlocal texts, rest, size, seen
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        ids = book.ids([w for t in texts for w in t])
+        nonlocal held, rest, size, seen
+        ids, sizes = (np.concatenate([h[i] for h in held] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
         nth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.flatnonzero((nth - np.repeat(sizes, sizes) - turn) % turns == 0)
         around = np.concatenate([rest[0], contexts(ids, book.edge, sizes, at)])
@@ -210,17 +252,22 @@ def _train(batches: Iterable[pa.RecordBatch], words, start, turn: int = 0, turns
             learn(p, counts, around[lo : min(done, lo + step)], word[lo : min(done, lo + step)], book.rate * min(1.0, (done - lo) / step))
         p["part"] = mixed(before + counts, book.share)
         seen += done
-        texts, rest = [], (around[done:], word[done:])
+        held, rest = [], (around[done:], word[done:])
         size = len(rest[1])
 
-    for batch in batches:
-        for text in batch.column(0):
-            words_ = split_words(text.as_py())
-            if words_:
-                texts.append(words_)
-                size += len(range((len(words_) + turn) % turns, len(words_), turns))
-                if size >= 8 * book.batch:
-                    flush(book.batch)
+    for _, some, sizes in pieces(batches):
+        ids, ends = book.ids(some), np.append(0, np.cumsum(sizes))
+        # words of this turn up to each text
+        targets = np.append(0, np.cumsum(np.maximum(0, sizes - (sizes + turn) % turns + turns - 1) // turns))
+        lo = 0
+        while lo < len(sizes):
+            full = int(np.searchsorted(targets, targets[lo] + 8 * book.batch - size))
+            hi = min(full, len(sizes))
+            held.append((ids[ends[lo] : ends[hi]], sizes[lo:hi]))
+            size += int(targets[hi] - targets[lo])
+            if hi == full:
+                flush(book.batch)
+            lo = hi
     if size:
         flush(1)
     if seen:
@@ -300,17 +347,14 @@ def log_likelihood(book: Words, p: dict[str, np.ndarray], ids: list[np.ndarray])
 
 def _score(batches: Iterable[pa.RecordBatch], words, model) -> Iterator[pa.RecordBatch]:
     book, key = words.value, xxhash.xxh64_intdigest
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            some = batch.slice(lo, 128)
-            texts = [split_words(t) for t in some.column(1).to_pylist()]
-            sizes, words_ = np.array([len(t) for t in texts], dtype=np.int64), [w for t in texts for w in t]
-            ends, ids = np.cumsum(sizes), book.ids(words_)
-            total = log_likelihood(book, model.value, np.split(ids, ends[:-1]))
-            at = np.flatnonzero(ids > book.size)
-            keys = np.fromiter((key(words_[j], KEY_SEED) for j in at.tolist()), dtype=np.uint64, count=len(at)).view(np.int64)
-            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(0, ends)), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.array(total), rare], ["doc_id", "n_words", "known", "rare"])
+    for some, words_, sizes in pieces(batches, 1):
+        ends, ids = np.cumsum(sizes), book.ids(words_)
+        total = log_likelihood(book, model.value, np.split(ids, ends[:-1]))
+        at = np.flatnonzero(ids > book.size)
+        others = words_.take(pa.array(at)).to_numpy(zero_copy_only=False)
+        keys = np.fromiter(map(key, others, repeat(KEY_SEED)), dtype=np.uint64, count=len(at)).view(np.int64)
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(0, ends)), pa.int32()), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.array(total), rare], ["doc_id", "n_words", "known", "rare"])
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
