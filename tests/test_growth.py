@@ -69,6 +69,18 @@ def test_large_teams_are_shared_by_tasks(spark):
     assert rows.columns == ["team", "sender", "member"]
 
 
+def test_messages_that_are_repeated_for_cells_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(rc, "CELL_MEMBERS", 8)
+    sizes = {1: 100, 2: 7, 3: 1}
+    people = spark.createDataFrame([(t, 1000 * t + i) for t, n in sizes.items() for i in range(n)] + [(None, 5), (4, None)], "team int, member long")
+    rows = rc.fan_out(people.filter("member % 3 = 0").withColumnRenamed("member", "sender"), people)
+    lines = rows._jdf.queryExecution().sparkPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert "SortMergeJoin" in lines[join] and any("Generate explode" in line for line in lines[join:])
+    want = sorted((t, s, m) for t, n in sizes.items() for s in range(1000 * t, 1000 * t + n) if s % 3 == 0 for m in range(1000 * t, 1000 * t + n) if m != s)
+    assert sorted((r.team, r.sender, r.member) for r in rows.collect()) == want
+
+
 def test_a_full_read_cache_finds_its_oldest_entry_at_once():
     step, state = stateful.read_cache_step(500), None
     began = time.time()

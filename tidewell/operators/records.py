@@ -16,14 +16,23 @@ def touching(relations: DataFrame, names: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+#: Members of a cell, the part of a team that meets its senders at once.
+CELL_MEMBERS = 1024
+
+
 def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each member of a message's team but its sender: messages (team, sender, ...),
-    members (team, member). Members are dealt by team and a part of their own key, so that the rows of a
-    large team are made by many tasks, however few files the members came in."""
+    members (team, member). A team is cut into cells of CELL_MEMBERS or so by its members' own keys, and its
+    messages go to each of its cells: many tasks make the rows of a large team, however few files the
+    members came in, and a small team's messages are moved once. What is broadcast is at most the teams' sizes:
+    Spark takes messages that were repeated for as few as they were before, so the last join is a merge."""
     parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = members.withColumn("_part", F.pmod(F.xxhash64("member"), F.lit(parts)).cast("int")).repartition(parts, "team", "_part")
-    sent = messages.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return sent.join(cut, ["team", "_part"]).filter("member <> sender").drop("_part")
+    cells = members.groupBy("team").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("_cells"))
+    # one key, which no constant team can be taken out of: the join keeps the tasks that rows are dealt to
+    at = lambda df, part: df.withColumn("_part", part).withColumn("_cell", F.struct("team", "_part")).drop("_part", "_cells").repartition(parts, "_cell")
+    sent = at(messages.join(cells, "team"), F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    cut = at(members.join(cells, "team"), F.pmod(F.xxhash64("member"), F.col("_cells")).cast("int")).drop("team")
+    return sent.join(cut.hint("merge"), "_cell").filter("member <> sender").drop("_cell")
 
 
 def least_loaded(candidates: DataFrame, pending: DataFrame, by: str) -> DataFrame:
