@@ -3,8 +3,10 @@
 import itertools
 import time
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +83,53 @@ def test_messages_that_are_repeated_for_cells_are_not_broadcast(spark, monkeypat
     assert sorted((r.team, r.sender, r.member) for r in rows.collect()) == want
 
 
+class _Kept:
+    """A state's values by key, in memory; a value state has one of key ()."""
+
+    def __init__(self):
+        self.of = {}
+
+    exists, get, clear = (lambda self: () in self.of), (lambda self: self.of.get((), ())), (lambda self: self.of.clear())
+    update = put = lambda self, value: self.of.__setitem__((), value)
+    appendList = lambda self, more: self.of.__setitem__((), [*self.get(), *more])
+    getValue, updateValue, removeKey = (lambda self, k: self.of.get(k)), (lambda self, k, v: self.of.__setitem__(k, v)), (lambda self, k: self.of.pop(k, None))
+
+
+@pytest.mark.parametrize("files", [1, 40])
+def test_rows_that_wait_are_folded_a_few_at_a_time(monkeypatch, files):
+    for name, n in (("RUN", 20_000), ("PIECE", 500), ("FAN", 8), ("ROWS", 1000)):
+        monkeypatch.setattr(stateful, name, n, raising=False)
+    rng, n, held, seen = np.random.default_rng(5), 200_000, [], []
+    rows = pd.DataFrame({"fold_key": rng.choice(["a", "b"], n), "at": rng.integers(0, 9000, n) * 1_000_000, "place": rng.permutation(n), "closing": 0})
+
+    def step(state, row):
+        held.append(pa.total_allocated_bytes() if len(seen) % 1000 == 0 else 0)
+        seen.append(row)
+        return (state or 0) + 1, (row[1], (state or 0) + 1)
+
+    timers, before = set(), pa.total_allocated_bytes()
+    made = lambda *a: _Kept()
+    handle = SimpleNamespace(getValueState=made, getListState=made, getMapState=made, registerTimer=timers.add, deleteTimer=timers.remove)
+    fold = stateful._Fold(step, ["fold_key", "at", "place"], ["at", "place"], ["k", "place", "nth"])
+    fold.init(handle)
+    for part in np.array_split(np.arange(n), files):
+        assert list(fold.handleInputRows((1,), (rows.iloc[b] for b in np.array_split(part, -(-len(part) // 10_000))), None)) == []
+    out = []
+    for passed in (2_000_000, 2_000_500, 5_000_000, 9_000_000):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda passed=passed: passed)
+        assert len(timers) == 1
+        if min(timers) <= passed:
+            timers.clear()
+            out += list(fold.handleExpiredTimer((1,), now, None))
+            assert len(seen) == (rows["at"] <= passed * 1000).sum()
+    # all rows are 5 MB of columns
+    assert max(held) - before < 1_000_000
+    assert not timers and fold._known() == [] and not fold.pieces.of
+    want = rows.sort_values(["at", "place"])
+    assert seen == list(zip(want["at"].tolist(), want["place"].tolist(), strict=True))
+    assert (pd.concat(out)["nth"].to_numpy() == want.groupby("fold_key").cumcount().to_numpy() + 1).all()
+
+
 def test_a_full_read_cache_finds_its_oldest_entry_at_once():
     step, state = stateful.read_cache_step(500), None
     began = time.time()

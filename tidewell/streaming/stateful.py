@@ -1,8 +1,9 @@
 """Machines whose state lives in the stream: rows are put in event order, then folded one by one.
 
 Rows wait in state until the watermark has passed them; a timer then takes those that are due, in order,
-through ``step`` and keeps what is left. Keys share a fixed number of states, so many keys cost no calls of
-their own. What the fold carries is one small value a key, so a restart goes on from the checkpoint, and
+through ``step`` and keeps what is left. They wait as sorted runs of small pieces, which are merged piece by
+piece, so a task holds a bounded number of rows however many wait. Keys share a fixed number of states, so
+many keys cost no calls of their own. What the fold carries is one small value a key, so a restart goes on from the checkpoint, and
 neither the order of files nor the cut into triggers changes a result. Rows later than the watermark are left out, as in any windowed stream.
 """
 
@@ -10,12 +11,13 @@ from __future__ import annotations
 
 import pickle
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -32,12 +34,22 @@ Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 STATES = 512
 #: Rows that are worked on at once as Python values; all others wait as columns.
 ROWS = 10_000
+#: Rows that are sorted at once into a run, rows of a piece, and runs that are merged at once.
+RUN, PIECE, FAN = 200_000, 5_000, 64
+ORDER = [("at", "ascending"), ("place", "ascending")]
+
+
+def _upto(rows: pa.Table, at: int, place: Any) -> int:
+    """How many of the sorted rows stand at (at, place) or before; null places stand last."""
+    times, said, rank = rows["at"].to_numpy(), rows["place"], lambda p: (p is None, p)
+    lo, hi = (int(np.searchsorted(times, at, side)) for side in ("left", "right"))
+    return lo + bisect_right(range(lo, hi), rank(place), key=lambda i: rank(said[i].as_py()))
 
 
 class _Fold(StatefulProcessor):
     """Rows (key, at in microseconds, place, ...) of a share of the keys through ``step(state, row) -> (state,
-    result)``, each key with a state of its own. Rows wait as blocks of columns; one timer is set, for the
-    first of them."""
+    result)``, each key with a state of its own. Rows wait in sorted runs (number, first piece, end, time of the
+    first row), cut into pieces of columns; one timer is set, for the first row of all."""
 
     def __init__(self, step: Step, columns: list[str], whole: list[str], out: list[str]):
         self.step, self.columns, self.whole, self.out = step, columns, whole, out
@@ -46,7 +58,8 @@ class _Fold(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "said binary")
         self.due = handle.getValueState("due", "at long")
-        self.waiting = handle.getListState("waiting", "block binary")
+        self.runs = handle.getValueState("runs", "said binary")
+        self.pieces = handle.getMapState("pieces", "run long, nth long", "rows binary")
 
     def _timer(self, at: int) -> None:
         """Timers are in milliseconds; of two the earlier one is kept."""
@@ -59,12 +72,6 @@ class _Fold(StatefulProcessor):
         self.due.update((at,))
         self.handle.registerTimer(at)
 
-    def _block(self, rows: pa.Table) -> tuple[bytes]:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as writer:
-            writer.write_table(rows)
-        return (sink.getvalue().to_pybytes(),)
-
     def _rows(self, part: pd.DataFrame) -> pa.Table:
         rows = pa.Table.from_pandas(part[self.columns], preserve_index=False).replace_schema_metadata(None)
         # whole numbers with nulls among them come as floats
@@ -73,43 +80,113 @@ class _Fold(StatefulProcessor):
                 rows = rows.set_column(i, name, rows.column(i).cast(pa.int64()))
         return rows
 
+    def _known(self) -> list[list[int]]:
+        return pickle.loads(self.runs.get()[0]) if self.runs.exists() else []
+
+    def _put(self, run: list[int], nth: int, rows: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows)
+        self.pieces.updateValue((run[0], nth), (sink.getvalue().to_pybytes(),))
+        if nth == run[1]:
+            run[3] = rows["at"][0].as_py()
+
+    def _take(self, run: list[int]) -> pa.Table:
+        rows = pa.ipc.open_stream(self.pieces.getValue((run[0], run[1]))[0]).read_all()
+        self.pieces.removeKey((run[0], run[1]))
+        run[1] += 1
+        return rows
+
+    def _new_run(self, runs: list[list[int]], tables: Iterator[pa.Table]) -> None:
+        """A run of sorted tables that follow each other."""
+        run, held = [max((r[0] for r in runs), default=0) + 1, 0, 0, 0], None
+        for rows in tables:
+            held = rows if held is None else pa.concat_tables([held, rows], promote_options="permissive")
+            while len(held) >= PIECE:
+                self._put(run, run[2], held.slice(0, PIECE))
+                run[2], held = run[2] + 1, held.slice(PIECE)
+        if held is not None and len(held):
+            self._put(run, run[2], held)
+            run[2] += 1
+        runs.append(run)
+
+    def _merged(self, runs: list[list[int]], until: int | None = None) -> Iterator[pa.Table]:
+        """The runs' rows in order, a few pieces at a time, to ``until`` and no further; they are taken out of the runs."""
+        runs = [r for r in runs if until is None or r[3] <= until]
+        ahead: list[pa.Table | None] = [None] * len(runs)
+        while True:
+            bound = None
+            for i, run in enumerate(runs):
+                if (ahead[i] is None or not len(ahead[i])) and run[1] < run[2]:
+                    ahead[i] = self._take(run)
+                if run[1] < run[2]:
+                    last = (ahead[i]["at"][-1].as_py(), ahead[i]["place"][-1].as_py())
+                    bound = last if bound is None else min(bound, last, key=lambda b: (b[0], b[1] is None, b[1]))
+            ready = []
+            for i, rows in enumerate(ahead):
+                if rows is not None and len(rows):
+                    n = len(rows) if bound is None else _upto(rows, *bound)
+                    if until is not None:
+                        n = min(n, int(np.searchsorted(rows["at"].to_numpy(), until, "right")))
+                    if n:
+                        ready.append(rows.slice(0, n))
+                        ahead[i] = rows.slice(n)
+            if not ready:
+                break
+            yield ready[0] if len(ready) == 1 else pa.concat_tables(ready, promote_options="permissive").sort_by(ORDER)
+        for run, rows in zip(runs, ahead, strict=True):
+            if rows is not None and len(rows):
+                run[1] -= 1
+                self._put(run, run[1], rows)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, blocks = None, []
+        runs, blocks, n, first = self._known(), [], 0, []
+        sort = lambda: iter([pa.concat_tables(blocks, promote_options="permissive").sort_by(ORDER)])
         for part in rows:
             # a row of no key closes the stream: it moves the watermark and nothing else
-            part = part[part["closing"] == 0]
+            part = part[(part["closing"] == 0) & part["at"].notna()]
             if len(part):
-                blocks.append(self._block(self._rows(part)))
-                first = min([int(part["at"].min())] + ([] if first is None else [first]))
-        if first is not None:
-            self.waiting.appendList(blocks)
-            self._timer(first)
+                blocks.append(self._rows(part))
+                n += len(part)
+            if n >= RUN:
+                self._new_run(runs, sort())
+                first.append(runs[-1][3])
+                blocks, n = [], 0
+        if blocks:
+            self._new_run(runs, sort())
+            first.append(runs[-1][3])
+        if first:
+            self.runs.update((pickle.dumps(runs),))
+            self._timer(min(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.due.clear()
-        blocks = [pa.ipc.open_stream(b[0]).read_all() for b in self.waiting.get()]
-        rows = pa.concat_tables(blocks, promote_options="permissive")
-        del blocks
-        ready = pc.less_equal(rows["at"], passed)
-        rest, due = rows.filter(pc.invert(ready)), rows.filter(ready).sort_by([("at", "ascending"), ("place", "ascending")])
-        del rows
-        if len(rest):
-            self.waiting.put([self._block(rest)])
-            self._timer(pc.min(rest["at"]).as_py())
-        else:
-            self.waiting.clear()
+        runs = self._known()
+        while len(runs) > FAN:
+            # the smallest ones, so that no row is merged often
+            runs.sort(key=lambda r: r[2] - r[1])
+            few = runs[: min(FAN, len(runs) - FAN + 1)]
+            self._new_run(runs, self._merged(few))
+            runs = runs[len(few) :]
         states = pickle.loads(self.held.get()[0]) if self.held.exists() else {}
-        for at in range(0, len(due), ROWS):
-            results = []
-            for name, *row in zip(*(c.to_pylist() for c in due.slice(at, ROWS).columns), strict=True):
-                states[name], result = self.step(states.get(name), tuple(row))
-                if result is not None:
-                    results.append((name, *result))
-            if results:
-                yield pd.DataFrame(results, columns=self.out)
-        if len(due):
+        for due in self._merged(runs, passed):
+            for at in range(0, len(due), ROWS):
+                results = []
+                for name, *row in zip(*(c.to_pylist() for c in due.slice(at, ROWS).columns), strict=True):
+                    states[name], result = self.step(states.get(name), tuple(row))
+                    if result is not None:
+                        results.append((name, *result))
+                if results:
+                    yield pd.DataFrame(results, columns=self.out)
+        runs = [r for r in runs if r[1] < r[2]]
+        if runs:
+            self.runs.update((pickle.dumps(runs),))
+            self._timer(min(r[3] for r in runs))
+        else:
+            self.runs.clear()
+        if states:
             self.held.update((pickle.dumps(states),))
 
     def close(self) -> None:
