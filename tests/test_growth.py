@@ -19,6 +19,7 @@ from tidewell.operators import records as rc
 from tidewell.operators import retrieval as rt
 from tidewell.operators import vector_index as vi
 from tidewell.plans import catalog
+from tidewell.sources import tables
 from tidewell.streaming import stateful
 
 
@@ -151,6 +152,31 @@ def test_products_with_very_many_centres_are_bounded():
     assert vi._near(np.zeros((0, 16)), unit).shape == (0,)
 
 
+def test_centres_beyond_a_block_all_count(spark, tmp_path, monkeypatch):
+    """43 centres in blocks of 7, copies and odd rows among them: every row lies in the list of the nearest of all."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)] + [(200 + i, [1.0] * 8) for i in range(15)] + [(301, None), (302, [0.0] * 8), (303, [2.0] * 3)]
+    v = spark.createDataFrame(rows, "key long, embedding array<double>").repartition(3)
+    x = np.array([e if e is not None and len(e) == 8 else [0.0] * 8 for _, e in rows])
+    centres = np.array([e for k, e in rows if k % 5 == 0 and k < 215])
+    near = (x @ (centres / np.linalg.norm(centres, axis=1)[:, None]).T).round(9).argmax(1)
+    asked = v.filter("key % 10 = 0").select(F.col("key").alias("qid"), F.col("embedding").alias("q"))
+    probes, lists = [], []
+    for most in (vi.MOST_NUMBERS, 7 * 8):
+        monkeypatch.setattr(vi, "MOST_NUMBERS", most)
+        path = str(tmp_path / f"ix{most}")
+        held = vi.build(v, path, rounds=0, seeds=v.filter("key % 5 = 0 and key < 215"))
+        found = {r.key: r.list for r in tables.read(spark, held, "lists", "key long, embedding array<double>, version int, list int").collect()}
+        assert len(centres) == 43 and found == {k: n for (k, _), n in zip(rows, near.tolist(), strict=True)}
+        probes.append({(r.qid, r.list, r.rows) for r in vi.probes(spark, path, asked, 60).collect()})
+        # the fit in blocks too; rows added later find the same lists
+        fitted = vi.build(v, f"{path}fit", lists=30, rounds=1)
+        fitted = vi.upsert(spark, f"{path}fit", v.filter("key < 50"))
+        lists.append(sorted((r.key, r.list) for r in tables.read(spark, fitted, "lists", "key long, embedding array<double>, version int, list int").collect()))
+        assert tables.read(spark, fitted, "centres", "list int, centre array<double>").count() == 30
+    assert probes[0] == probes[1] and lists[0] == lists[1] and len({n for _, n in lists[0]}) > 14
+
+
 def test_blocks_of_postings_come_in_few_batches():
     rows = sorted((t % 3, f"t{t}", i, 1 + i % 4, 5 + i % 7) for t in range(300) for i in range(1 + t * 7 % 290))
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]

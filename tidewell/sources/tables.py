@@ -57,6 +57,20 @@ def stage(df: DataFrame, path: str, table: str, partition: str | None = None) ->
     return segment
 
 
+def scratch(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """df as a table of its own that no manifest will list, and its folder, which is removed when the application ends."""
+    segment = stage(df, path, "scratch")
+    fs, where = _fs(df.sparkSession, segment)
+    fs.deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(segment), segment
+
+
+def discard(spark: SparkSession, segment: str) -> None:
+    """Remove a scratch table that no later plan reads."""
+    fs, where = _fs(spark, segment)
+    fs.delete(where, True)
+
+
 def commit(spark: SparkSession, path: str, base: Manifest, tables: dict[str, list[str]], values: dict | None = None) -> Manifest:
     """Put ``tables`` in place of what ``base`` lists. Raises Conflict if base is not the last any more."""
     number = base.number + 1
