@@ -432,6 +432,19 @@ def test_frames_are_coded_where_it_pays_in_the_stored_table():
     assert media.entropy_bits(x).tolist() == [16, 0]
 
 
+def test_frames_take_the_cheapest_of_all_predictors_and_parameters():
+    rng = np.random.default_rng(1)
+    u = np.concatenate([rng.geometric(p, (200, 64)) - 1 for p in (0.9, 0.5, 0.2, 0.05, 0.02)] + [(rng.random((200, 64)) < p) * 200 + rng.integers(0, 4, (200, 64)) for p in (0.02, 0.1, 0.17)]).astype(np.int32)
+    bits, k = media._way_bits(u, 0, 0)
+    every = np.stack([(u >> j).sum(1) + 64 * (j + 1) + 10 for j in range(8)], axis=1)
+    assert (bits == every.min(1)).all() and (every[np.arange(len(u)), k] == bits).all()
+    # differences of the third order are all 1: none are left at the fourth
+    cubic = bytes(128 + n * (n - 1) * (n - 2) // 6 for n in range(-7, 9))
+    stream = media.encode([cubic])[0]
+    at = media.seek_table(stream)[0][0][1]
+    assert stream[media._frame_head(stream, at)[1]] >> 1 == 0b001100 and media.decode([stream]) == [cubic]
+
+
 def test_op2_and_op4_columns(spark, tmp_path):
     rows = _spoken(150) + [(900, None, "en"), (901, "", None), (902, "12 34", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
